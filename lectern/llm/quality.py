@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import HashedWords, octets, staged
@@ -110,32 +110,59 @@ def _fit(pdf: pd.DataFrame, support: float, d: int) -> pd.DataFrame:
     return pd.DataFrame([[pdf["g"].iloc[0], list(map(float, mean)), list(map(float, inverse.ravel()))]], columns=["g", "mean", "inverse"])
 
 
-def outlying(rows: DataFrame, limit: float = LIMIT, support: float = SUPPORT) -> DataFrame:
-    """Adds `distance` (Mahalanobis, rescaled so that the bulk's median is that of a normal) and `outlier`."""
+def _group() -> Column:
+    return F.concat_ws("\x01", F.coalesce("lang", F.lit("\x02")), F.coalesce("source", F.lit("\x02")))
+
+
+def fitted(rows: DataFrame, support: float = SUPPORT) -> tuple[DataFrame, DataFrame]:
+    """The rows with their pool `g`, and the estimate (g, mean, inverse) of every pool: a language and source, or all small ones."""
     d = len(STATS)
-    group = F.concat_ws("\x01", F.coalesce("lang", F.lit("\x02")), F.coalesce("source", F.lit("\x02")))
-    rows = rows.withColumn("_group", group)
+    rows = rows.withColumn("_group", _group())
     sizes = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = staged(sizes.select("_group", F.when(F.col("_n") < LEAST, F.lit("\x03")).otherwise(F.col("_group")).alias("g")), "groups")
-    rows = staged(rows.join(sizes, "_group").drop("_group"), "vectors")
+    pools = staged(sizes.select("_group", F.when(F.col("_n") < LEAST, F.lit("\x03")).otherwise(F.col("_group")).alias("g")), "pools")
+    rows = staged(rows.join(pools, "_group"), "vectors")
     x = [F.col(v) for v in STATS]
     sums = [F.count(F.lit(1)).alias("n"), *(F.sum(x[i]).alias(f"s{i}") for i in range(d)), *(F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i in range(d) for j in range(i, d))]
-
-    def far(fit: DataFrame) -> DataFrame:
-        joined = rows.join(fit, "g")
-        diff = [x[i] - F.col("mean")[i] for i in range(d)]
-        square = sum((diff[i] * diff[j] * F.col("inverse")[i * d + j] for i in range(d) for j in range(d)), F.lit(0.0))
-        return joined.withColumn("d2", F.greatest(square, F.lit(0.0))).drop("mean", "inverse")
-
     cell = F.least(F.lit(CELLS - 1), F.floor(F.log2(1 + F.col("d2") * 4) * 16)).cast("int")
-    fit = staged(rows.withColumn("cell", F.lit(0)).groupBy("g", "cell").agg(*sums).groupBy("g").applyInPandas(lambda p: _fit(p, 1.0, d), "g string, mean array<double>, inverse array<double>"), "fit")
+    estimate = lambda cells, share: staged(cells.groupBy("g", "cell").agg(*sums).groupBy("g").applyInPandas(lambda p: _fit(p, share, d), "g string, mean array<double>, inverse array<double>"), "fit")
+    fit = estimate(rows.withColumn("cell", F.lit(0)), 1.0)
     for _ in range(STEPS):
-        fit = staged(far(fit).withColumn("cell", cell).groupBy("g", "cell").agg(*sums).groupBy("g").applyInPandas(lambda p: _fit(p, support, d), "g string, mean array<double>, inverse array<double>"), "fit")
-    at = far(fit).withColumn("distance", F.sqrt("d2"))
-    return at.withColumn("outlier", F.col("distance") > limit).drop("g", "d2")
+        fit = estimate(far(rows, fit).withColumn("cell", cell), support)
+    return rows, fit
+
+
+def far(rows: DataFrame, fit: DataFrame) -> DataFrame:
+    """Adds d2, the squared Mahalanobis distance from the pool's estimate."""
+    d = len(STATS)
+    diff = [F.col(STATS[i]) - F.col("mean")[i] for i in range(d)]
+    square = sum((diff[i] * diff[j] * F.col("inverse")[i * d + j] for i in range(d) for j in range(d)), F.lit(0.0))
+    return rows.join(fit, "g").withColumn("d2", F.greatest(square, F.lit(0.0))).drop("mean", "inverse")
 
 
 def judged(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     """The statistics with base_failed, distance and kept."""
+    rows, fit = fitted(counted(docs))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return outlying(counted(docs), limit).withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.col("outlier"))
+    out = far(rows, fit).withColumn("distance", F.sqrt("d2")).drop("_group", "g", "d2")
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("distance") <= limit))
+
+
+def filtered(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
+    """The rows of docs that the rules keep, all columns. The estimates, a row for each group, go to the texts; texts aren't moved."""
+    rows, fit = fitted(counted(docs))
+    of_group = staged(rows.select("_group", "g").distinct().join(fit, "g").select("_group", "mean", "inverse"), "fit")
+    columns, text = docs.columns, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = HashedWords()
+        for batch in batches:
+            keep = []
+            for t, mean, inverse in zip(octets(batch.column(text)), batch.column("_mean").to_pylist(), batch.column("_inverse").to_pylist(), strict=True):
+                n, _, _, _, repeat, *v = measured(t, hashed)
+                diff = np.asarray(v) - mean
+                keep.append(n >= 10 and 100 * repeat <= 20 * n and diff @ np.reshape(inverse, (len(v), len(v))) @ diff <= limit * limit)
+            yield batch.select(columns).filter(pa.array(keep, pa.bool_()))
+
+    params = of_group.select(F.col("_group").alias("_g"), F.col("mean").alias("_mean"), F.col("inverse").alias("_inverse"))
+    joined = docs.join(params, _group() == F.col("_g")).select(*[docs[c] for c in columns], "_mean", "_inverse")
+    return joined.mapInArrow(run, docs.schema)

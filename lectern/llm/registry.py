@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, packing, pii, quality, sharding, toxicity
+from . import embeddings, lines, minhash, mixing, packing, pii, quality, sharding, suffixes, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_docs(spark, sf_dir), k=2, percent=80)
+
+
 def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir))
 
@@ -23,6 +27,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.9)
+
+
 def op5_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(_docs(spark, sf_dir))
 
@@ -45,6 +53,10 @@ def op9_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_entropy_mix, op3_line_dedup, op5_pii_skip_chain, op6_harmonic_packing, op7_quality_mcd, op8_toxicity_nnpu, op9_stratified_shards)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removed(_docs(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hyperminhash, op2_entropy_mix, op3_line_dedup, op4_cross_polytope, op5_pii_skip_chain, op6_harmonic_packing, op7_quality_mcd, op8_toxicity_nnpu, op9_stratified_shards, op10_suffix_dedup)}
 
 ORACLES: dict[str, str] = {}
