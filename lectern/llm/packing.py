@@ -51,22 +51,63 @@ def cuts(n: int, capacity: int, min_cut: int) -> list[int]:
     return [*out, n] if n else out
 
 
-class Ids(dict):
-    """White-space-free word -> its ids as little-endian 32-bit integers. The tokenizer drops white space and never joins across it."""
+#: Punctuation that is a token run of its own after a letter or digit.
+_TRAILING = ".,;:!?*$%&#\")("
 
-    def __init__(self, path: str, bound: int = 300_000):
-        from tokenizers import Tokenizer
 
+class _Aged(dict):
+    """A cache of at most two generations of `bound` entries; what is used again moves to the younger one."""
+
+    def __init__(self, bound: int):
         super().__init__()
-        self.tok, self.bound = Tokenizer.from_file(path), bound
+        self.bound, self.old = bound, {}
 
-    def __missing__(self, word: str) -> bytes:
+    def made(self, key: str) -> bytes:
+        raise NotImplementedError
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.made(key)
         if len(self) >= self.bound:
+            self.old = dict(self)
             self.clear()
-        ids = np.asarray(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+        self[key] = value
+        return value
+
+
+class _Cores(_Aged):
+    def __init__(self, path: str, bound: int = 250_000):
+        from tokenizers import Tokenizer
+
+        super().__init__(bound)
+        self.tok = Tokenizer.from_file(path)
+
+    def made(self, key: str) -> bytes:
+        return np.asarray(self.tok.encode(key, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+class Ids(_Aged):
+    """Word without white space -> its ids as little-endian 32-bit integers. The tokenizer drops white space and never joins across it.
+
+    Behind it, words are kept without their punctuation at the end, and in lower case where they are ASCII, as the
+    tokenizer lower-cases them too.
+    """
+
+    def __init__(self, path: str, bound: int = 150_000):
+        super().__init__(bound)
+        self.cores = _Cores(path)
+
+    def made(self, key: str) -> bytes:
+        if "<|" in key:  # may hold a special token
+            return self.cores.made(key)
+        if key.isascii():
+            key = key.lower()
+        core = key.rstrip(_TRAILING)
+        if not core or not core[-1].isalnum():
+            return self.cores[key] if len(key) <= 64 else self.cores.made(key)
+        first = self.cores[core] if len(core) <= 64 else self.cores.made(core)
+        return first + self.cores[key[len(core) :]] if len(core) < len(key) else first
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capacity: int = 4096, min_cut: int = 256) -> DataFrame:
