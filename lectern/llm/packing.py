@@ -83,9 +83,28 @@ class _Cores(_Aged):
         super().__init__(bound)
         self.tok = Tokenizer.from_file(path)
 
+        vocabulary = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
     def made(self, key: str) -> bytes:
         return np.asarray(self.tok.encode(key, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def learn(self, keys: list[str]) -> None:
+        """Encodes runs of letters together: each is one word to the tokenizer, and its last id alone ends a word."""
+        ids = np.asarray(self.tok.encode(" ".join(keys), add_special_tokens=False).ids, "<u4")
+        cut = np.flatnonzero(self.ends[ids]) + 1
+        if len(cut) != len(keys):
+            return  # a letter that the tokenizer takes for none; such words are encoded one by one
+        raw = ids.tobytes()
+        begin = 0
+        for key, end in zip(keys, (cut * 4).tolist(), strict=True):
+            self[key] = raw[begin:end]
+            begin = end
+        if len(self) >= self.bound:
+            self.old = dict(self)
+            self.clear()
+
 
 class Ids(_Aged):
     """Word without white space -> its ids as little-endian 32-bit integers. The tokenizer drops white space and never joins across it.
@@ -98,6 +117,13 @@ class Ids(_Aged):
         super().__init__(bound)
         self.cores = _Cores(path)
 
+    def learn(self, words: set[str]) -> None:
+        """Encodes the unknown words' cores at once."""
+        new = {(w.lower() if w.isascii() else w).rstrip(_TRAILING) for w in words - self.keys() - self.old.keys() if "<|" not in w}
+        new = [c for c in new - self.cores.keys() - self.cores.old.keys() if len(c) <= 64 and c.isalpha()]
+        for i in range(0, len(new), 4000):
+            self.cores.learn(new[i : i + 4000])
+
     def made(self, key: str) -> bytes:
         if "<|" in key:  # may hold a special token
             return self.cores.made(key)
@@ -119,13 +145,16 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capac
         ids = Ids(path)
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-                b = b"".join(map(ids.__getitem__, words)) + end
-                n, at = len(b) // 4, 0
-                for m in cuts(n, capacity, min_cut):
-                    out.append((doc, at, m, zlib.crc32(b[4 * at : 4 * (at + m)]), n))
-                    at += m
+            docs_, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i in range(0, len(texts), 256):
+                words = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[i : i + 256]]
+                ids.learn(set().union(*words))
+                for doc, ws in zip(docs_[i : i + 256], words, strict=True):
+                    b = b"".join(map(ids.__getitem__, ws)) + end
+                    n, at = len(b) // 4, 0
+                    for m in cuts(n, capacity, min_cut):
+                        out.append((doc, at, m, zlib.crc32(b[4 * at : 4 * (at + m)]), n))
+                        at += m
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, _PIECES)
