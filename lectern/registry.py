@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import contexts, evaluation, grounding, planning, retrieval, segmentation, streams, texts, tutoring  # noqa: F401
+from .plans.base import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "r01_lexical_top4"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "r01_lexical_search"
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
