@@ -2,29 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-M64 = (1 << 64) - 1
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one in the warehouse where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged").rstrip("/")
-
+from ..staging import shared_dir, staged
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet in the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["HashedWords", "components", "dropped", "exact_rank", "mix64", "octets", "shared_dir", "staged"]
 
 
 def dropped(*dfs: DataFrame) -> None:
