@@ -62,7 +62,7 @@ _ASSUMED = "SELECT doc_id AS ordinal, CASE WHEN doc_id % 3 = 0 THEN 'Course' ELS
 
 @query(f"""WITH a AS ({_ASSUMED}), f AS (SELECT * FROM a WHERE ((entity = 'Concept' AND field = 'difficulty_notes') OR (entity = 'Course' AND field = 'assumed_background')) AND id NOT LIKE '%.*' AND coalesce(confidence <> 'high', true)),
 d AS (SELECT entity, id, field, reason, min(ordinal) AS o FROM f GROUP BY ALL), g AS (SELECT entity, id, field, string_agg(reason, '; ' ORDER BY o) AS reasons FROM d GROUP BY ALL),
-c AS (SELECT entity, id, field, first(confidence ORDER BY ordinal) FILTER (confidence IS NOT NULL) AS confidence FROM f GROUP BY ALL)
+c AS (SELECT entity, id, field, first(confidence ORDER BY ordinal) AS confidence FROM f GROUP BY ALL)
 SELECT entity, id, field, confidence, reasons, row_number() OVER (ORDER BY CASE confidence WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, id, field) AS place FROM g JOIN c USING (entity, id, field)""")
 def c11_review_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id")
@@ -100,7 +100,7 @@ def c14_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").join(patch, "doc_id", "left").select("doc_id", F.coalesce("new_lang", "lang").alias("lang"), F.coalesce("new_source", "source").alias("source"))
 
 
-@query("SELECT p_partkey AS concept_id, 'Explain ' || p_name AS question, CASE WHEN p_partkey > 1 THEN (SELECT q.p_name FROM part q WHERE q.p_partkey = p.p_partkey // 2) END AS prerequisite, 'confuses ' || split_part(p_name, ' ', 1) || ' / revisit ' || coalesce(split_part(p_name, ' ', 2), '') AS cue FROM part p")
+@query("SELECT p_partkey AS concept_id, 'Explain ' || p_name AS question, (SELECT q.p_name FROM part q WHERE q.p_partkey = p.p_partkey // 2) AS prerequisite, 'confuses ' || split_part(p_name, ' ', 1) || ' / revisit ' || coalesce(split_part(p_name, ' ', 2), '') AS cue FROM part p")
 def c15_question_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     before = p.select(F.col("p_partkey").alias("pre"), F.col("p_name").alias("prerequisite"))
@@ -124,10 +124,10 @@ def c17_gap_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("gap_id", F.concat_ws(":", F.col("question_id").cast("string"), "kind", F.col("i").cast("string")))
 
 
-@query("SELECT l_orderkey || '#' || l_linenumber AS \"where\", CASE WHEN q > 48 THEN 'span' ELSE 'overlap' END AS rule, CASE WHEN q > 48 THEN 'span outside its page' ELSE 'overlaps the block before it' END AS message FROM (SELECT *, max(CASE WHEN q <= 48 THEN q END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m, last_value(CASE WHEN q <= 48 THEN q END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lst FROM (SELECT l_orderkey, l_linenumber, l_quantity::INT AS q FROM lineitem)) WHERE q > 48 OR q <= lst")
+@query("SELECT l_orderkey || '#' || o AS \"where\", CASE WHEN q > 48 THEN 'span' ELSE 'overlap' END AS rule, CASE WHEN q > 48 THEN 'span outside its page' ELSE 'overlaps the block before it' END AS message FROM (SELECT *, max(CASE WHEN q <= 48 THEN q END) OVER (PARTITION BY l_orderkey ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m, last_value(CASE WHEN q <= 48 THEN q END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lst FROM (SELECT DISTINCT l_orderkey, l_linenumber::BIGINT * 1000000000 + l_partkey::BIGINT * 100 + l_quantity::INT AS o, l_quantity::INT AS q FROM lineitem)) WHERE q > 48 OR q <= lst")
 def c19_w06_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("l_quantity").cast("int")
-    b = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("ordinal"), F.lit(1).alias("page_number"), q.alias("line_start"), q.alias("line_end"))
+    b = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey").cast("long") * 100 + q).alias("ordinal"), F.lit(1).alias("page_number"), q.alias("line_start"), q.alias("line_end")).distinct()
     pages = b.select("document_id").distinct().withColumn("page_number", F.lit(1)).withColumn("n_lines", F.lit(48))
     return context.span_findings(b, pages)
 

@@ -17,7 +17,7 @@ _TOP = _lexical_sql("overlap / sqrt(greatest(1, n_terms))", 4, "query_id, passag
 
 
 def _content(x: str) -> str:
-    return f"list_distinct(list_filter({evidence_sql(x)}, t -> t NOT IN ({quoted(fixed.GENERIC_WORDS)})))"
+    return f"list_filter({evidence_sql(x)}, lambda t: t NOT IN ({quoted(fixed.GENERIC_WORDS)}))"
 
 
 def needs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,8 @@ def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MARKED = "CASE need_type " + " ".join(f"WHEN '{k}' THEN regexp_matches(body, '{p}')" for k, p in fixed.MARKERS.items()) + " ELSE false END"
 _SHARE = "CASE WHEN len(target) > 0 THEN len(list_intersect(target, words)) / len(target)::DOUBLE ELSE 0.0 END"
 _CHECKS = rf"""top AS ({_TOP}), nd AS (SELECT item_id AS request_id, {_TYPE} AS need_type, CASE WHEN item_id % 3 = 0 THEN nullif(regexp_extract(text, '^\S+\s\S+'), '') END AS anchor, text[1:200] AS description FROM benchmark),
-pr AS (SELECT nd.*, passage_id, rank, text AS body, {evidence_sql('text')} AS words, {_content('coalesce(anchor, description)')}[1:6] AS target, {_content('anchor')} AS names FROM nd JOIN top ON query_id = request_id JOIN documents ON doc_id = passage_id),
+pr0 AS (SELECT nd.*, passage_id, rank, text AS body, {evidence_sql('text')} AS words, {_content('coalesce(anchor, description)')} AS tl, list_distinct({_content('anchor')}) AS names FROM nd JOIN top ON query_id = request_id JOIN documents ON doc_id = passage_id),
+pr AS (SELECT *, list_filter(tl, lambda x, i: list_position(tl, x) = i)[1:6] AS target FROM pr0),
 ok AS (SELECT *, {_SHARE} AS share, regexp_matches(anchor, '[=^''/+*∫√]|\\[a-zA-Z]+|\d|[a-z]\(|−|-\s*\w') AS formula, contains(lower(body), lower(anchor)) AS literal,
   contains(replace(regexp_replace(lower(body), '[\s\p{{Z}}\x{{85}}\x{{0B}}{{}}$]', '', 'g'), '\', ''), regexp_replace(lower(anchor), '[\s\p{{Z}}{{}}$]', '', 'g')) AS plain, len(names) > 0 AND len(list_intersect(names, words)) / len(names)::DOUBLE >= 0.6 AS mention, {_MARKED} AS marked FROM pr),
 ch AS (SELECT *, CASE WHEN NOT (CASE WHEN anchor IS NULL THEN share >= 0.6 ELSE literal OR (formula AND plain) OR (NOT formula AND mention) END) THEN 'not_covered'

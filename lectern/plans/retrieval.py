@@ -55,7 +55,7 @@ def r04_vector_top40(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.vector(q, r).withColumn("similarity", F.round("similarity", 6))
 
 
-_WORDS = f"list_transform(list_filter(regexp_extract_all(lower({{}}), '[a-z0-9]+'), t -> t NOT IN ({quoted(fixed.FULL_TEXT_STOP)})), t -> {stem_sql()})"
+_WORDS = f"list_transform(list_filter(regexp_extract_all(lower({{}}), '[a-z0-9]+'), lambda t: t NOT IN ({quoted(fixed.FULL_TEXT_STOP)})), lambda t: {stem_sql()})"
 _BM25 = f"""p AS (SELECT doc_id AS passage_id, {_WORDS.format('text')} AS w FROM documents), st AS (SELECT count(*) AS n_docs, avg(len(w)) AS avgdl FROM p),
 tf AS (SELECT passage_id, dl, token, count(*) AS tf FROM (SELECT passage_id, len(w) AS dl, unnest(w) AS token FROM p) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
 bq AS (SELECT item_id AS query_id, unnest(list_distinct({_WORDS.format('text')})) AS token FROM benchmark),
@@ -82,8 +82,8 @@ def r07_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.fused([retrieve.lexical(q, p, 40), retrieve.full_text(q, p, 40)], k=6)
 
 
-@query(r"""SELECT item_id AS query_id, list_position(fs, f) AS facet_no, f AS facet FROM (SELECT item_id, fs, unnest(fs) AS f FROM (SELECT item_id, list_filter(l, (x, i) -> list_position(l, x) = i)[1:4] AS fs FROM
-(SELECT item_id, list_filter(list_transform(string_split(text, '.'), x -> trim(regexp_replace(x, '[\s\p{Z}\x{85}\x{0B}]+', ' ', 'g'))), x -> x <> '' AND x <> text) AS l FROM benchmark)))""")
+@query(r"""SELECT item_id AS query_id, list_position(fs, f) AS facet_no, f AS facet FROM (SELECT item_id, fs, unnest(fs) AS f FROM (SELECT item_id, list_filter(l, lambda x, i: list_position(l, x) = i)[1:4] AS fs FROM
+(SELECT item_id, list_filter(list_transform(string_split(text, '.'), lambda x: trim(regexp_replace(x, '[\s\p{Z}\x{85}\x{0B}]+', ' ', 'g'))), lambda x: x <> '' AND x <> text) AS l FROM benchmark)))""")
 def r08_r10_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     fs = F.slice(F.array_distinct(F.filter(F.transform(F.split("query", r"\."), text.collapsed), lambda x: (x != "") & (x != F.col("query")))), 1, 4)
     return items(spark, sf_dir).select("query_id", F.posexplode(fs).alias("i", "facet")).select("query_id", (F.col("i") + 1).alias("facet_no"), "facet")
@@ -103,7 +103,7 @@ def r14_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.lexical(q.join(concept, "query_id"), p, boost=F.col("lang") == F.col("concept")).drop("overlap")
 
 
-_RANKED = _lexical_sql("round(overlap / sqrt(greatest(1, n_terms)), 9)", 40, "query_id, passage_id, source AS file, n_chars, score, rank")
+_RANKED = _lexical_sql("overlap / sqrt(greatest(1, n_terms))", 40, "query_id, passage_id, source AS file, n_chars, round(score, 9) AS score, rank")
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,7 +58,7 @@ def g03_g05_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CONCEPTS = [("c.de", "de"), ("c.the", "the"), ("c.ein", "ein"), ("c.of-the", "of the")]
-_TAGS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(concat_ws(' ', heading, text), '(?i)\\b{n.replace(' ', '[\\s\\-]+')}\\b') THEN '{c}' END" for c, n in _CONCEPTS) + "], x -> x IS NOT NULL)"
+_TAGS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(concat_ws(' ', heading, text), '(?i)\\b{n.replace(' ', '[\\s\\-]+')}\\b') THEN '{c}' END" for c, n in _CONCEPTS) + "], lambda x: x IS NOT NULL)"
 _BLOCK_TEXT = _BLOCKS + ", bt AS (SELECT doc_id, line_start, line_end, c1 AS chapter_id, s1 AS section_id, CASE WHEN o1 AND part = 0 THEN h1 END AS heading, regexp_replace(body, '[^\\x00-\\x7f]', 'x', 'g') AS text FROM b)"
 
 
@@ -83,7 +83,7 @@ def j07_propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.select("document_id", "line_start", F.array_join("concept_ids", " ").alias("concepts"))
 
 
-@query(_TAGGED + """, k AS (SELECT * FROM tg WHERE coalesce(chapter_id, section_id) IS NOT NULL), a AS (SELECT doc_id, chapter_id, NULL AS section_id, min(line_start) AS s, max(line_end) AS e, list_sort(list_distinct(flatten(list(ids)))) AS c FROM k GROUP BY doc_id, chapter_id
+@query(_TAGGED + """, k AS (SELECT * FROM tg WHERE coalesce(chapter_id, section_id) IS NOT NULL), a AS (SELECT doc_id, chapter_id, NULL::VARCHAR AS section_id, min(line_start) AS s, max(line_end) AS e, list_sort(list_distinct(flatten(list(ids)))) AS c FROM k GROUP BY doc_id, chapter_id
 UNION ALL SELECT doc_id, chapter_id, section_id, min(line_start), max(line_end), list_sort(list_distinct(flatten(list(ids)))) FROM k WHERE section_id IS NOT NULL GROUP BY doc_id, chapter_id, section_id)
 SELECT doc_id AS document_id, chapter_id, section_id, s::INT AS line_start, e::INT AS line_end, array_to_string(c, ' ') AS concepts FROM a""")
 def g06_sections(spark: SparkSession, sf_dir: str) -> DataFrame:

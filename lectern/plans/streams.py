@@ -11,9 +11,8 @@ from .base import query, table
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the column types of the file, with whole-microsecond timestamps
     schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("""SELECT user_id, event_id, seen, stall, help_level FROM (WITH o AS (SELECT *, row_number() OVER w AS seen, sum((event_type <> 'error')::INT) OVER w AS grp FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

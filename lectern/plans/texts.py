@@ -10,8 +10,8 @@ from .base import query, quoted, table
 
 #: Unicode white space for RE2, which reads \s as ASCII.
 SPACE = r"[\s\p{Z}\x{85}\x{0B}]+"
-LINES = rf"list_filter(list_transform(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), x -> trim(regexp_replace(x, '{SPACE}', ' ', 'g'))), x -> x <> '')"
-LEXICAL = f"list_distinct(list_filter(regexp_extract_all(lower({{}}), '[a-z0-9]+'), t -> length(t) > 2 AND t NOT IN ({quoted(fixed.LEXICAL_STOP)})))"
+LINES = rf"list_filter(list_transform(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '{SPACE}', ' ', 'g'))), lambda x: x <> '')"
+LEXICAL = f"list_distinct(list_filter(regexp_extract_all(lower({{}}), '[a-z0-9]+'), lambda t: length(t) > 2 AND t NOT IN ({quoted(fixed.LEXICAL_STOP)})))"
 
 
 def stem_sql(t: str = "t") -> str:
@@ -20,11 +20,11 @@ def stem_sql(t: str = "t") -> str:
 
 
 def evidence_sql(x: str) -> str:
-    return rf"list_transform(list_filter(regexp_extract_all(lower(regexp_replace({x}, '\\[a-zA-Z]+', ' ', 'g')), '[a-z][a-z0-9]*|\d+'), t -> length(t) >= 2 AND t NOT IN ({quoted(fixed.EVIDENCE_STOP)})), t -> {stem_sql()})"
+    return rf"list_transform(list_filter(regexp_extract_all(lower(regexp_replace({x}, '\\[a-zA-Z]+', ' ', 'g')), '[a-z][a-z0-9]*|\d+'), lambda t: length(t) >= 2 AND t NOT IN ({quoted(fixed.EVIDENCE_STOP)})), lambda t: {stem_sql()})"
 
 
 def link_sql(x: str) -> str:
-    return f"list_distinct(list_filter({evidence_sql(x)}, t -> NOT regexp_matches(t, '^[0-9]+$') AND length(t) >= 3 AND t NOT IN ({quoted(fixed.LINK_STOP)})))"
+    return f"list_distinct(list_filter({evidence_sql(x)}, lambda t: NOT regexp_matches(t, '^[0-9]+$') AND length(t) >= 3 AND t NOT IN ({quoted(fixed.LINK_STOP)})))"
 
 
 @query(rf"SELECT doc_id, len({LINES})::BIGINT AS n_lines, md5(array_to_string({LINES}, chr(10))) AS lines_md5 FROM documents")
@@ -33,7 +33,7 @@ def t01_normalize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(ls).cast("long").alias("n_lines"), F.md5(F.array_join(ls, "\n").cast("binary")).alias("lines_md5"))
 
 
-@query(r"SELECT doc_id, md5(trim(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), x -> regexp_replace(x, '[\s\p{Z}\x{85}\x{0B}]+$', '')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), chr(10))) AS intake_md5 FROM documents")
+@query(r"SELECT doc_id, md5(trim(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '[\s\p{Z}\x{85}\x{0B}]+$', '')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), chr(10))) AS intake_md5 FROM documents")
 def t02_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.intake(F.col("text")).cast("binary")).alias("intake_md5"))
 
@@ -71,7 +71,7 @@ def t08_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", text.head(F.col("text")).alias("head"))
 
 
-@query(rf"SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), t -> t <> 'or' AND t NOT IN ({quoted(fixed.FULL_TEXT_STOP)})))), ' ') AS terms, CASE WHEN regexp_matches(text, '\s+OR\s+') THEN 'OR' ELSE 'AND' END AS mode FROM benchmark")
+@query(rf"SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: t <> 'or' AND t NOT IN ({quoted(fixed.FULL_TEXT_STOP)})))), ' ') AS terms, CASE WHEN regexp_matches(text, '\s+OR\s+') THEN 'OR' ELSE 'AND' END AS mode FROM benchmark")
 def t09_websearch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.array_sort(text.full_text_terms(F.col("text"))), " ").alias("terms"), text.full_text_mode(F.col("text")).alias("mode"))
 
@@ -92,7 +92,7 @@ def t10_t11_math(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HEADER = "'EN.' || lpad((doc_id % 900 + 100)::VARCHAR, 3, '0') || '.' || lpad((doc_id % 7 + 100)::VARCHAR, 3, '0') || ' Advanced ' || source || ' Fall 20' || lpad((doc_id % 30 + 10)::VARCHAR, 2, '0')"
 
 
-@query(rf"SELECT doc_id, regexp_extract(h, '(?i)\b(?:[a-z]{{2}}[.\s-]?)?\d{{3}}[.]\d{{3}}\b') AS number, regexp_extract(h, '(?i)\b(?:fall|summer|winter|spring|fa|su|wi|sp|f|s|w)\s+20\d{{2}}\b') AS term, regexp_replace(lower(regexp_extract(h, '(?i)\b(?:[a-z]{{2}}[.\s-]?)?\d{{3}}[.]\d{{3}}\b')), '[^a-z0-9]', '', 'g') AS canonical, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(h), '[a-z][a-z0-9]+'), t -> t NOT IN ({quoted(fixed.IDENTITY_STOP)})))), ' ') AS tokens FROM (SELECT doc_id, {_HEADER} AS h FROM documents)")
+@query(rf"SELECT doc_id, regexp_extract(h, '(?i)\b(?:[a-z]{{2}}[.\s-]?)?\d{{3}}[.]\d{{3}}\b') AS number, regexp_extract(h, '(?i)\b(?:fall|summer|winter|spring|fa|su|wi|sp|f|s|w)\s+20\d{{2}}\b') AS term, regexp_replace(lower(regexp_extract(h, '(?i)\b(?:[a-z]{{2}}[.\s-]?)?\d{{3}}[.]\d{{3}}\b')), '[^a-z0-9]', '', 'g') AS canonical, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(h), '[a-z][a-z0-9]+'), lambda t: t NOT IN ({quoted(fixed.IDENTITY_STOP)})))), ' ') AS tokens FROM (SELECT doc_id, {_HEADER} AS h FROM documents)")
 def t12_t16_course_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda m, a, w: F.lpad((F.col("doc_id") % m + a).cast("string"), w, "0")
     h = F.concat(F.lit("EN."), n(900, 100, 3), F.lit("."), n(7, 100, 3), F.lit(" Advanced "), F.col("source"), F.lit(" Fall 20"), n(30, 10, 2))
@@ -117,7 +117,7 @@ def t18_classify_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""WITH u AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
 w AS (SELECT conv_id, turn, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS q, string_split(lower(trim(regexp_replace(before, '\s+', ' ', 'g'))), ' ') AS ws FROM u WHERE before IS NOT NULL)
-SELECT conv_id, turn, len(list_filter(range(1, greatest(1, len(ws) - 4)), i -> contains(q, array_to_string(ws[i:i + 5], ' ')))) > 0 AS copied FROM w""")
+SELECT conv_id, turn, len(list_filter(range(1, greatest(1, len(ws) - 4)), lambda i: contains(q, array_to_string(ws[i:i + 5], ' ')))) > 0 AS copied FROM w""")
 def t28_shingle_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = F.expr("lag(text) OVER (PARTITION BY conv_id ORDER BY turn)")
     rows = table(spark, sf_dir, "conversations").withColumn("before", before).where("before IS NOT NULL")
@@ -127,7 +127,7 @@ def t28_shingle_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CITED = "text || ' [P' || (turn % 3 + 1) || '] and [P2, P' || (conv_id % 5 + 1) || '] (see [P1]) .'"
 
 
-@query(rf"SELECT conv_id, turn, array_to_string(list_filter(ls, (x, i) -> list_position(ls, x) = i), ' ') AS labels FROM (SELECT conv_id, turn, flatten(list_transform(regexp_extract_all({_CITED}, '\[(P\d+(?:\s*,\s*P\d+)*)\]', 1), g -> string_split(replace(g, ' ', ''), ','))) AS ls FROM conversations)")
+@query(rf"SELECT conv_id, turn, array_to_string(list_filter(ls, lambda x, i: list_position(ls, x) = i), ' ') AS labels FROM (SELECT conv_id, turn, flatten(list_transform(regexp_extract_all({_CITED}, '\[(P\d+(?:\s*,\s*P\d+)*)\]', 1), lambda g: string_split(replace(g, ' ', ''), ','))) AS ls FROM conversations)")
 def t29_citation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(text.citation_labels(F.expr(_CITED)), " ").alias("labels"))
 

@@ -12,7 +12,7 @@ from .base import query, table
 _LIKE = lambda words: "(" + " OR ".join("contains(low, '" + w.replace("'", "''") + "')" for w in words) + ")"
 _OPENS = "(" + " OR ".join("starts_with(low, '" + w.replace("'", "''") + "')" for w in fixed.QUESTION_OPENINGS) + ")"
 _TURNS = rf"""u AS (SELECT conv_id, turn, text, lower(trim(text, E' \t\n\r')) AS low, row_number() OVER (PARTITION BY conv_id ORDER BY turn) > 1 AS has_history, regexp_matches(text, '[=+\-*/^∫∂∑∏]|\d') AS math FROM conversations WHERE role = 'user'),
-tt AS (SELECT *, CASE WHEN {_LIKE(fixed.HELP_MARKERS)} THEN 'HELP' WHEN len(list_filter(regexp_split_to_array(low, '\s+'), w -> w <> '')) < 4 AND NOT math THEN 'VAGUE' WHEN {_LIKE(fixed.REASON_MARKERS)} THEN 'REASONING' WHEN math OR {_LIKE(fixed.MATH_WORDS)} THEN 'ATTEMPT' WHEN {_OPENS} THEN 'NEW_QUESTION' WHEN has_history THEN 'ATTEMPT' ELSE 'VAGUE' END AS turn_type FROM u)"""
+tt AS (SELECT *, CASE WHEN {_LIKE(fixed.HELP_MARKERS)} THEN 'HELP' WHEN len(list_filter(regexp_split_to_array(low, '\s+'), lambda w: w <> '')) < 4 AND NOT math THEN 'VAGUE' WHEN {_LIKE(fixed.REASON_MARKERS)} THEN 'REASONING' WHEN math OR {_LIKE(fixed.MATH_WORDS)} THEN 'ATTEMPT' WHEN {_OPENS} THEN 'NEW_QUESTION' WHEN has_history THEN 'ATTEMPT' ELSE 'VAGUE' END AS turn_type FROM u)"""
 
 
 @query(f"WITH {_TURNS} SELECT conv_id, turn, has_history, turn_type FROM tt")
@@ -20,7 +20,7 @@ def u01_turn_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tutor.session_turns(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "has_history", "turn_type")
 
 
-@query(f"""WITH {_TURNS}, n AS (SELECT *, count_if(turn_type = 'HELP') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM tt)
+@query(f"""WITH {_TURNS}, n AS (SELECT *, coalesce(count_if(turn_type = 'HELP') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM tt)
 SELECT conv_id, turn, turn_type, CASE turn_type WHEN 'HELP' THEN CASE WHEN before = 0 THEN 'hint' ELSE 'explain' END WHEN 'VAGUE' THEN CASE WHEN has_history THEN 'clarify' ELSE 'probe' END WHEN 'REASONING' THEN 'check_understanding' WHEN 'NEW_QUESTION' THEN 'redirect' ELSE CASE WHEN has_history THEN 'retry' ELSE 'probe' END END AS action,
  least(3, before + (turn_type = 'HELP')::INT)::INT AS help_level, 0 AS stall FROM n""")
 def w07_policy_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
