@@ -1,0 +1,336 @@
+"""The training-data operators against brute force on small tables with nulls, ties, repeats, empties and extra columns."""
+
+import collections
+import hashlib
+import itertools
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from lectern.llm import embeddings, lines, minhash, mixing, packing, pii, quality, sharding, suffixes, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rank int"
+
+
+def corpus(seed=1, n=160):
+    r = random.Random(seed)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(300)]
+    prose = lambda k: "\n".join(" ".join(r.choices(vocab, k=r.randint(3, 25))) for _ in range(k))
+    shared = " ".join(r.choices(vocab, k=60))
+    texts = [prose(r.randint(1, 12)) for _ in range(n)]
+    for i in range(0, n, 5):
+        texts[i] = texts[(i * 7) % n]
+    for i in range(3, n, 9):
+        w = texts[(i * 3) % n].split(" ")
+        w[r.randrange(len(w))] = "changed"
+        texts[i] = " ".join(w)
+    for i in range(4, n, 11):
+        texts[i] += "\n" + shared + "\n" + prose(1)
+    texts += [None, "", " \n\t ", "One", "one two", "x" * 300_000, "é" * 150, prose(4000)]
+    rows = [(i, t, r.choice(["en", "de", None]), r.choice(["a", "b", "c", "d", None]), len(t or ""), i) for i, t in enumerate(texts)]
+    return rows + [rows[2], rows[-2]]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def least_reachable(ids, pairs):
+    up = {i: i for i in ids}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_duplicates(docs, rows, k):
+    sets = {}
+    for i, t, *_ in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+    pairs = [(a, b) for a, b in itertools.combinations(sets, 2) if (u := len(sets[a] | sets[b])) and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * u]
+    want = least_reachable(sets, pairs)
+    got = minhash.near_duplicates(docs, k).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert all(r.n_shingles == len(sets[r.doc_id]) and r.kept == (r.doc_id == r.component_id) for r in got)
+    assert len(set(want.values())) < len(want)
+
+
+def test_registers_estimate_similarity():
+    rng = np.random.default_rng(0)
+    x = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64))
+    a, b = x[:4500], np.sort(np.concatenate([x[500:4500], x[4500:]]))
+    j = np.intersect1d(a, b).size / np.union1d(a, b).size
+    e = minhash.estimate(minhash.registers(a)[None], minhash.registers(b)[None], np.array([len(a)]), np.array([len(b)]))
+    assert abs(e[0] - j) < 0.15
+    assert (minhash.registers(a[:3]) == minhash.registers(a[:3])).all()
+
+
+def test_mix(docs, rows):
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    sizes = collections.Counter()
+    for _, t, _, s, *_ in rows:
+        sizes[s] += len((t or "").encode().split())
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, open_, left = {}, set(order), float(sum(sizes.values()))
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        over = [s for s in open_ if weight[s] * level > 3 * sizes[s] + 1e-9]
+        if not over:
+            target |= {s: weight[s] * level for s in open_}
+            break
+        for s in over:
+            target[s] = 3.0 * sizes[s]
+            left -= target[s]
+            open_.discard(s)
+    taken = collections.Counter()
+    for r in got:
+        assert r.source_size == sizes[r.source] and abs(r.target - target[r.source]) < 1e-6
+        assert 0 <= r.taken <= 3 * r["size"] and r.taken == r.copies * r["size"]
+        taken[r.source] += r.taken
+    longest = {s: max((r["size"] for r in got if r.source == s), default=0) for s in order}
+    assert all(abs(taken[s] - target[s]) <= 0.5 * longest[s] + 10 for s in order)
+    again = mixing.mix(docs.repartition(3)).collect()
+    assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in again)
+    assert mixing.mixed(docs).columns == docs.columns
+    assert mixing.mixed(docs).count() == sum(r.copies for r in got)
+
+
+def test_line_dedup(docs, rows):
+    once = {i: t for i, t, *_ in rows}
+    seen, runs, gone = set(), set(), set()
+    for i in sorted(once):
+        ls = (once[i] or "").split("\n") if once[i] is not None else []
+        for p, x in enumerate(ls):
+            if x in seen and len(x.encode().split()) >= lines.MIN_WORDS:
+                gone.add((i, p))
+            seen.add(x)
+            run = tuple(ls[p : p + lines.MIN_LINES])
+            if len(run) == lines.MIN_LINES:
+                if run in runs:
+                    gone |= {(i, p + j) for j in range(lines.MIN_LINES)}
+                runs.add(run)
+    got = lines.deduplicated(docs)
+    assert got.columns == [*docs.columns, "n_lines", "n_removed"]
+    out = got.collect()
+    assert len(out) == len(rows) and gone
+    for r in out:
+        t = once[r.doc_id]
+        assert r.text == (None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (r.doc_id, p) not in gone))
+        assert r.n_removed == sum(1 for d, _ in gone if d == r.doc_id)
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 64))
+    x = np.concatenate([base, base[:20] + rng.normal(size=(20, 64)) * 0.35, np.repeat(base[:1], 150, 0) + rng.normal(size=(150, 64)) * 0.3, np.repeat(base[5:6], 700, 0)]).astype(np.float32)
+    data = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(5000, None, 1), (5001, [0.0] * 64, 1), (5002, [1.0, None], 1), (5003, [float("nan")] * 64, 1), (5004, [3.0, 4.0], 1), (5005, [6.0, 8.0], 1), (5006, [2.0], 1)]
+    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = u @ u.T >= 0.9
+    np.fill_diagonal(s, False)
+    assert len(got) == len(data)
+    assert [got[i].n_links for i in range(len(x))] == s.sum(1).tolist()
+    want = least_reachable(range(len(x)), zip(*map(list, np.nonzero(s)), strict=True))
+    assert {i: got[i].component_id for i in range(len(x))} == want
+    assert all(got[i].n_links == 0 and got[i].component_id == i for i in (5000, 5001, 5002, 5003, 5006))
+    assert got[5004].n_links == 1 and got[5005].component_id == 5004
+
+
+def test_embeddings_of_nothing(spark):
+    assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+PII = [
+    ("mail a.b@c.example.org, again A.B@C.EXAMPLE.ORG and x@y", ["email"]),
+    ("10.0.0.1 and 300.1.1.1 and 1.2.3.4.5.6.7.8", ["ip", "ip", "ip"]),
+    ("card 4111 1111 1111 1111 or 4111-1111-1111-1112", ["card"]),
+    ("+1 (771) 555-1655 later 1 (771) 555-1655 and +12", ["phone"]),
+    (None, []), ("", []), ("@" * 5000, []), ("1" * 20000, []), ("a." * 30000, []),
+]
+
+
+def test_pii(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(PII)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.found(docs).collect()}
+    for i, (t, kinds) in enumerate(PII):
+        base = pii.base_spans(t or "")
+        assert [pii.KINDS[k] for k, _, _ in base] == sorted(kinds, key=pii.KINDS.index) or i == 0
+        text = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in base)
+        assert got[i].base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert set(filter(None, text.split(","))) <= set(got[i].spans.split(","))
+    t = PII[3][0]
+    added = [x for x in got[3].spans.split(",") if x not in {f"phone:{s}:{e}" for _, s, e in pii.base_spans(t)}]
+    assert [t[int(a.split(":")[1]) : int(a.split(":")[2])] for a in added] == ["1 (771) 555-1655"]
+
+
+def test_email_matches_the_pattern():
+    import re
+
+    pattern = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    r = random.Random(4)
+    for _ in range(3000):
+        t = "".join(r.choice("ab.@-% 1é") for _ in range(r.randint(0, 25)))
+        assert [(s, e) for k, s, e in pii.base_spans(t) if k == 0] == [m.span() for m in pattern.finditer(t)]
+
+
+def test_packing(docs, rows):
+    got = packing.packed(docs).toPandas()
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    times = collections.Counter(i for i, *_ in rows)
+    for i, t, *_ in {r[0]: r for r in rows}.values():
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        mine = got[got.doc_id == i]
+        assert (mine.doc_tokens == len(ids)).all() and mine.length.sum() == len(ids) * times[i]
+        for r in mine.itertuples():
+            assert zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.length.sum() <= 4096 and (g.offset == g.length.cumsum() - g.length).all()
+    assert got.length.sum() / (4096 * got.sequence_id.nunique()) > 0.95
+
+
+def test_cuts():
+    assert packing.cuts(4096 * 2 + 2048 + 300, 4096, 256) == [4096, 4096, 2048, 256, 44]
+    assert packing.cuts(1, 4096, 256) == [1] and sum(packing.cuts(4095, 4096, 256)) == 4095
+
+
+def test_quality(docs, rows):
+    got = {r.doc_id: r for r in quality.judged(docs).collect()}
+    for i, t, *_ in rows:
+        w = (t or "").encode().split()
+        wins = collections.Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+        covered = {p for j in range(len(w) - 4) if wins[tuple(w[j : j + 5])] > 1 for p in range(j, j + 5)}
+        ls = [x for x in (t or "").split("\n") if x.encode().split()]
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(len(x.decode()) for x in w), sum((t or "").count(c) for c in "#*$%&|<>"), len(ls) - len(set(ls)), len(covered))
+        assert r.base_failed == (len(w) < 10 or 100 * len(covered) > 20 * len(w)) and not (r.base_failed and r.kept)
+    kept = quality.filtered(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, *_ in rows if got[i].kept)
+
+
+def test_outliers(spark):
+    r = random.Random(2)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7))) for _ in range(120)) for _ in range(300)]
+    bad = [" ".join(w + "$$$" for w in texts[i].split()) for i in range(30)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts + bad)], "doc_id long, text string, lang string, source string")
+    kept = {x.doc_id for x in quality.judged(docs).where("kept").collect()}
+    assert kept == set(range(300))
+
+
+def test_toxicity(spark):
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(500)]
+    docs, labels = [], []
+    for i in range(1500):
+        w = r.choices(words, k=r.randint(20, 80))
+        toxic = r.random() < 0.15
+        if toxic:
+            for _ in range(4):
+                w.insert(r.randrange(len(w)), r.choice(["idiotic", "trashy", "scummy"]))
+        docs.append((i, " ".join(w), "en", "s"))
+        if r.random() < 0.5:
+            labels.append((i, 1, int(toxic)))
+    docs += [(9000, None, None, None), (9001, "", "x", "y")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x for x in toxicity.scored(d, toxicity.trained(d, lab)).collect()}
+    held = [(got[i].predicted, t) for i, _, t in labels if got[i].held_out]
+    assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 3 == 1) for x in got.values())
+    assert np.mean([p == t for p, t in held]) > 0.95 and all(0 <= x.score <= 1 for x in got.values())
+    assert toxicity.trained(d, lab.limit(0)) is None
+    assert toxicity.scored(d, None).where("score > 0").count() == 0
+
+
+def test_sharding(docs, rows):
+    got = sharding.interleaved(docs).toPandas()
+    assert len(got) == len(rows)
+    n = got.groupby("shard").size()
+    assert n.max() - n.min() <= 1
+    for _, g in got.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    want = sorted((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
+    assert sorted(zip(got.doc_id, got["size"], got.text_crc32, strict=True)) == want
+    share = got.groupby(["shard", "source"], dropna=False).size()
+    assert share.max() <= got.groupby("source", dropna=False).size().max() / 24 + 2
+
+
+def brute_spans(texts):
+    seen, out = {}, {}
+    for i in sorted(texts):
+        b = (texts[i] or "").encode()
+        gone = np.zeros(len(b) + 1, int)
+        for s in range(len(b) - suffixes.LENGTH + 1):
+            w = b[s : s + suffixes.LENGTH]
+            if w in seen:
+                gone[s] += 1
+                gone[s + suffixes.LENGTH] -= 1
+            seen.setdefault(w, (i, s))
+        c = np.cumsum(gone[:-1]) > 0
+        kept = np.frombuffer(b, np.uint8)[~c].tobytes()
+        out[i] = (len(b), int(c.sum()), int((np.diff(np.concatenate([[0], c.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def test_suffix_dedup(docs, rows):
+    want = brute_spans({i: t for i, t, *_ in rows})
+    got = suffixes.removed(docs).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+
+
+def test_suffix_dedup_of_a_quoted_passage(spark):
+    """Very many texts quote one passage: its edges are dealt out string by string."""
+    r = random.Random(6)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(220))
+    texts = {i: "".join(r.choice("ijklmnop ") for _ in range(r.randint(0, 90))) + passage + "".join(r.choice("ijklmnop ") for _ in range(r.randint(0, 90))) for i in range(120)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.removed(docs).collect()} == brute_spans(texts)
+
+
+def test_long_texts_are_cut_without_loss():
+    r = random.Random(7)
+    part = bytes(r.choice(b"abcdefgh") for _ in range(suffixes.CHUNK - 30))
+    long = part + bytes(r.choice(b"abcdefgh") for _ in range(5000))
+    seen = set()
+    for raw, starts, ends, _, begin in suffixes.chunks([1], [long]):
+        _, first, last, _, _ = suffixes.sampled(raw, starts, ends)
+        for a, b in zip(first, last, strict=True):
+            seen.update(range(int(a) + int(begin[0]), int(b) + int(begin[0]) + 1))
+    assert seen == set(range(len(long) - suffixes.LENGTH + 1))
+
+
+def test_empty_tables(empty):
+    assert minhash.near_duplicates(empty).count() == 0
+    assert mixing.mix(empty).count() == 0
+    assert lines.deduplicated(empty).count() == 0
+    assert pii.found(empty).count() == 0
+    assert packing.packed(empty).count() == 0
+    assert quality.judged(empty).count() == 0
+    assert sharding.interleaved(empty).count() == 0
+    assert suffixes.removed(empty).count() == 0
