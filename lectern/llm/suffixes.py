@@ -35,8 +35,10 @@ from .common import mix64, octets, staged
 
 LENGTH, GRAM = 100, 16
 SPAN = LENGTH - GRAM + 1
-#: Bytes that are hashed at once (positions take 20 bits); places that are named together; names of one place above which it is dealt out.
-CHUNK, FLUSH, HOT = 1 << 20, 400_000, 16
+#: Bytes that are hashed at once (a power of two); places that are named together; names of one place above which it is dealt out.
+CHUNK, FLUSH, HOT = 1 << 18, 150_000, 16
+#: Places whose bytes are sent on together; places that are cut into strings together.
+SHIPPED, SLICE = 20_000, 4_000
 _C = mix64(np.arange(1, 65, dtype=np.uint64) << np.uint64(7)) | np.uint64(1)
 _POS = np.uint64(CHUNK - 1)
 
@@ -146,6 +148,13 @@ _ASK = np.dtype([("pos", "<u4"), ("before", "u1"), ("after", "u1"), ("hot", "u1"
 _SPANS = np.dtype([("start", "<u4"), ("end", "<u4")])
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Fewer rows at a time: what Python makes of a batch takes several times its bytes."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
@@ -182,7 +191,7 @@ def places(docs: DataFrame, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for batch in batches:
+        for batch in _slices(batches):
             ids = batch.column(0).to_pylist()
             for raw, starts, ends, doc, begin in chunks(ids, [t or b"" for t in octets(batch.column(1))]):
                 p, first, last, gram, name = sampled(raw, starts, ends)
@@ -217,6 +226,16 @@ def _spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
+def _joined_spans(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of the LENGTH-byte strings at (doc, start), those that touch joined."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order].astype(np.int64)
+    if not len(doc):
+        return doc, _spans(start, start)
+    at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + LENGTH)]))
+    return doc[at], _spans(start[at], start[np.append(at[1:], len(start)) - 1] + LENGTH)
+
+
 def _arrays(batches: Iterator[pa.RecordBatch], types: list[str]) -> dict[int, list[np.ndarray]]:
     """Columns of rows of many, by kind."""
     held: dict[int, list[list[bytes]]] = {}
@@ -263,79 +282,90 @@ def compared(asking: DataFrame, parts: int) -> DataFrame:
     """(doc_id, gone, asks = none) from (doc_id, text, asks): strings of the places that occur earlier."""
     types = ["<u8", "S1", "<i8", "<u4", "<u2"]
 
+    def sent_on(cold: list[tuple], warm: list[tuple]) -> pa.RecordBatch:
+        rows: list[tuple] = []
+        if cold:
+            gram, raw, doc, pos, near = zip(*cold, strict=True)
+            gram = np.array(gram, np.uint64)
+            to = ((gram >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            for i, j in _ranges(to[order]):
+                pick = order[i:j]
+                rows.append((int(to[pick[0]]), 0, gram[pick].tobytes(), b"".join(raw[q] for q in pick), np.array([doc[q] for q in pick], np.int64).tobytes(), np.array([pos[q] for q in pick], np.uint32).tobytes(), np.array([near[q] for q in pick], np.uint16).tobytes()))
+        if warm:
+            one, two, doc, start = (np.concatenate(c) for c in zip(*warm, strict=True))
+            order = np.lexsort((start, doc, two, one))
+            one, two, doc, start = (c[order] for c in (one, two, doc, start))
+            lead = np.flatnonzero(first := _groups(one, two))[np.cumsum(first) - 1]
+            later = (doc > doc[lead]) | (start > start[lead])
+            to = ((one >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+            spread = (mix64(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+            for pick, kind, part in ((~later, 1, to), (later, 2, spread)):
+                if pick.any():
+                    rows += _dealt(part[pick], kind, one[pick], two[pick], doc[pick], start[pick], np.zeros(pick.sum(), np.uint16))
+        return _batch(rows, _PLACES)
+
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            cold: list[tuple] = []
-            warm: list[tuple] = []
+        cold: list[tuple] = []
+        warm: list[tuple] = []
+        strings_ = 0
+        for batch in _slices(batches):
             for doc, text, blobs in zip(batch.column(0).to_pylist(), octets(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 text = text or b""
                 asks = np.frombuffer(b"".join(blobs), _ASK)
                 asks = asks[(asks["pos"].astype(np.int64) - asks["after"] + LENGTH) <= len(text)]
-                for a in asks[asks["hot"] > 0]:
-                    begin, n = int(a["pos"]) - int(a["before"]), int(a["before"]) - int(a["after"]) + 1
-                    warm.append((*strings(words8(text[begin : begin + n + LENGTH - 1]), np.arange(n)), np.full(n, doc, np.int64), np.arange(begin, begin + n, dtype=np.uint32)))
-                for a in asks[asks["hot"] == 0]:
-                    p, before, after = int(a["pos"]), int(a["before"]), int(a["after"])
-                    cold.append((int(a["gram"]), text[p - before : p - after + LENGTH], doc, p, before | after << 8))
-            if cold:
-                gram, raw, doc, pos, near = zip(*cold, strict=True)
-                gram = np.array(gram, np.uint64)
-                to = ((gram >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                for i, j in _ranges(to[order]):
-                    pick = order[i:j]
-                    rows.append((int(to[pick[0]]), 0, gram[pick].tobytes(), b"".join(raw[q] for q in pick), np.array([doc[q] for q in pick], np.int64).tobytes(), np.array([pos[q] for q in pick], np.uint32).tobytes(), np.array([near[q] for q in pick], np.uint16).tobytes()))
-            if warm:
-                one, two, doc, start = (np.concatenate(c) for c in zip(*warm, strict=True))
-                order = np.lexsort((start, doc, two, one))
-                one, two, doc, start = (c[order] for c in (one, two, doc, start))
-                lead = np.flatnonzero(first := _groups(one, two))[np.cumsum(first) - 1]
-                later = (doc > doc[lead]) | (start > start[lead])
-                to = ((one >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
-                spread = (mix64(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
-                for pick, kind, part in ((~later, 1, to), (later, 2, spread)):
-                    if pick.any():
-                        rows += _dealt(part[pick], kind, one[pick], two[pick], doc[pick], start[pick], np.zeros(pick.sum(), np.uint16))
-            yield _batch(rows, _PLACES)
+                for gram, p, before, after, hot in zip(*(asks[c].tolist() for c in ("gram", "pos", "before", "after", "hot")), strict=True):
+                    part = text[p - before : p - after + LENGTH]
+                    if hot:
+                        n = before - after + 1
+                        warm.append((*strings(words8(part), np.arange(n)), np.full(n, doc, np.int64), np.arange(p - before, p - after + 1, dtype=np.uint32)))
+                        strings_ += n
+                    else:
+                        cold.append((gram, part, doc, p, before | after << 8))
+                    if len(cold) >= SHIPPED or strings_ >= 10 * SHIPPED:
+                        yield sent_on(cold, warm)
+                        cold, warm, strings_ = [], [], 0
+        if cold or warm:
+            yield sent_on(cold, warm)
+
+    def repeats(one: np.ndarray, two: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Document and spans of the strings that occur earlier, neighbouring strings joined."""
+        order = np.lexsort((start, doc, two, one))
+        one, two, doc, start = (c[order] for c in (one, two, doc, start))
+        lead = np.flatnonzero(first := _groups(one, two))[np.cumsum(first) - 1]
+        later = (doc > doc[lead]) | (start > start[lead])
+        return _joined_spans(doc[later], start[later])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _arrays(batches, types)
-        cols: list[list[np.ndarray]] = []
+        found = []
         if 0 in got:
-            gram, raw, doc, pos, near = got[0]
+            gram, raw, doc, pos, near = got.pop(0)
             before, after = (near & 255).astype(np.int64), (near >> 8).astype(np.int64)
             count = before - after + 1
             size = count + LENGTH - 1
             begin = np.cumsum(size) - size
-            raw = raw.tobytes()
-            x = words8(raw)
-            for i in range(0, len(gram), 50_000):
-                s = slice(i, i + 50_000)
-                n = count[s]
+            order = np.argsort(gram, kind="stable")
+            slices, last = [], 0
+            for i, j in _ranges(gram[order]):  # whole groups, some thousands of places at a time
+                if j - last >= SLICE:
+                    slices.append((last, j))
+                    last = j
+            for i, j in [*slices, *([(last, len(order))] if last < len(order) else [])]:
+                pick = order[i:j]
+                part = b"".join(raw[a : a + n].tobytes() for a, n in zip(begin[pick].tolist(), size[pick].tolist(), strict=True))
+                n = count[pick]
                 shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                one, two = strings(x, np.repeat(begin[s], n) + shift)
-                cols.append([one, two, np.repeat(doc[s], n), (np.repeat(pos[s].astype(np.int64) - before[s], n) + shift).astype(np.uint32)])
-            del x, raw
+                one, two = strings(words8(part), np.repeat(np.cumsum(size[pick]) - size[pick], n) + shift)
+                found.append(repeats(one, two, np.repeat(doc[pick], n), (np.repeat(pos[pick].astype(np.int64) - before[pick], n) + shift).astype(np.uint32)))
         if 1 in got:
-            cols.append([got[1][0], np.frombuffer(got[1][1].tobytes(), "<u8"), got[1][2], got[1][3]])
-        start, doc = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if cols:
-            one, two, doc, start = (np.concatenate(c) for c in zip(*cols, strict=True))
-            order = np.lexsort((start, doc, two, one))
-            one, two, doc, start = (c[order] for c in (one, two, doc, start))
-            lead = np.flatnonzero(first := _groups(one, two))[np.cumsum(first) - 1]
-            later = (doc > doc[lead]) | (start > start[lead])
-            doc, start = doc[later], start[later]
+            one, two, doc, start, _ = got.pop(1)
+            found.append(repeats(one, np.frombuffer(two.tobytes(), "<u8"), doc, start))
         if 2 in got:
-            doc, start = np.concatenate([doc, got[2][2]]), np.concatenate([start, got[2][3]])
-        order = np.lexsort((start, doc))
-        doc, start = doc[order], start[order].astype(np.int64)
-        if len(doc):
-            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + LENGTH)])
-            at = np.flatnonzero(new)
-            end = start[np.append(at[1:], len(start)) - 1] + LENGTH
-            yield _by_document(doc[at], _spans(start[at], end), np.zeros(0, np.int64), np.zeros(0, _ASK))
+            found.append(_joined_spans(got[2][2], got[2][3]))
+        if found:
+            doc, spans = (np.concatenate(c) for c in zip(*found, strict=True))
+            yield _by_document(doc, spans, np.zeros(0, np.int64), np.zeros(0, _ASK))
 
     sent = asking.mapInArrow(ship, "part int, kind byte, gram binary, name binary, doc binary, pos binary, near binary")
     return sent.repartition(parts, "part").mapInArrow(settle, "doc_id long, gone binary, asks binary")
@@ -369,7 +399,7 @@ def removed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for doc, text, blobs in zip(batch.column(0).to_pylist(), octets(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 text = text or b""
