@@ -8,8 +8,9 @@ collisions expected of compressed registers, estimates the similarity; pairs tha
 full sets of shingles, read again from the texts.
 
 Equal sets are one class from the start. A band's members are first paired with its least class only, and each class is
-verified against the one it shares most bands with; components follow; then members of a band whose components still
-differ are paired across components. So copies are never expanded into all pairs, yet no pair of different texts that
+verified against the one it shares most bands with; components follow; then, for some rounds, members of a band meet one member
+drawn from it if their components differ, and each class is verified against the likeliest. What is still apart after
+that is paired across components. So copies are never expanded into all pairs, yet no pair of different texts that
 share a band is left undecided: it is verified, below the threshold by its registers, or already linked. With 32 bands of 5 registers a
 pair at similarity 0.8 shares none with probability 3e-6, and the estimate's margin is five standard deviations.
 
@@ -31,6 +32,8 @@ from .common import HashedWords, components, dropped, mix64, octets, staged
 
 BANDS, ROWS, MANTISSA = 32, 5, 10
 REGISTERS = BANDS * ROWS
+#: Rounds in which the members of a band meet one of them, before all that is still apart is compared.
+ROUNDS = 4
 #: Tries along the path of an empty bucket before its next filled neighbour is taken.
 PATH = 48
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -128,7 +131,7 @@ def banded(classes: DataFrame) -> DataFrame:
 
 
 def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Those of pairs (a, b) whose registers allow a similarity of `least` within five standard deviations."""
+    """(a, b, share): those of pairs (a, b) whose registers allow a similarity of `least` within five standard deviations."""
     floor = least - 5 * (least * (1 - least) / REGISTERS) ** 0.5
     left = classes.select(F.col("id").alias("a"), F.col("regs").alias("ra"), F.col("n").alias("na"))
     right = classes.select(F.col("id").alias("b"), F.col("regs").alias("rb"), F.col("n").alias("nb"))
@@ -139,10 +142,11 @@ def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
                 ra, rb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (2, 3))
                 na, nb = (batch.column(i).to_numpy() for i in (4, 5))
                 sizes = np.minimum(na, nb) >= (least - 1e-9) * np.maximum(na, nb)
-                keep = sizes & (estimate(ra, rb, na, nb) >= floor)
-                yield pa.RecordBatch.from_arrays([pa.array(batch.column(i).to_numpy()[keep]) for i in (0, 1)], ["a", "b"])
+                share = estimate(ra, rb, na, nb)
+                keep = sizes & (share >= floor)
+                yield pa.RecordBatch.from_arrays([*(pa.array(batch.column(i).to_numpy()[keep]) for i in (0, 1)), pa.array(share[keep])], ["a", "b", "share"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long, share double")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -169,6 +173,13 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
+def mixed_members(shared: DataFrame, by: DataFrame) -> DataFrame:
+    """(band, id, c): members and components of the bands that hold more than one component."""
+    named = shared.join(by, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
+    mixed = named.groupBy("band").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("band")
+    return named.join(mixed, "band")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     sketches = staged(sketched(docs, k), "sketches")
@@ -179,16 +190,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # each class against the one with which it shares most bands as their least member
     starts = shared.where("id <> least").groupBy("id", "least").agg(F.count(F.lit(1)).alias("n"))
     starts = starts.groupBy("id").agg(F.max(F.struct(F.col("n"), (-F.col("least")).alias("b"))).alias("m")).select(F.col("id").alias("a"), (-F.col("m.b")).alias("b"))
-    links = staged(verified(likely(starts, classes, percent / 100), docs, k, percent), "links")
+    tested = staged(starts, "tested")
+    links = staged(verified(likely(tested, classes, percent / 100), docs, k, percent), "links")
     by = components(links)
-    # what is left: members of one band in different components
-    named = shared.join(by, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
-    mixed = named.groupBy("band").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("band")
-    open_ = staged(named.join(mixed, "band"), "open")
+    # rounds: members of a band against one of its members, drawn anew, where their components differ
+    for turn in range(ROUNDS):
+        named = mixed_members(shared, by)
+        drawn = named.groupBy("band").agg(F.min_by(F.struct(F.col("id").alias("b"), F.col("c").alias("cb")), F.xxhash64("id", F.lit(turn))).alias("d"))
+        pairs = named.join(drawn, "band").where("c <> d.cb").select(F.col("id").alias("a"), F.col("d.b").alias("b")).distinct()
+        pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+        hopes = likely(pairs, classes, percent / 100).groupBy("a").agg(F.max(F.struct("share", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+        hopes = staged(hopes, "tested")
+        if not hopes.limit(1).count():
+            break
+        new = staged(verified(hopes, docs, k, percent), "links")
+        tested, links = tested.unionByName(hopes), links.unionByName(new)
+        by = components(links)
+    # what is left is compared whole: members of one band in different components
+    open_ = staged(mixed_members(shared, by), "open")
     other = open_.select("band", F.col("id").alias("b"), F.col("c").alias("cb"))
     across = open_.select("band", F.col("id").alias("a"), F.col("c").alias("ca")).join(other, "band").where("a < b AND ca <> cb").select("a", "b").distinct()
-    across = across.join(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = staged(verified(staged(likely(across, classes, percent / 100), "likely"), docs, k, percent), "links")
+    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    hopes = staged(likely(across.join(done, ["a", "b"], "left_anti"), classes, percent / 100).select("a", "b"), "tested")
+    more = staged(verified(hopes, docs, k, percent), "links")
     if more.limit(1).count():
         by = components(links.unionByName(more))
     dropped(shared, open_)
