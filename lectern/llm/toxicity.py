@@ -3,7 +3,7 @@
 The classifier knows confirmed toxic texts and unlabelled ones. Its risk is
     prior * R(positives as positive) + max(0, R(unlabelled as negative) - prior * R(positives as negative)),
 the class-prior-corrected estimate whose negative part is kept from falling below zero: where it would, the step
-goes against it, so that the model does not fit unlabelled toxic texts as harmless. Features are the presence of hashed words;
+goes against it, so that the model does not fit unlabelled toxic texts as harmless. Features are the presence of hashed words and beginnings of words;
 the weights are trained in numpy on bounded samples, and every whole text is scored where it lies.
 
 Nulls and edge cases: null and empty texts have no features and get the bias' score; without confirmed toxic
@@ -13,6 +13,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,20 +28,28 @@ from .common import octets
 #: Hash places; words kept as features; texts of each kind that training takes at most (about), chosen by a hash of doc_id.
 PLACES, FEATURES, SAMPLE = 1 << 20, 4096, 8000
 EPOCHS, RATE, DECAY = 300, 0.05, 1e-3
+#: Log-likelihood ratio that a feature has at least.
+GAIN = 20.0
+#: Lengths in bytes of the beginnings of words that are features too.
+BEGINNINGS = (4, 5, 6)
 _SPACED = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 
 
 class Places(dict):
-    def __missing__(self, word: bytes) -> int:
+    """word -> the hash places of the word and of its beginnings, which inflected forms share."""
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= 400_000:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word, 5) % PLACES
+        parts = (word, *(b"^" + word[:n] for n in BEGINNINGS if len(word) >= n))
+        h = self[word] = tuple(xxhash.xxh3_64_intdigest(p, 5) % PLACES for p in parts)
         return h
 
 
 def placed(text: bytes | None, places: Places) -> np.ndarray:
     """Sorted distinct hash places of a text's words (letters and digits, lower-cased)."""
-    return np.unique(np.fromiter(map(places.__getitem__, (text or b"").translate(_SPACED).split()), np.int32))
+    words = set((text or b"").translate(_SPACED).split())
+    return np.unique(np.fromiter(itertools.chain.from_iterable(map(places.__getitem__, words)), np.int32))
 
 
 def held_out() -> Column:
@@ -61,10 +70,12 @@ class Model:
 
 def nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> Model:
     """Full-batch Adam on the non-negative risk with the logistic loss."""
-    df = [np.bincount(np.concatenate(x), minlength=PLACES) / len(x) for x in (pos, unl)]
-    gain = df[0] * np.log((df[0] + 1e-3) / (df[1] + 1e-3)) * (np.bincount(np.concatenate(pos), minlength=PLACES) >= 3)
+    seen = [np.bincount(np.concatenate(x), minlength=PLACES) for x in (pos, unl)]
+    expected = (seen[1] + 0.5) / len(unl) * len(pos)
+    # twice the log-likelihood ratio of a word's count among the toxic against what unlabelled texts let expect
+    gain = np.where((seen[0] >= 3) & (seen[0] > expected), 2 * (seen[0] * np.log(np.maximum(seen[0], 1) / expected) - (seen[0] - expected)), 0.0)
     chosen = np.argsort(-gain, kind="stable")[:FEATURES]
-    chosen = chosen[gain[chosen] > 0]
+    chosen = chosen[gain[chosen] >= GAIN]
     slot = np.full(PLACES, -1, np.int32)
     slot[chosen] = np.arange(len(chosen))
 
