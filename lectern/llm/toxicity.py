@@ -28,8 +28,8 @@ from .common import octets
 #: Hash places; words kept as features; texts of each kind that training takes at most (about), chosen by a hash of doc_id.
 PLACES, FEATURES, SAMPLE = 1 << 20, 4096, 8000
 EPOCHS, RATE, DECAY = 300, 0.05, 1e-3
-#: Log-likelihood ratio that a feature has at least.
-GAIN = 20.0
+#: Log-likelihood ratio that a feature has at least, in all and for each confirmed text.
+GAIN, GAIN_EACH = 15.0, 0.07
 #: Lengths in bytes of the beginnings of words that are features too.
 BEGINNINGS = (4, 5, 6)
 _SPACED = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
@@ -75,7 +75,7 @@ def nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> Model:
     # twice the log-likelihood ratio of a word's count among the toxic against what unlabelled texts let expect
     gain = np.where((seen[0] >= 3) & (seen[0] > expected), 2 * (seen[0] * np.log(np.maximum(seen[0], 1) / expected) - (seen[0] - expected)), 0.0)
     chosen = np.argsort(-gain, kind="stable")[:FEATURES]
-    chosen = chosen[gain[chosen] >= GAIN]
+    chosen = chosen[gain[chosen] >= max(GAIN, GAIN_EACH * len(pos))]
     slot = np.full(PLACES, -1, np.int32)
     slot[chosen] = np.arange(len(chosen))
 
