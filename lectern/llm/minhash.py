@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,7 +34,9 @@ from .common import HashedWords, components, dropped, mix64, octets, staged
 BANDS, ROWS, MANTISSA = 32, 5, 10
 REGISTERS = BANDS * ROWS
 #: Rounds in which the members of a band meet one of them, before all that is still apart is compared.
-ROUNDS = 4
+ROUNDS = 2
+#: Least hashes of a set that are compared before the whole sets are; members of a block.
+LOWEST, BLOCK = 512, 256
 #: Tries along the path of an empty bucket before its next filled neighbour is taken.
 PATH = 48
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -180,6 +183,65 @@ def mixed_members(shared: DataFrame, by: DataFrame) -> DataFrame:
     return named.join(mixed, "band")
 
 
+def lowest(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, low): the LOWEST least hashes of each set, 32 bits each; the whole set where it has no more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = HashedWords(1)
+        for batch in batches:
+            low = [np.unique((shingles(t, k, hashed) >> np.uint64(32)).astype(np.uint32))[:LOWEST].tobytes() for t in octets(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.binary())], ["id", "low"])
+
+    found = texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "id long, low binary")
+    return found.groupBy("id").agg(F.min("low").alias("low"))
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard estimate from the least hashes of two sets; exact where both are whole."""
+    both = np.intersect1d(a, b, assume_unique=True)
+    if len(a) < LOWEST and len(b) < LOWEST:
+        return len(both) / (len(a) + len(b) - len(both))
+    top = min(x[-1] for x in (a, b) if len(x) == LOWEST)
+    n = int(np.searchsorted(a, top, "right") + np.searchsorted(b, top, "right"))
+    shared = int(np.searchsorted(both, top, "right"))
+    return shared / max(1, n - shared)
+
+
+def _hopeful(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Pairs of one pair of blocks of one band: different components, no earlier common band, alike by registers and by least hashes."""
+    band, low_block, high_block = pdf["band"].iloc[0], pdf["from"].iloc[0], pdf["to"].iloc[0]
+    regs = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(len(pdf), REGISTERS)
+    number = int(np.argmax(band_keys(regs[0]) == band))
+    ids, comps, blocks, sizes = (pdf[c].to_numpy() for c in ("id", "c", "block", "n"))
+    rows, cols = np.flatnonzero(blocks == low_block), np.flatnonzero(blocks == high_block)
+    floor = least - 5 * (least * (1 - least) / REGISTERS) ** 0.5
+    sets = [np.frombuffer(x, np.uint32) for x in pdf["low"]]
+    out = []
+    for i in rows:
+        j = cols[(comps[cols] != comps[i]) & ((ids[cols] > ids[i]) if low_block == high_block else True)]
+        j = j[np.minimum(sizes[j], sizes[i]) >= (least - 1e-9) * np.maximum(sizes[j], sizes[i])]
+        if not len(j):
+            continue
+        same = regs[j] == regs[i]
+        j, same = j[same.mean(1) >= floor], same[same.mean(1) >= floor]
+        j = j[~same[:, : number * ROWS].reshape(len(j), number, ROWS).all(2).any(1)] if number else j
+        for x in j:
+            whole = len(sets[i]) < LOWEST and len(sets[x]) < LOWEST
+            if _alike(sets[i], sets[x]) >= (least - 0.005 if whole else least - 5 * (least * (1 - least) / LOWEST) ** 0.5):
+                out.append((min(ids[i], ids[x]), max(ids[i], ids[x])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def across(members: DataFrame, classes: DataFrame, low: DataFrame, least: float) -> DataFrame:
+    """(a, b) across components that the sketches leave possible. A band's members are compared in blocks inside the tasks; only these pairs leave them."""
+    blocks = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    m = members.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("id", "band"), F.col("blocks")).cast("int"))
+    m = m.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    m = m.select("band", "id", "c", "block", F.least("block", "with").alias("from"), F.greatest("block", "with").alias("to"))
+    full = m.join(classes.select("id", "n", "regs"), "id").join(low, "id")
+    return full.groupBy("band", "from", "to").applyInPandas(lambda pdf: _hopeful(pdf, least), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     sketches = staged(sketched(docs, k), "sketches")
@@ -187,11 +249,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     bands = banded(classes)
     firsts = bands.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     shared = staged(bands.join(firsts.select("band", "least"), "band"), "shared")
+    texts = staged(docs.select("doc_id", "text").join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
     # each class against the one with which it shares most bands as their least member
     starts = shared.where("id <> least").groupBy("id", "least").agg(F.count(F.lit(1)).alias("n"))
     starts = starts.groupBy("id").agg(F.max(F.struct(F.col("n"), (-F.col("least")).alias("b"))).alias("m")).select(F.col("id").alias("a"), (-F.col("m.b")).alias("b"))
     tested = staged(starts, "tested")
-    links = staged(verified(likely(tested, classes, percent / 100), docs, k, percent), "links")
+    links = staged(verified(likely(tested, classes, percent / 100), texts, k, percent), "links")
     by = components(links)
     # rounds: members of a band against one of its members, drawn anew, where their components differ
     for turn in range(ROUNDS):
@@ -203,19 +266,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         hopes = staged(hopes, "tested")
         if not hopes.limit(1).count():
             break
-        new = staged(verified(hopes, docs, k, percent), "links")
+        new = staged(verified(hopes, texts, k, percent), "links")
         tested, links = tested.unionByName(hopes), links.unionByName(new)
         by = components(links)
     # what is left is compared whole: members of one band in different components
     open_ = staged(mixed_members(shared, by), "open")
-    other = open_.select("band", F.col("id").alias("b"), F.col("c").alias("cb"))
-    across = open_.select("band", F.col("id").alias("a"), F.col("c").alias("ca")).join(other, "band").where("a < b AND ca <> cb").select("a", "b").distinct()
-    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    hopes = staged(likely(across.join(done, ["a", "b"], "left_anti"), classes, percent / 100).select("a", "b"), "tested")
-    more = staged(verified(hopes, docs, k, percent), "links")
+    hopes = staged(across(open_, classes, lowest(texts, open_.select("id").distinct(), k), percent / 100), "tested")
+    more = staged(verified(hopes, texts, k, percent), "links")
     if more.limit(1).count():
         by = components(links.unionByName(more))
-    dropped(shared, open_)
+    dropped(shared, open_, texts)
     of_class = classes.select("digest", F.col("id").alias("_id")).join(by, F.col("_id") == by.id, "left").select("digest", F.coalesce("component", "_id").alias("component_id"))
     out = sketches.drop("regs").join(of_class, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
