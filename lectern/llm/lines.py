@@ -88,6 +88,7 @@ def removed_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int =
 def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the later copies of repeated runs deleted from `text`, and the counts n_lines, n_removed."""
     gone = staged(removed_lines(docs, min_lines, min_words), "gone").groupBy("doc_id").agg(F.collect_list("pos").alias("_gone"))
+    gone = gone.hint("merge")  # the same plan at every size
     parts = F.split("text", "\n", -1)
     none = F.array().cast("array<int>")
     joined = docs.join(gone, "doc_id", "left").withColumn("_gone", F.coalesce("_gone", none))
