@@ -249,7 +249,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     bands = banded(classes)
     firsts = bands.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     shared = staged(bands.join(firsts.select("band", "least"), "band"), "shared")
-    texts = staged(docs.select("doc_id", "text").join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    texts = staged(docs.select("doc_id", "text").join(shared.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "texts")
     # each class against the one with which it shares most bands as their least member
     starts = shared.where("id <> least").groupBy("id", "least").agg(F.count(F.lit(1)).alias("n"))
     starts = starts.groupBy("id").agg(F.max(F.struct(F.col("n"), (-F.col("least")).alias("b"))).alias("m")).select(F.col("id").alias("a"), (-F.col("m.b")).alias("b"))

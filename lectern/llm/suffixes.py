@@ -388,7 +388,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     parts = max(8, 2 * docs.rdd.getNumPartitions())
     once = staged(named_once(places(docs, parts).repartition(parts, "part")), "named")
     asks = once.where(F.octet_length("asks") > 0).groupBy("doc_id").agg(F.collect_list("asks").alias("asks"))
-    more = compared(docs.join(asks, "doc_id").select("doc_id", "text", "asks"), parts)
+    more = compared(docs.join(asks.hint("merge"), "doc_id").select("doc_id", "text", "asks"), parts)
     spans = staged(once.where(F.octet_length("gone") > 0).select("doc_id", "gone").unionByName(more.select("doc_id", "gone")), "spans")
     return spans.groupBy("doc_id").agg(F.collect_list("gone").alias("gone"))
 
@@ -413,5 +413,5 @@ def removed(docs: DataFrame) -> DataFrame:
             yield _batch(rows, schema)
 
     keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("_key"))
-    joined = keyed.join(spans.withColumnRenamed("doc_id", "_key"), "_key", "left").select("doc_id", "text", "gone")
+    joined = keyed.join(spans.withColumnRenamed("doc_id", "_key").hint("merge"), "_key", "left").select("doc_id", "text", "gone")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
