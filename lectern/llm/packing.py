@@ -77,7 +77,7 @@ class _Aged(dict):
 
 
 class _Cores(_Aged):
-    def __init__(self, path: str, bound: int = 250_000):
+    def __init__(self, path: str, bound: int = 500_000):
         from tokenizers import Tokenizer
 
         super().__init__(bound)
@@ -113,7 +113,7 @@ class Ids(_Aged):
     tokenizer lower-cases them too.
     """
 
-    def __init__(self, path: str, bound: int = 150_000):
+    def __init__(self, path: str, bound: int = 300_000):
         super().__init__(bound)
         self.cores = _Cores(path)
 
