@@ -102,7 +102,8 @@ def sampled(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarra
     first, last, p = here[new], here[np.append(new[1:], len(here)) - 1], p[new]
     total = np.concatenate([[np.uint64(0)], np.cumsum(x * _UP[:n])])
     name = (total[last + LENGTH - 7] - total[first]) * _DOWN[first]
-    return p, first, last, g[p], mix64(name ^ ((p - first).astype(np.uint64) * _C[51]))
+    # least hashes are small numbers: mixed again, they spread over all parts
+    return p, first, last, mix64(g[p] ^ _C[52]), mix64(name ^ ((p - first).astype(np.uint64) * _C[51]))
 
 
 def chunks(docs: list[int], texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
