@@ -6,12 +6,19 @@ orders (score, then id), hence the same under any partitioning.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import fixed, text
 
+#: A block of queries; records are cut into RECORD_BLOCKS, or more so that a block has RECORD_BLOCK at most on average.
+QUERY_BLOCK, RECORD_BLOCKS, RECORD_BLOCK = 2048, 16, 32768
 
 def top(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     """The first k rows of each group with their rank."""
@@ -49,13 +56,66 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _matrix(col: pa.ChunkedArray, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of d components as rows in double precision, and which rows are such vectors; the others are zeros. A null has d = -1."""
+    fits = pc.fill_null(pc.equal(pc.list_value_length(col), d), False)
+    flat = pc.list_flatten(col.filter(fits))
+    ok = np.array(fits.to_pylist(), bool)
+    x = np.zeros((len(ok), max(d, 0)))
+    if d < 1:
+        return x, ok
+    x[ok] = flat.cast(pa.float64()).fill_null(0.0).to_numpy().reshape(-1, d)
+    ok[ok] = ~pc.is_null(flat).to_numpy().reshape(-1, d).any(1)
+    return x, ok
+
+
+def _nearest(queries: pa.Table, records: pa.Table, k: int, schema: pa.Schema) -> pa.Table:
+    """The k nearest records of each query of a block among the records of a block, in the order of `vector`."""
+    ids, qids = records.column("record_id"), queries.column("query_id")
+    order = np.empty(len(ids), np.int64)
+    order[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+    both = pa.chunked_array([*qids.chunks, *ids.cast(qids.type).chunks]).dictionary_encode().combine_chunks().indices.to_numpy()
+    q_code, r_code = both[: len(qids)], both[len(qids) :]
+    lengths = pc.fill_null(pc.list_value_length(queries.column("q_vec")), -1).to_numpy()
+    found = [schema.empty_table()]
+    for d in np.unique(lengths):
+        mine = np.flatnonzero(lengths == d)
+        q, q_ok = _matrix(queries.column("q_vec").take(mine), int(d))
+        r, r_ok = _matrix(records.column("r_vec"), int(d))
+        for part in np.array_split(np.arange(len(mine)), -(-len(mine) // 64)):
+            s = q[part] @ r.T
+            s = np.copysign(np.floor(np.abs(s) * 1e9 + 0.5) / 1e9, s) + 0.0
+            none = ~(q_ok[part][:, None] & r_ok)
+            least = np.where(none, np.inf, np.where(np.isnan(s), -np.inf, -s))
+            self_ = q_code[mine[part]][:, None] == r_code
+            least[self_] = np.inf
+            n = min(k, len(order))
+            kth = np.partition(least, n - 1, axis=1)[:, n - 1 : n]
+            i, j = np.nonzero((least <= kth) & ~self_)
+            by = np.lexsort((order[j], least[i, j], i))
+            i, j = i[by], j[by]
+            keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+            i, j = i[keep], j[keep]
+            found.append(pa.table([qids.take(mine[part[i]]), ids.take(j), pa.array(s[i, j], mask=none[i, j], from_pandas=False)], schema=schema))
+    return pa.concat_tables(found)
+
+
 def vector(queries: DataFrame, records: DataFrame, k: int = fixed.CANDIDATES) -> DataFrame:
-    """(query_id, record_id, rank, similarity): the nearest records of a stated set of queries.
+    """(query_id, record_id, similarity, rank): the nearest records of a set of queries of any size.
 
-    The queries are a bounded request, so they go to the records: every task ranks its own part first and sends k rows a query on.
+    Queries and records meet in blocks: a task compares one block of each and sends k rows a query on. Records are copied once
+    for each block of queries, queries once for each block of records. Similarities are rounded to 9 places before ranking; a
+    pair without one (a null, or vectors of different lengths) comes last.
     """
-    pairs = records.join(F.broadcast(queries), F.col("record_id") != F.col("query_id")).withColumn("similarity", F.round(dot(F.col("q_vec"), F.col("r_vec")), 9))
-    return top(pairs.select("query_id", "record_id", "similarity"), ["query_id"], [F.desc("similarity"), F.col("record_id")], k)
+    queries, records = queries.where("query_id IS NOT NULL"), records.where("record_id IS NOT NULL")
+    blocks = queries.agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("q_blocks")).crossJoin(records.agg(F.greatest(F.lit(RECORD_BLOCKS), F.ceil(F.count(F.lit(1)) / RECORD_BLOCK)).cast("int").alias("r_blocks")))
+    dealt = lambda df, own, mine, others, name: df.crossJoin(F.broadcast(blocks)).withColumn(mine, F.pmod(F.xxhash64(own), F.col(others[0])).cast("int")).withColumn(name, F.explode(F.sequence(F.lit(0), F.col(others[1]) - 1)))
+    q = dealt(queries, "query_id", "qb", ("q_blocks", "r_blocks"), "rb").select("qb", "rb", "query_id", "q_vec")
+    r = dealt(records, "record_id", "rb", ("r_blocks", "q_blocks"), "qb").select("qb", "rb", "record_id", "r_vec")
+    kinds = {"query_id": queries.schema["query_id"].dataType, "record_id": records.schema["record_id"].dataType, "similarity": DoubleType()}
+    schema = pa.schema([(n, to_arrow_type(t)) for n, t in kinds.items()])
+    near = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(lambda a, b: _nearest(a, b, k, schema) if len(a) and len(b) else schema.empty_table(), StructType([StructField(n, t) for n, t in kinds.items()]))
+    return top(near, ["query_id"], [F.desc("similarity"), F.col("record_id")], k)
 
 
 def full_text(queries: DataFrame, passages: DataFrame, k: int = fixed.CANDIDATES, k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -46,15 +46,26 @@ def r03_fixture_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.fixture_overlap(items(spark, sf_dir), passages(spark, sf_dir), 4)
 
 
-@query("""WITH s AS (SELECT q.vec_id AS query_id, r.vec_id AS record_id, round(list_dot_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 9) AS sim FROM embeddings q JOIN embeddings r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, record_id) AS rank FROM s) SELECT query_id, record_id, rank, round(sim, 6) AS similarity FROM r WHERE rank <= 40""")
-def r04_vector_top40(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _nearest(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
+    """The 40 nearest records of every row whose id is divisible by `every`."""
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"))
+    q = e.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"))
     r = e.select(F.col("vec_id").alias("record_id"), F.col("embedding").alias("r_vec"))
     return retrieve.vector(q, r).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("""WITH s AS (SELECT q.vec_id AS query_id, r.vec_id AS record_id, round(list_dot_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 9) AS sim FROM embeddings q JOIN embeddings r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, record_id) AS rank FROM s) SELECT query_id, record_id, rank, round(sim, 6) AS similarity FROM r WHERE rank <= 40""")
+def r04_vector_top40(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nearest(spark, sf_dir, 50)
+
+
+@query("""WITH s AS (SELECT q.vec_id AS query_id, r.vec_id AS record_id, round(list_dot_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 9) AS sim FROM embeddings q JOIN embeddings r ON q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, record_id) AS rank FROM s) SELECT query_id, record_id, rank, round(sim, 6) AS similarity FROM r WHERE rank <= 40""")
+def r04_vector_top40_each20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nearest(spark, sf_dir, 20)
+
+
 _WORDS = f"list_transform(list_filter(regexp_extract_all(lower({{}}), '[a-z0-9]+'), lambda t: t NOT IN ({quoted(fixed.FULL_TEXT_STOP)})), lambda t: {stem_sql()})"
 _BM25 = f"""p AS (SELECT doc_id AS passage_id, {_WORDS.format('text')} AS w FROM documents), st AS (SELECT count(*) AS n_docs, avg(len(w)) AS avgdl FROM p),
 tf AS (SELECT passage_id, dl, token, count(*) AS tf FROM (SELECT passage_id, len(w) AS dl, unnest(w) AS token FROM p) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import ports
 from lectern.operators import context, ground, retrieve, segment, tutor
+from lectern.registry import QUERIES
 from lectern.sources import readers, sinks
 
 
@@ -100,3 +101,29 @@ def test_last_by_key(spark):
 def test_encoder_double(spark):
     df = spark.createDataFrame([("a b",), ("a b",), (None,)], "x string").select(ports.encoder()("x").alias("v")).collect()
     assert df[0].v == df[1].v and len(df[0].v) == 64
+
+
+def test_vector_takes_a_large_query_set(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", 7)
+    vecs = {i: None if i == 9 else [1.0, 0.5] if i == 11 else [float(i % 5), float(i % 3), 1.0] for i in range(60)}
+    q = spark.createDataFrame([(i, v) for i, v in vecs.items() if i % 2 == 0], "query_id long, q_vec array<float>")
+    r = spark.createDataFrame(list(vecs.items()), "record_id long, r_vec array<float>")
+    out = retrieve.vector(q, r, 4)
+    assert "BroadcastNestedLoopJoin BuildRight, Inner, NOT" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(x.query_id, x["rank"]): (x.record_id, x.similarity) for x in out.collect()}
+    sim = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)), 9)
+    for i in range(0, 60, 2):
+        near = sorted((-sim(vecs[i], v), j) for j, v in vecs.items() if j != i and j not in (9, 11))[:4]
+        assert [got.pop((i, n)) for n in range(1, 5)] == [(j, -s) for s, j in near]
+    assert not got
+    some = r.where("record_id IN (0, 9, 11)")
+    null = q.where("query_id = 2").select("query_id", F.lit(None).cast("array<float>").alias("q_vec"))
+    assert [(x.record_id, x.similarity) for x in retrieve.vector(null, some).orderBy("rank").collect()] == [(0, None), (9, None), (11, None)]
+    assert [(x.record_id, x.similarity) for x in retrieve.vector(q.where("query_id = 2"), some).orderBy("rank").collect()] == [(0, 1.0), (9, None), (11, None)]
+
+
+def test_vector_query_takes_every_twentieth_row(spark):
+    assert "r04_vector_top40_each20" in QUERIES
+    got = QUERIES["r04_vector_top40_each20"](spark, "/root/testdata/sf0.001").select("query_id").distinct().collect()
+    ids = {r.vec_id for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()}
+    assert {r.query_id for r in got} == {i for i in ids if i % 20 == 0}
