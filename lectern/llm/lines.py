@@ -4,7 +4,9 @@ Ranks of single lines are doubled to ranks of 2, 4, ... lines: the rank of a run
 length, by (rank of its first half, rank of its second half). Runs of one rank are an interval of the suffix array whose
 longest common prefix has that many lines; the interval's earliest run stays, and later ones go. A line is removed if it
 belongs to a run of `min_lines` lines that also starts earlier (smaller doc_id, or same document, earlier line), or if
-it has `min_words` words and occurs earlier. Neighbouring removed lines thus make up the maximal repeated runs.
+it has `min_words` words and occurs earlier. With `whole_runs`, every run that also starts earlier goes if its lines have
+`min_words` words together: ranks of 2, 3, ... lines, one line longer each time, judge the runs below `min_lines`, and longer
+ones go anyhow. Neighbouring removed lines thus make up the maximal repeated runs.
 Only lines found more than once take part: a unique line ends every run.
 
 Nulls and edge cases: lines are split at \\n; lines without words take part in runs but are never removed on their own; a
@@ -54,40 +56,54 @@ def repeated(lines: DataFrame) -> DataFrame:
 
 
 def doubled(runs: DataFrame, length: int, shift: int) -> DataFrame:
-    """Ranks of runs of length + shift lines from the ranks of runs of `length`; runs that meet a unique line or the end go."""
-    ahead = runs.select("doc_id", (F.col("pos") - shift).alias("pos"), F.col("rank").alias("next"))
-    pairs = runs.join(ahead, ["doc_id", "pos"]).select("doc_id", "pos", "rank", "next")
+    """Ranks of runs of length + shift lines from the ranks of runs of `length`; runs that meet a unique line or the end go.
+
+    `last` has the words of a run's last `shift` lines, where that is 1, and `words` those of the whole run.
+    """
+    ahead = runs.select("doc_id", (F.col("pos") - shift).alias("pos"), F.col("rank").alias("next"), F.col("last").alias("more"))
+    pairs = runs.join(ahead, ["doc_id", "pos"]).select("doc_id", "pos", "rank", "next", (F.col("words") + F.col("more")).alias("words"), F.col("more").alias("last"))
     distinct = pairs.groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # within one first half, by the second: the halves' ranks are cut into buckets, so a very frequent first half is dealt out
     ranked = exact_rank(distinct, ["rank"], F.shiftright("next", 12), [F.col("next")], "below", "n")
-    return pairs.join(ranked.select("rank", "next", (F.col("rank") + F.col("below")).alias("new")), ["rank", "next"]).select("doc_id", "pos", F.col("new").alias("rank"))
+    return pairs.join(ranked.select("rank", "next", (F.col("rank") + F.col("below")).alias("new")), ["rank", "next"]).select("doc_id", "pos", F.col("new").alias("rank"), "words", "last")
+
 
+def _covered(runs: DataFrame, length: int, least: int = 0) -> DataFrame:
+    """(doc_id, pos) of every line in a run of `length` lines with `least` words that also starts earlier."""
+    runs = runs.where(F.col("words") >= least)  # runs of one rank have the same words
+    first = runs.groupBy("rank").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
+    later = runs.join(first, "rank").where(F.struct("doc_id", "pos") > F.col("first"))
+    return later.select("doc_id", F.explode(F.sequence(F.col("pos"), F.col("pos") + (length - 1))).alias("pos")).distinct()
 
-def later_runs(lines: DataFrame, min_lines: int) -> DataFrame:
-    """(doc_id, pos) of every line in a run of min_lines lines that also starts earlier."""
+
+def later_runs(lines: DataFrame, min_lines: int, min_words: int | None = None) -> DataFrame:
+    """(doc_id, pos) of every line in a run of min_lines lines that also starts earlier; with min_words, in a shorter one of 2 lines or more with so many words, too."""
     distinct = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
     ranks = exact_rank(distinct.withColumn("_all", F.lit(0)), ["_all"], F.shiftright("line", 51), [F.col("line")], "rank", "n").select("line", "rank")
-    runs = staged(lines.select("doc_id", "pos", "line").join(ranks, "line").select("doc_id", "pos", "rank"), "runs")
-    length = 1
+    runs = staged(lines.select("doc_id", "pos", "line", "words").join(ranks, "line").select("doc_id", "pos", "rank", "words", F.col("words").alias("last")), "runs")
+    length, found = 1, []
     while length < min_lines:
-        shift = min(length, min_lines - length)
+        shift = 1 if min_words is not None else min(length, min_lines - length)
         runs = staged(doubled(runs, length, shift), "runs")
         length += shift
-    first = runs.groupBy("rank").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
-    later = runs.join(first, "rank").where(F.struct("doc_id", "pos") > F.col("first"))
-    return later.select("doc_id", F.explode(F.sequence(F.col("pos"), F.col("pos") + (length - 1))).alias("pos")).distinct()
+        if min_words is not None and length < min_lines:
+            found.append(_covered(runs, length, min_words))
+    out = _covered(runs, length)
+    for x in found:
+        out = out.unionByName(x)
+    return out
 
 
-def removed_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+def removed_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
     """(doc_id, pos) of the lines to remove."""
     lines = staged(repeated(hashed_lines(docs)), "lines")
     alone = lines.where(F.col("words") >= min_words).where(F.struct("doc_id", "pos") > F.col("first")).select("doc_id", "pos")
-    return alone.unionByName(later_runs(lines, min_lines)).distinct()
+    return alone.unionByName(later_runs(lines, min_lines, min_words if whole_runs else None)).distinct()
 
 
-def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
     """docs with the later copies of repeated runs deleted from `text`, and the counts n_lines, n_removed."""
-    gone = staged(removed_lines(docs, min_lines, min_words), "gone").groupBy("doc_id").agg(F.collect_list("pos").alias("_gone"))
+    gone = staged(removed_lines(docs, min_lines, min_words, whole_runs), "gone").groupBy("doc_id").agg(F.collect_list("pos").alias("_gone"))
     gone = gone.hint("merge")  # the same plan at every size
     parts = F.split("text", "\n", -1)
     none = F.array().cast("array<int>")

@@ -23,7 +23,7 @@ def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.deduplicated(_docs(spark, sf_dir))
+    out = lines.deduplicated(_docs(spark, sf_dir), whole_runs=True)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -119,6 +119,41 @@ def test_mix(docs, rows):
     assert mixing.mixed(docs).count() == sum(r.copies for r in got)
 
 
+def test_line_dedup_judges_runs_as_a_whole(spark, docs, rows):
+    """Any run that starts earlier goes if it has MIN_LINES lines or MIN_WORDS words, against every run of every length up to MIN_LINES."""
+    r = random.Random(5)
+    short = [" ".join(r.choices("abcdefgh", k=r.randint(0, 9))) for _ in range(12)]
+    more = [(1000 + i, "\n".join(r.choices(short, k=r.randint(1, 12))), "en", "a", 1, 0) for i in range(60)]
+    once = {i: t for i, t, *_ in [*rows, *more]}
+    seen, gone, old = set(), set(), set()
+    for i in sorted(k for k, t in once.items() if t is not None):
+        ls = once[i].split("\n")
+        for p in range(len(ls)):
+            for n in range(1, lines.MIN_LINES + 1):
+                run = tuple(ls[p : p + n])
+                if len(run) == n:
+                    if run in seen and (n == lines.MIN_LINES or sum(len(x.encode().split()) for x in run) >= lines.MIN_WORDS):
+                        gone |= {(i, p + j) for j in range(n)}
+                        old |= {(i, p + j) for j in range(n) if n in (1, lines.MIN_LINES)}
+                    seen.add(run)
+    assert gone > old
+    all_ = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    got = {(x.doc_id, x.pos) for x in lines.removed_lines(all_, whole_runs=True).collect()}
+    assert got == gone
+
+
+def test_line_dedup_query_and_stage_judge_runs_as_a_whole(spark, tmp_path):
+    import corpus_pipeline
+    from lectern.llm.registry import QUERIES
+
+    run = "one two three four five six seven eight\nnine ten eleven twelve thirteen fourteen fifteen"
+    pair = [(1, f"first words\n{run}\nend", "en", "a", 1), (2, f"other words\n{run}\nfinish", "en", "a", 1)]
+    spark.createDataFrame(pair, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {x.doc_id: x.n_removed for x in QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect()} == {1: 0, 2: 2}
+    stage = corpus_pipeline.line_dedup(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
+    assert {x.doc_id: x.text for x in stage.collect()} == {1: pair[0][1], 2: "other words\nfinish"}
+
+
 def test_line_dedup(docs, rows):
     once = {i: t for i, t, *_ in rows}
     seen, runs, gone = set(), set(), set()
