@@ -142,6 +142,15 @@ def fused(channels: list[DataFrame], weights: tuple[float, ...] = fixed.RRF_WEIG
     return top(summed, ["query_id"], [F.desc("score"), F.col("passage_id")], k)
 
 
+def reserved(ranked: DataFrame, most: int = fixed.PER_FACET) -> DataFrame:
+    """(query_id, passage_id, rank, n_facets) from (query_id, facet_no, passage_id, rank); facet_no 0 is the main ranking.
+
+    Each facet's first `most` passages are united with the main ranking; a passage found more than once has its least rank.
+    """
+    held = ranked.where((F.col("facet_no") == 0) | (F.col("rank") <= most))
+    return held.groupBy("query_id", "passage_id").agg(F.min("rank").alias("rank"), F.sum((F.col("facet_no") > 0).cast("long")).alias("n_facets"))
+
+
 def eligible(passages: DataFrame, flagged: DataFrame, languages: list[str]) -> DataFrame:
     """Passages in scope without an open issue, before any ranking."""
     return passages.where(F.col("lang").isin(languages)).join(flagged, "passage_id", "left_anti")

@@ -93,13 +93,32 @@ def r07_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.fused([retrieve.lexical(q, p, 40), retrieve.full_text(q, p, 40)], k=6)
 
 
-@query(r"""SELECT item_id AS query_id, list_position(fs, f) AS facet_no, f AS facet FROM (SELECT item_id, fs, unnest(fs) AS f FROM (SELECT item_id, list_filter(l, lambda x, i: list_position(l, x) = i)[1:4] AS fs FROM
-(SELECT item_id, list_filter(list_transform(string_split(text, '.'), lambda x: trim(regexp_replace(x, '[\s\p{Z}\x{85}\x{0B}]+', ' ', 'g'))), lambda x: x <> '' AND x <> text) AS l FROM benchmark)))""")
+_FACETS = r"""SELECT item_id AS query_id, list_position(fs, f) AS facet_no, f AS facet FROM (SELECT item_id, fs, unnest(fs) AS f FROM (SELECT item_id, list_filter(l, lambda x, i: list_position(l, x) = i)[1:4] AS fs FROM
+(SELECT item_id, list_filter(list_transform(string_split(text, '.'), lambda x: trim(regexp_replace(x, '[\s\p{Z}\x{85}\x{0B}]+', ' ', 'g'))), lambda x: x <> '' AND x <> text) AS l FROM benchmark)))"""
+
+
+@query(_FACETS)
 def r08_r10_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     fs = F.slice(F.array_distinct(F.filter(F.transform(F.split("query", r"\."), text.collapsed), lambda x: (x != "") & (x != F.col("query")))), 1, 4)
     return items(spark, sf_dir).select("query_id", F.posexplode(fs).alias("i", "facet")).select("query_id", (F.col("i") + 1).alias("facet_no"), "facet")
 
 
+_RRF = f"""{_PAIRS}, lx AS (SELECT query_id, passage_id, row_number() OVER (PARTITION BY query_id ORDER BY overlap / sqrt(greatest(1, n_terms)) DESC, passage_id) AS rank FROM pairs QUALIFY rank <= 40), {_BM25.format(k=40)},
+u AS (SELECT query_id, passage_id, 1.0::DOUBLE / (60 + rank) AS part FROM lx UNION ALL SELECT query_id, passage_id, 1.0::DOUBLE / (60 + rank) FROM bm), f AS (SELECT query_id, passage_id, round(sum(part), 9) AS score FROM u GROUP BY ALL),
+m AS (SELECT query_id, passage_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM f QUALIFY rank <= 6)""".replace("FROM benchmark", "FROM asked")
+
+
+@query(f"""WITH facets AS ({_FACETS}), asked AS (SELECT item_id * 5 AS item_id, text FROM benchmark UNION ALL SELECT query_id * 5 + facet_no, facet FROM facets), {_RRF}
+SELECT query_id // 5 AS query_id, passage_id, min(rank)::INT AS rank, count_if(query_id % 5 > 0)::BIGINT AS n_facets FROM m WHERE query_id % 5 = 0 OR rank <= 2 GROUP BY ALL""")
+def r08_reserved_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, p = items(spark, sf_dir), passages(spark, sf_dir)
+    asked = q.select((F.col("query_id") * 5).alias("query_id"), "query")
+    asked = asked.unionByName(r08_r10_facets(spark, sf_dir).select((F.col("query_id") * 5 + F.col("facet_no")).alias("query_id"), F.col("facet").alias("query")))
+    ranked = retrieve.fused([retrieve.lexical(asked, p, 40), retrieve.full_text(asked, p, 40)], k=6)
+    ranked = ranked.select(F.expr("query_id div 5").alias("query_id"), F.expr("query_id % 5").alias("facet_no"), "passage_id", "rank")
+    return retrieve.reserved(ranked)
+
+
 @query("SELECT item_id, concat_ws(chr(10), nullif(regexp_extract(text, '^(\\S+)', 1), ''), text, CASE WHEN item_id % 2 = 0 THEN 'help' END) AS composed FROM benchmark")
 def r13_compose_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.concat_ws("\n", F.nullif(F.regexp_extract("text", r"^(\S+)", 1), F.lit("")), "text", F.when(F.col("item_id") % 2 == 0, "help")).alias("composed"))

@@ -127,3 +127,11 @@ def test_vector_query_takes_every_twentieth_row(spark):
     got = QUERIES["r04_vector_top40_each20"](spark, "/root/testdata/sf0.001").select("query_id").distinct().collect()
     ids = {r.vec_id for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()}
     assert {r.query_id for r in got} == {i for i in ids if i % 20 == 0}
+
+
+def test_facets_reserve_passages(spark):
+    rows = [(1, 0, 10, 1), (1, 0, 11, 2), (1, 1, 11, 1), (1, 1, 12, 2), (1, 1, 13, 3), (1, 2, 12, 1), (2, 1, 10, 2)]
+    ranked = spark.createDataFrame(rows, "query_id long, facet_no long, passage_id long, rank int")
+    got = {tuple(r) for r in retrieve.reserved(ranked).collect()}
+    assert got == {(1, 10, 1, 0), (1, 11, 1, 1), (1, 12, 1, 2), (2, 10, 2, 1)}
+    assert "r08_reserved_facets" in QUERIES
