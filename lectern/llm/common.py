@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..staging import shared_dir, staged
 
-__all__ = ["HashedWords", "components", "dropped", "exact_rank", "mix64", "octets", "shared_dir", "staged"]
+__all__ = ["HashedWords", "components", "dropped", "exact_rank", "fresh", "mix64", "octets", "shared_dir", "staged"]
 
 
 def dropped(*dfs: DataFrame) -> None:
@@ -40,7 +40,7 @@ def octets(col: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
 
 
 class HashedWords(dict):
-    """word -> 64-bit hash; cleared when it has grown to `bound` words."""
+    """word -> 64-bit hash; cleared when it has grown to `bound` words. Words of over 256 bytes are hashed anew each time."""
 
     def __init__(self, seed: int = 0, bound: int = 400_000):
         super().__init__()
@@ -49,6 +49,8 @@ class HashedWords(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
+        if len(word) > 256:
+            return xxhash.xxh3_64_intdigest(word, self.seed)
         if len(self) >= self.bound:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
@@ -79,24 +81,48 @@ def exact_rank(df: DataFrame, strata: list[str], bucket: Column, order: list[Col
     return numbered.join(offsets, cond).select(*kept, (F.col("_before") + F.col("_i")).cast("long").alias(name))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it from clashing with a column, in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def _starred(edges: DataFrame, keep: Column) -> DataFrame:
+    """Edges (u, v) of every node u joined to m, the least of u and its neighbours; `keep` are the pairs that take its place."""
+    least = staged(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    return edges.join(least, "u").select(F.explode(keep).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+
+
+def _state(edges: DataFrame) -> tuple[int, str]:
+    """Count and order-free digest of a set of edges."""
+    h = F.xxhash64("u", "v").cast("decimal(38,0)")
+    n, digest = edges.agg(F.count(F.lit(1)), F.sum(h)).first()
+    return n, str(digest)
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable, for every id in `edges` (a, b).
 
-    Each round takes the least label of the neighbours, then the label's own label, so paths halve. Every
-    round is written to the shared folder; minima are combined before the shuffle.
+    Alternating stars: the large star ties every larger neighbour of a node to the node's least neighbour, the small star does so
+    with a node and its smaller ones. Both keep the components; edges end as stars round the least ids. It runs until nothing
+    changes, which takes about log n rounds also on long chains. Minima are combined before the shuffle; each round is
+    written to the shared folder, and the least neighbours are too, so that Spark may split the join at a hub with very many.
     """
-    both = staged(edges.select("a", "b").where("a <> b").distinct().select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b"), "edges")
-    labels = staged(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
-    for _ in range(rounds):
-        near = both.join(labels, both.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("least"))
-        down = labels.join(near, "id").select("id", F.least("component", "least").alias("component"), F.col("component").alias("was"))
-        roots = labels.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        new = staged(down.join(roots, "component", "left").select("id", F.least("component", "root").alias("component"), "was"), "labels")
-        dropped(labels)
-        moved = new.where("component <> was").limit(1).count()
-        labels = new.select("id", "component")
-        if not moved:
+    pair = lambda u, v: F.struct(u.alias("u"), v.alias("v"))
+    u, v, m = F.col("u"), F.col("v"), F.col("m")
+    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    state = _state(now)
+    while state[0]:
+        both = now.unionByName(now.select(v.alias("u"), u.alias("v")))
+        large = staged(_starred(both, F.when(v > u, F.array(pair(v, m))).otherwise(F.array().cast("array<struct<u:bigint,v:bigint>>"))), "edges")
+        new = staged(_starred(large, F.array(pair(u, m), pair(v, m))), "edges")
+        dropped(now, large)
+        now, before, state = new, state, _state(new)
+        if state == before:
             break
-    else:
-        raise RuntimeError("the components did not settle")
-    return labels
+    return now.select(u.alias("id"), v.alias("component")).unionByName(now.select(v.alias("id"), v.alias("component")).distinct())

@@ -13,12 +13,16 @@ empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,111 +55,170 @@ def cuts(n: int, capacity: int, min_cut: int) -> list[int]:
     return [*out, n] if n else out
 
 
-#: Punctuation that is a token run of its own after a letter or digit.
-_TRAILING = ".,;:!?*$%&#\")("
-
-
-class _Aged(dict):
-    """A cache of at most two generations of `bound` entries; what is used again moves to the younger one."""
-
-    def __init__(self, bound: int):
-        super().__init__()
-        self.bound, self.old = bound, {}
-
-    def made(self, key: str) -> bytes:
-        raise NotImplementedError
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key)
-        if value is None:
-            value = self.made(key)
-        if len(self) >= self.bound:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
-class _Cores(_Aged):
-    def __init__(self, path: str, bound: int = 500_000):
-        from tokenizers import Tokenizer
-
-        super().__init__(bound)
-        self.tok = Tokenizer.from_file(path)
-
-        vocabulary = self.tok.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def made(self, key: str) -> bytes:
-        return np.asarray(self.tok.encode(key, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, keys: list[str]) -> None:
-        """Encodes runs of letters together: each is one word to the tokenizer, and its last id alone ends a word."""
-        ids = np.asarray(self.tok.encode(" ".join(keys), add_special_tokens=False).ids, "<u4")
-        cut = np.flatnonzero(self.ends[ids]) + 1
-        if len(cut) != len(keys):
-            return  # a letter that the tokenizer takes for none; such words are encoded one by one
-        raw = ids.tobytes()
-        begin = 0
-        for key, end in zip(keys, (cut * 4).tolist(), strict=True):
-            self[key] = raw[begin:end]
-            begin = end
-        if len(self) >= self.bound:
-            self.old = dict(self)
-            self.clear()
-
-
-class Ids(_Aged):
-    """Word without white space -> its ids as little-endian 32-bit integers. The tokenizer drops white space and never joins across it.
-
-    Behind it, words are kept without their punctuation at the end, and in lower case where they are ASCII, as the
-    tokenizer lower-cases them too.
-    """
-
-    def __init__(self, path: str, bound: int = 300_000):
-        super().__init__(bound)
-        self.cores = _Cores(path)
-
-    def learn(self, words: set[str]) -> None:
-        """Encodes the unknown words' cores at once."""
-        new = {(w.lower() if w.isascii() else w).rstrip(_TRAILING) for w in words - self.keys() - self.old.keys() if "<|" not in w}
-        new = [c for c in new - self.cores.keys() - self.cores.old.keys() if len(c) <= 64 and c.isalpha()]
-        for i in range(0, len(new), 4000):
-            self.cores.learn(new[i : i + 4000])
-
-    def made(self, key: str) -> bytes:
-        if "<|" in key:  # may hold a special token
-            return self.cores.made(key)
-        if key.isascii():
-            key = key.lower()
-        core = key.rstrip(_TRAILING)
-        if not core or not core[-1].isalnum():
-            return self.cores[key] if len(key) <= 64 else self.cores.made(key)
-        first = self.cores[core] if len(core) <= 64 else self.cores.made(core)
-        return first + self.cores[key[len(core) :]] if len(core) < len(key) else first
+#: Punctuation that, at the end of a word behind a letter or digit, is a token run of its own for a word-wise tokenizer.
+_TAIL = ".,;:!?"
+#: Bytes of text that are encoded together; bytes of words and ids that a cache holds; bytes of the longest word that it keeps.
+CHUNK, CACHE, LONGEST = 8 << 20, 160 << 20, 1 << 16
+#: What a word-wise tokenizer does before its model: it makes white space one space, lower-cases, and splits runs of letters, single digits and
+#: runs of other signs, so no id depends on what lies beyond white space.
+_WORD_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def word_wise(config: dict) -> bool:
+    """True if the tokenizer's ids of a text are those of its words between white space, one after another, and case doesn't matter."""
+    steps = lambda part, key: (part.get(key, []) if part.get("type") == "Sequence" else [part]) if part else []
+    normal = [(x["type"], (x.get("pattern") or {}).get("Regex"), x.get("content")) for x in steps(config.get("normalizer"), "normalizers")]
+    split = steps(config.get("pre_tokenizer"), "pretokenizers")
+    added = config.get("added_tokens", [])
+    return (
+        set(normal) <= {("NFC", None, None), ("Replace", r"\s+", " "), ("Lowercase", None, None)}
+        and normal[-1:] == [("Lowercase", None, None)]
+        and [x["type"] for x in split] == ["Split", "ByteLevel"]
+        and split[0]["pattern"] == {"Regex": _WORD_RUNS} and split[0]["invert"] and split[0]["behavior"] == "Removed"
+        and not split[1]["use_regex"] and not split[1]["add_prefix_space"]
+        and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"] or any(c.isspace() for c in a["content"]) for a in added)
+    )
+
+
+#: A letter or digit at the end that stays one when it is composed and lower-cased (U+0130 doesn't), so that what follows starts a new run.
+_ENDS_ALONE = "[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]$"
+
+
+def _gathered(ids: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """ids[first[i] : first[i] + count[i]] of every i, one after another."""
+    before = np.cumsum(count) - count
+    return ids[np.arange(int(count.sum())) + np.repeat(first - before, count)]
+
+
+class WordIds:
+    """The ids of words, kept in one array; the cache is emptied when it holds CACHE bytes. Slot 0 has no ids."""
+
+    def __init__(self, tok, marks: list[str]):
+        self.tok, self.marks = tok, marks
+        self._empty()
+
+    def _empty(self) -> None:
+        self.slot: dict[str, int] = {"": 0}
+        self.first, self.count, self.ids, self.held = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32), 0
+
+    def _add(self, count: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """New slots."""
+        base = len(self.first)
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.ids = np.concatenate([self.ids, ids])
+        self.held += ids.nbytes
+        return np.arange(base, base + len(count))
+
+    def _slots(self, words: pa.Array) -> np.ndarray:
+        """The slots of words that are encoded as they stand."""
+        coded = words.dictionary_encode()
+        keys = coded.dictionary.to_pylist()
+        new = [w for w in keys if w not in self.slot]
+        if new:
+            got = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
+            count = np.fromiter(map(len, got), np.int64, len(got))
+            self.slot.update(zip(new, self._add(count, np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(count.sum()))).tolist(), strict=True))
+            self.held += sum(map(len, new)) + 100 * len(new)
+        return np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))[np.asarray(coded.indices)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Words without marks are lower-cased where they are ASCII, and encoded apart from the punctuation at their end."""
+        raw = pa.array(words, pa.large_string())
+        low = pc.if_else(pc.string_is_ascii(raw), pc.ascii_lower(raw), raw)
+        marked = pa.array(np.zeros(len(raw), bool))
+        for m in self.marks:
+            marked = pc.or_(marked, pc.match_substring(low, m))
+        core = pc.utf8_rtrim(low, characters=_TAIL)
+        core = pc.if_else(marked, raw, pc.if_else(pc.match_substring_regex(core, _ENDS_ALONE), core, low))
+        slots = self._slots(core)
+        tails = np.asarray(pc.subtract(pc.binary_length(low), pc.binary_length(core)))
+        with_tail = np.flatnonzero((tails > 0) & ~np.asarray(marked))
+        if len(with_tail):
+            tail = self._slots(pa.array([words[i][-n:] for i, n in zip(with_tail.tolist(), tails[with_tail].tolist(), strict=True)], pa.large_string()))
+            both = np.stack([slots[with_tail], tail], 1).ravel()
+            count = self.count[both]
+            slots[with_tail] = self._add(count.reshape(-1, 2).sum(1), _gathered(self.ids, self.first[both], count))
+        self.slot.update(zip(words, slots.tolist(), strict=True))
+        self.held += sum(map(len, words)) + 100 * len(words)
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The array of ids, and where each word's begin there and how many they are."""
+        if self.held >= CACHE:
+            self._empty()
+        new = [w for w in words if w not in self.slot]
+        if new:
+            self._learn(new)
+        slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+        out = self.ids, self.first[slots], self.count[slots]
+        if new and max(map(len, new)) > LONGEST:  # such words aren't kept
+            self._empty()
+        return out
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str):
+    """texts (a string array) -> (all ids, each text's count). Kept by the worker from task to task."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    config = json.loads(tok.to_str())
+    if not word_wise(config):
+
+        def whole(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            got = [e.ids for e in tok.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.fromiter(itertools.chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+
+        return whole
+    words = WordIds(tok, list({x for a in config["added_tokens"] for x in (a["content"], a["content"].lower())}))
+
+    def by_word(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.ascii_split_whitespace(texts)
+        flat, ends = split.flatten(), np.asarray(split.offsets)
+        real = np.asarray(pc.greater(pc.binary_length(flat), 0), bool) if len(flat) else np.zeros(0, bool)
+        number = np.concatenate([[0], np.cumsum(real)])[ends - ends[0]]
+        coded = flat.filter(pa.array(real)).dictionary_encode()
+        ids, first, count = words(coded.dictionary.to_pylist())
+        at = np.asarray(coded.indices).astype(np.int64)
+        first, count = first[at], count[at]
+        before = np.concatenate([[0], np.cumsum(count)])
+        return _gathered(ids, first, count), np.diff(before[number])
+
+    return by_word
+
+
+def _chunks(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of rows with at most CHUNK bytes, or of one row."""
+    out, begin, total = [], 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > begin and total + n > CHUNK:
+            out.append((begin, i))
+            begin, total = i, 0
+        total += n
+    return [*out, (begin, len(sizes))] if len(sizes) else out
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capacity: int = 4096, min_cut: int = 256) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens."""
+    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens. A tokenizer that isn't word-wise is given whole texts."""
     path = tokenizer or default_tokenizer()
-    end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(path)
+        encoded = encoder(path)
         for batch in batches:
-            out: list[tuple] = []
-            docs_, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(texts), 256):
-                words = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[i : i + 256]]
-                ids.learn(set().union(*words))
-                for doc, ws in zip(docs_[i : i + 256], words, strict=True):
-                    b = b"".join(map(ids.__getitem__, ws)) + end
-                    n, at = len(b) // 4, 0
-                    for m in cuts(n, capacity, min_cut):
-                        out.append((doc, at, m, zlib.crc32(b[4 * at : 4 * (at + m)]), n))
+            texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
+            docs_ = batch.column(0).to_pylist()
+            for begin, end in _chunks(np.asarray(pc.binary_length(texts))):
+                out: list[tuple] = []
+                ids, counts = encoded(texts.slice(begin, end - begin))
+                low = 0
+                for doc, n in zip(docs_[begin:end], counts.tolist(), strict=True):
+                    b = np.append(ids[low : low + n], np.uint32(end_id)).astype("<u4").tobytes()
+                    low += n
+                    at = 0
+                    for m in cuts(n + 1, capacity, min_cut):
+                        out.append((doc, at, m, zlib.crc32(b[4 * at : 4 * (at + m)]), n + 1))
                         at += m
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, _PIECES)
 
