@@ -1,17 +1,22 @@
 """Mixing sources to target weights by entropy balancing.
 
-The base measure is the corpus' token mass. Among all mixes whose sources hold the wanted tokens, the one closest to
-the base measure in relative entropy tilts each document's rate by exp(lambda of its source); the lambdas maximise a
-concave dual, solved by damped Newton steps on the sources' moments, all sources at once and none on the driver.
-Rates become whole copies: floor(rate) for every document, and one more for evenly spaced ranks in the order of size,
-so the words taken follow the rate at every length; what then is missing from a source's target is made up by a few
-documents of falling size.
+The base measure takes each document once. Among all mixes whose sources hold the wanted tokens and that take no document
+more than `cap` times, the one closest to it in relative entropy gives document i of source s the rate
+min(cap, exp(lambda_s * x_i)), where x_i is its token count by the source's scale: documents are tilted one by one, the long ones most.
+The lambdas maximise the concave dual; its gradient is the tokens that a source's rates take less its target. Each Newton round sums
+gradient and curvature over the whole table, for all sources at once, and moves every lambda inside a bracket that only narrows; it ends when no gradient
+exceeds TOLERANCE of its target. Rates depend on (source, token count) alone, so the table is first combined to counts of these, which are exact; no round
+runs on the driver, which reads only the largest gradient.
+
+Rates become whole copies by systematic rounding: along the order of size, a document gets one more copy where the running sum of fractions passes a
+whole number, so the words taken follow the rates at every length; what then is missing from a source's target is made up by a few
+documents of falling size. Sums are taken in whole or decimal numbers, so reruns agree.
 
 Targets: weights by the sources' order (code points, null last), repeating; a target stops at `cap` times its
 source's size and what is above is shared again by weight among the rest.
 
-Nulls and edge cases: a null text has no words and is taken with 0 words; a null source is a source of its own; a source
-without words has target 0; repeated rows are mixed each; an empty table gives an empty result; other columns are kept
+Nulls and edge cases: a null text has no words; a document without words has rate 1 and takes 0 words; a null source is a source of its own; a source
+without words has target 0; repeated rows are mixed each, null ids too; an empty table gives an empty result; other columns, whatever their names, are kept
 by `mixed`, ignored by `mix`.
 """
 
@@ -22,12 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import exact_rank, staged
+from .common import dropped, exact_rank, staged
 
 WORD_GAPS = r"[\x20\x09-\x0D]+"
 #: Documents of each size class and direction that the correction may choose from.
 SPARE = 8
-NEWTON_STEPS = 40
+#: Gradient of the dual at which Newton's method ends, as a share of the target; the unit of fractions of copies.
+TOLERANCE, UNIT = 1e-9, 1 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -53,17 +59,54 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: flo
     return s.withColumn("_water", level).select("source", "source_size", F.least(F.col("_limit"), F.coalesce(F.col("_water"), F.lit(float("inf"))) * F.col("_w")).alias("target"))
 
 
-def tilts(goals: DataFrame) -> DataFrame:
-    """Adds `tilt`: the root of the dual's gradient, target - size * exp(tilt), by Newton steps of at most 1."""
-    g, h = F.col("target"), F.col("source_size").cast("double")
-    step = lambda t: t + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (g - h * F.exp(t)) / (h * F.exp(t))))
-    return goals.withColumn("tilt", F.when((h > 0) & (g > 0), F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.0), lambda t, _: step(t))))
+def rate(tilt: Column, scale: Column, size: Column, cap: float) -> Column:
+    """Copies of a document, on average: its tilt, or the cap. A null tilt is beyond every number."""
+    return F.when(size == 0, F.lit(1.0)).otherwise(F.coalesce(F.least(F.exp(F.least(tilt * size / scale, F.lit(50.0))), F.lit(float(cap))), F.lit(float(cap))))
+
+
+def tilts(counts: DataFrame, goals: DataFrame, cap: float) -> DataFrame:
+    """(source, source_size, target, scale, tilt) from the documents of each (source, size) and the targets: the root of the dual's gradient.
+
+    A source whose target is the cap of all its documents has the tilt null: all of them are taken `cap` times.
+    """
+    words, square = (F.col("size") * F.col("n")).cast("decimal(38,0)"), F.col("size").cast("double") * F.col("size") * F.col("n")
+    scales = counts.groupBy("source").agg((F.sum(square.cast("decimal(38,0)")).cast("double") / F.greatest(F.sum(words).cast("double"), F.lit(1.0))).alias("scale"))
+    full = F.col("target") >= float(cap) * F.col("source_size") * (1 - 1e-12)
+    start = F.when(F.col("source_size") == 0, F.lit(0.0)).when(~full, F.least(F.greatest(F.log(F.col("target") / F.col("source_size")), F.lit(-20.0)), F.lit(20.0)))
+    # "_source" is never null, so that the joins are plain ones
+    key = lambda df: df.withColumn("_source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    now = key(goals).join(key(scales).drop("source"), "_source").select("_source", "source", "source_size", "target", F.greatest("scale", F.lit(1.0)).alias("scale"), start.alias("tilt"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(float("inf")).alias("off"))
+    now, table = staged(now, "tilts"), staged(key(counts).where("size > 0").drop("source"), "counts")
+    while now.where("tilt IS NOT NULL AND source_size > 0").limit(1).count():
+        r = rate(F.col("tilt"), F.col("scale"), F.col("size"), cap)
+        taken = F.col("n") * F.col("size") * r
+        # decimals add up alike in any order
+        moved = F.sum(taken.cast("decimal(38,6)")).cast("double").alias("_sum"), F.sum(F.when(r < float(cap), taken * F.col("size") / F.col("scale")).otherwise(0.0).cast("decimal(38,6)")).cast("double").alias("_slope")
+        sums = table.join(now.select("_source", "tilt", "scale").where("tilt IS NOT NULL"), "_source").groupBy("_source").agg(*moved)
+        gap, t = F.col("_sum") - F.col("target"), F.col("tilt")
+        low, high = F.when(gap < 0, t).otherwise(F.col("low")), F.when(gap > 0, t).otherwise(F.col("high"))
+        reach = 1 + F.abs(t)  # a step at most doubles the tilt
+        step = F.when(F.col("_slope") > 0, t - F.greatest(-reach, F.least(reach, gap / F.col("_slope")))).otherwise(t - F.signum(gap) * reach)
+        halved = F.when((step > low) & (step < high), step).otherwise((low + high) / 2)
+        bound = F.when(low.isNotNull() & high.isNotNull(), halved).when(low.isNotNull(), F.greatest(step, low + 1e-3 * reach)).when(high.isNotNull(), F.least(step, high - 1e-3 * reach)).otherwise(step)
+        off = F.abs(gap) / F.greatest(F.col("target"), F.lit(1.0))
+        # settled, or the bracket has closed on neighbouring numbers
+        still = (off > TOLERANCE) & F.coalesce((bound != t) & (high - low > 1e-15 * reach), F.lit(True))
+        joined = now.join(sums, "_source", "left").withColumn("_still", F.coalesce(still, F.lit(False)))
+        new = joined.select("_source", "source", "source_size", "target", "scale", F.when(F.col("_still"), bound).otherwise(t).alias("tilt"), low.alias("low"), high.alias("high"), F.coalesce(off, F.lit(0.0)).alias("off"), "_still")
+        new = staged(new, "tilts")
+        dropped(now)
+        now = new.drop("_still")
+        if not new.where("_still").limit(1).count():
+            break
+    return now.select("source", "source_size", "target", "scale", "tilt")
 
 
 def rates(sized: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
-    """(source, source_size, target, rate)."""
-    goals = targets(sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), weights, cap)
-    return tilts(goals).select("source", "source_size", "target", F.coalesce(F.least(F.exp("tilt"), F.lit(float(cap))), F.lit(0.0)).alias("rate"))
+    """(source, source_size, target, scale, tilt) of every source; rate() gives a document's rate from them."""
+    counts = staged(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "counts")
+    goals = targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size")), weights, cap)
+    return tilts(counts, staged(goals, "targets"), cap)
 
 
 def _corrections(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
@@ -77,15 +120,15 @@ def _corrections(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
 
 
 def with_copies(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, seed: int = 23) -> DataFrame:
-    """Adds source_size, target and copies to rows of (key, doc_id, source, size); `key` tells rows apart."""
+    """Adds source_size, target, rate and copies to rows of (key, doc_id, source, size); `key` tells rows apart."""
     goals = staged(rates(rows, weights, cap), "rates")
     r = rows.join(goals, rows.source.eqNullSafe(goals.source)).drop(goals.source)
     # the size to a sixteenth of an octave, then a salt that splits sizes which many rows share
     cell = (F.floor(F.log2(F.col("size") + 1.0) * 16) * 64 + F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(64))).cast("long")
-    ranked = exact_rank(r, ["source"], cell, [F.xxhash64("key", F.lit(seed)), F.col("key")], "_rank")
-    whole, part = F.floor("rate"), F.col("rate") - F.floor("rate")
-    extra = F.floor((F.col("_rank") + 1) * part + 0.5) - F.floor(F.col("_rank") * part + 0.5)
-    first = staged(ranked.select("key", "doc_id", "source", "size", "source_size", "target", F.least(whole + extra, F.lit(cap)).cast("int").alias("copies")), "copies")
+    r = r.withColumn("rate", rate(F.col("tilt"), F.col("scale"), F.col("size"), cap)).withColumn("_part", F.floor((F.col("rate") - F.floor("rate")) * UNIT).cast("long"))
+    ranked = exact_rank(r, ["source"], cell, [F.xxhash64("key", F.lit(seed)), F.col("key")], "_before", "_part")
+    extra = F.expr(f"(_before + _part + {UNIT // 2}) div {UNIT} - (_before + {UNIT // 2}) div {UNIT}")
+    first = staged(ranked.select("key", "doc_id", "source", "size", "source_size", "target", "rate", F.least(F.floor("rate") + extra, F.lit(cap)).cast("int").alias("copies")), "copies")
     gaps = first.groupBy("source").agg((F.max("target") - F.sum(F.col("size") * F.col("copies"))).alias("gap"))
     spare = first.where("size > 0").withColumn("by", F.explode(F.array(F.lit(1), F.lit(-1)))).where(F.expr(f"copies + by between 0 and {cap}"))
     slot = [F.col("source"), F.floor(F.log2("size")).alias("octave"), F.col("by"), F.pmod(F.xxhash64("key"), F.lit(SPARE)).alias("slot")]
@@ -96,21 +139,28 @@ def with_copies(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: in
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, source, size). Rows alike in doc_id, source and text share a key; they are told apart by a count."""
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_t"))
-    same = Window.partitionBy("doc_id", "source", "_t").orderBy("size")
-    return rows.withColumn("_n", F.row_number().over(same)).select(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex("_t"), F.col("_n").cast("string"), F.coalesce(F.hex("source"), F.lit("-"))).alias("key"), "doc_id", "source", "size")
+    """(key, doc_id, source, size). Rows alike in doc_id, source and text share the part of the key before its last colon and are counted behind it."""
+    rows = docs.select(_same(docs).alias("_same"), F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"))
+    n = F.row_number().over(Window.partitionBy("_same").orderBy("size"))
+    return rows.select(F.concat("_same", F.lit(":"), n.cast("string")).alias("key"), "doc_id", "source", "size")
+
+
+def _same(docs: DataFrame) -> Column:
+    return F.concat_ws(":", F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.coalesce(F.hex(docs["source"]), F.lit("-")), F.hex(F.xxhash64(docs["text"])))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
-    """doc_id, size, source_size, target, copies and taken for every row of docs."""
-    return with_copies(staged(keyed(docs), "sizes"), weights, cap).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "source", "copies")
+    """doc_id, size, source_size, target, taken, source, rate and copies for every row of docs."""
+    return with_copies(staged(keyed(docs), "sizes"), weights, cap).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "source", "rate", "copies")
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it (rows without words once if their source is wanted at all)."""
-    copies = mix(docs, weights, cap).groupBy("doc_id", "source", "size").agg(F.array_sort(F.collect_list("copies")).alias("_c"))
-    same = Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text"))
-    rows = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_n", F.row_number().over(same))
-    on = rows.doc_id.eqNullSafe(copies.doc_id) & rows.source.eqNullSafe(copies.source) & (rows._size == copies["size"])
-    return rows.join(copies, on).withColumn("_each", F.explode(F.array_repeat(F.lit(1), F.element_at("_c", F.col("_n"))))).select([rows[c] for c in docs.columns])
+    """The rows of docs, each as often as the mix takes it (a row without words once). Rows travel as one value, so no name of theirs can clash."""
+    sizes = staged(keyed(docs), "sizes")
+    copies = with_copies(sizes, weights, cap).groupBy(F.expr("substring(key, 1, length(key) - length(substring_index(key, ':', -1)) - 1)").alias("same")).agg(F.array_sort(F.collect_list("copies")).alias("each"))
+    rows = docs.select(_same(docs).alias("same"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    taken = rows.join(copies.where("exists(each, c -> c > 0)").hint("merge"), "same")
+    rest = F.to_json(F.struct(*[F.col("row")[c] for c in docs.columns if c != "text"]))
+    nth = taken.withColumn("nth", F.row_number().over(Window.partitionBy("same").orderBy(rest)))
+    times = F.when(F.size("each") == 1, F.element_at("each", 1)).otherwise(F.element_at("each", F.col("nth")))
+    return nth.select("row", F.explode(F.array_repeat(F.lit(1), times)).alias("time")).select("row.*")
