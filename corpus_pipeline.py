@@ -20,9 +20,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines are cut out of the texts; a document of which no word is left goes."""
-    out = lines.deduplicated(docs, whole_runs=True)
+    out = lines.cut(docs, whole_runs=True)
     out = out.where((F.col("n_removed") == 0) | (mixing.word_count(F.col("text")) > 0))
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    changed = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return out.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
