@@ -3,8 +3,11 @@
 The classifier knows confirmed toxic texts and unlabelled ones. Its risk is
     prior * R(positives as positive) + max(0, R(unlabelled as negative) - prior * R(positives as negative)),
 the class-prior-corrected estimate whose negative part is kept from falling below zero: where it would, the step
-goes against it, so that the model does not fit unlabelled toxic texts as harmless. Features are the presence of hashed words and beginnings of words;
-the weights are trained in numpy on bounded samples, and every whole text is scored where it lies.
+goes against it, so that the model does not fit unlabelled toxic texts as harmless. Confirmed texts are a bounded sample (`SAMPLE`) of the rows
+labelled toxic; the unlabelled ones are a bounded sample (`UNLABELLED`) of all rows of the label table, with the label left out; the class prior
+is the toxic share of all these rows. Held-out rows take no part. Features are the presence of hashed words and beginnings of words, those whose count
+among the confirmed texts the unlabelled ones don't explain at the 5 % level after correction for all places tested. The weights are trained in numpy;
+scale and shift of the score are then fitted under the same risk without weight decay. Every whole text is scored where it lies.
 
 Nulls and edge cases: null and empty texts have no features and get the bias' score; without confirmed toxic
 texts every score is 0; repeated rows are scored each; labels that are null or contradict each other count as they stand; other
@@ -25,11 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import octets
 
-#: Hash places; words kept as features; texts of each kind that training takes at most (about), chosen by a hash of doc_id.
-PLACES, FEATURES, SAMPLE = 1 << 20, 4096, 8000
+#: Hash places; words kept as features; confirmed and unlabelled texts that training takes at most (about), chosen by a hash of doc_id.
+PLACES, FEATURES, SAMPLE, UNLABELLED = 1 << 20, 4096, 8000, 16000
 EPOCHS, RATE, DECAY = 300, 0.05, 1e-3
-#: Log-likelihood ratio that a feature has at least, in all and for each confirmed text.
-GAIN, GAIN_EACH = 15.0, 0.07
+#: Chance that any word passes as a feature without need; words of more bytes are hashed anew each time.
+LEVEL, LONGEST = 0.05, 256
 #: Lengths in bytes of the beginnings of words that are features too.
 BEGINNINGS = (4, 5, 6)
 _SPACED = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
@@ -42,7 +45,9 @@ class Places(dict):
         if len(self) >= 400_000:
             self.clear()
         parts = (word, *(b"^" + word[:n] for n in BEGINNINGS if len(word) >= n))
-        h = self[word] = tuple(xxhash.xxh3_64_intdigest(p, 5) % PLACES for p in parts)
+        h = tuple(xxhash.xxh3_64_intdigest(p, 5) % PLACES for p in parts)
+        if len(word) <= LONGEST:
+            self[word] = h
         return h
 
 
@@ -68,86 +73,95 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
 
 
-def nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> Model:
-    """Full-batch Adam on the non-negative risk with the logistic loss."""
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The non-negative risk with the logistic loss, and the direction to descend by the scores of confirmed and unlabelled texts.
+
+    That is the gradient where the negative part is not below zero, and the negative part's gradient turned round where it is.
+    """
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+    positive = prior * np.logaddexp(0, -zp).mean()
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    gp, gu = -prior * sigmoid(zp) / len(zp), sigmoid(zu) / len(zu)
+    if negative < 0:
+        return positive, -gp, -gu
+    return positive + negative, gp - prior * sigmoid(-zp) / len(zp), gu
+
+
+def descended(start: np.ndarray, gradient, steps: int = EPOCHS, rate: float = RATE) -> np.ndarray:
+    """Adam."""
+    x, m, v = start.copy(), np.zeros(len(start)), np.zeros(len(start))
+    for step in range(1, steps + 1):
+        g = gradient(x)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2
+        x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return x
+
+
+def features(pos: list[np.ndarray], unl: list[np.ndarray]) -> np.ndarray:
+    """Places found in more confirmed texts than the unlabelled ones let expect."""
     seen = [np.bincount(np.concatenate(x), minlength=PLACES) for x in (pos, unl)]
     expected = (seen[1] + 0.5) / len(unl) * len(pos)
-    # twice the log-likelihood ratio of a word's count among the toxic against what unlabelled texts let expect
-    gain = np.where((seen[0] >= 3) & (seen[0] > expected), 2 * (seen[0] * np.log(np.maximum(seen[0], 1) / expected) - (seen[0] - expected)), 0.0)
+    tested = (seen[0] >= 3) & (seen[0] > expected)
+    # twice the log-likelihood ratio; its tail at x is below exp(-x / 2)
+    gain = np.where(tested, 2 * (seen[0] * np.log(np.maximum(seen[0], 1) / expected) - (seen[0] - expected)), 0.0)
     chosen = np.argsort(-gain, kind="stable")[:FEATURES]
-    chosen = chosen[gain[chosen] >= max(GAIN, GAIN_EACH * len(pos))]
+    return chosen[gain[chosen] >= 2 * np.log(max(1, (seen[0] > 0).sum()) / LEVEL)]
+
+
+def nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> Model:
+    """Weights that lower the non-negative risk with weight decay; then scale and shift that lower it without."""
+    chosen = features(pos, unl)
+    d = len(chosen)
     slot = np.full(PLACES, -1, np.int32)
-    slot[chosen] = np.arange(len(chosen))
+    slot[chosen] = np.arange(d)
 
     def compact(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         cols = [c[c >= 0] for c in (slot[t] for t in texts)]
         return np.repeat(np.arange(len(texts)), [len(c) for c in cols]), np.concatenate(cols) if cols else np.zeros(0, np.int32)
 
     (pr, pc), (ur, uc) = compact(pos), compact(unl)
-    d = len(chosen)
-    w, b = np.zeros(d), 0.0
-    m, v = np.zeros(d + 1), np.zeros(d + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-    for step in range(1, EPOCHS + 1):
-        zp = np.bincount(pr, w[pc], len(pos)) + b
-        zu = np.bincount(ur, w[uc], len(unl)) + b
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gp_pos = -prior * sigmoid(-zp) / len(pos)  # d/dz of prior * R(positives as positive)
-        gp_neg, gu = -prior * sigmoid(zp) / len(pos), sigmoid(zu) / len(unl)
-        if negative < 0:
-            gp, g = -gp_neg, -gu
-        else:
-            gp, g = gp_pos + gp_neg, gu
-        grad = np.append(np.bincount(pc, gp[pr], d) + np.bincount(uc, g[ur], d) + DECAY * w, gp.sum() + g.sum())
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    weights = np.zeros(PLACES)
-    weights[chosen] = w
-    return Model(weights, float(b))
+    scores = lambda x: (np.bincount(pr, x[:-1][pc], len(pos)) + x[-1], np.bincount(ur, x[:-1][uc], len(unl)) + x[-1])
 
+    def gradient(x: np.ndarray) -> np.ndarray:
+        _, gp, gu = risk(*scores(x), prior)
+        return np.append(np.bincount(pc, gp[pr], d) + np.bincount(uc, gu[ur], d) + DECAY * x[:-1], gp.sum() + gu.sum())
 
-def calibrate(model: Model, texts: list[np.ndarray], toxic: np.ndarray) -> Model:
-    """Platt scaling by Newton steps on labelled training texts."""
-    z = np.array([model.weights[t].sum() + model.bias for t in texts])
-    x, a = np.stack([z, np.ones(len(z))], 1), np.array([1.0, 0.0])
-    soft = np.where(toxic > 0, (toxic.sum() + 1) / (toxic.sum() + 2), 1 / (len(toxic) - toxic.sum() + 2))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ a, -60, 60)))
-        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-3 * np.eye(2)
-        a = a - np.clip(np.linalg.solve(h, x.T @ (p - soft) + 1e-3 * (a - [1.0, 0.0])), -2, 2)
-    return Model(model.weights, model.bias, float(a[0]), float(a[1]))
+    x = descended(np.zeros(d + 1), gradient)
+    zp, zu = scores(x)
+
+    def outer(a: np.ndarray) -> np.ndarray:
+        _, gp, gu = risk(a[0] * zp + a[1], a[0] * zu + a[1], prior)
+        return np.array([gp @ zp + gu @ zu, gp.sum() + gu.sum()])
+
+    scale, shift = descended(np.array([1.0, 0.0]), outer)
+    weights = np.zeros(PLACES)
+    weights[chosen] = x[:-1]
+    return Model(weights, float(x[-1]), float(max(scale, 0.1)), float(shift))
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model | None:
     """A model from the labels of rows that aren't held out."""
     spark = docs.sparkSession
     known = labels.where(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not n.get(1):
+    n, toxic = known.agg(F.count(F.lit(1)), F.sum(F.col("toxic").cast("long"))).first()
+    if not toxic:
         return None
-    part = lambda most, of: F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, most / max(1, of))) + 1)
-    sample = known.where(((F.col("toxic") == 1) & part(SAMPLE, n[1])) | ((F.col("toxic") == 0) & part(SAMPLE, n.get(0, 0))))
-    chosen = [tuple(r) for r in sample.collect()]  # about 2 * SAMPLE rows of two numbers
-    ids = spark.createDataFrame(chosen, "doc_id long, toxic int")
-    total = docs.count()
+    part = lambda seed, most, of: F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, most / max(1, of))) + 1)
+    as_confirmed, as_unlabelled = (F.col("toxic") == 1) & part(11, SAMPLE, toxic), part(13, UNLABELLED, n)
+    sample = known.select("doc_id", as_confirmed.alias("confirmed"), as_unlabelled.alias("unlabelled")).where("confirmed OR unlabelled")
+    chosen = [tuple(r) for r in sample.collect()]  # about SAMPLE + UNLABELLED rows of a number and two flags
+    ids = spark.createDataFrame(chosen, "doc_id long, confirmed boolean, unlabelled boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = Places()
         for batch in batches:
-            rows = [placed(t, places).tobytes() for t in octets(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["kind", "_order", "x"])
-
-    confirmed = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.col("toxic").cast("int").alias("kind"), F.xxhash64("doc_id").alias("_order"), "text")
-    unlabelled = docs.where(~held_out() & part(2 * SAMPLE, total)).select(F.lit(2).alias("kind"), F.xxhash64("doc_id").alias("_order"), "text")
-    got = confirmed.unionByName(unlabelled).mapInArrow(run, "kind int, _order long, x binary").toPandas().sort_values(["kind", "_order", "x"])
-    texts = {k: [np.frombuffer(x, np.int32) for x in got["x"][got["kind"] == k]] for k in (0, 1, 2)}
-    if not texts[1] or not texts[2]:
-        return None
-    prior = min(0.9, max(1e-3, n[1] / (n[1] + n.get(0, 0)))) if n.get(0) else 0.1
-    model = nnpu(texts[1], texts[2], prior)
-    both = texts[1] + texts[0]
-    return calibrate(model, both, np.array([1.0] * len(texts[1]) + [0.0] * len(texts[0]))) if texts[0] else model
+            rows = [placed(t, places).tobytes() for t in octets(batch.column(3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(rows, pa.binary())], ["confirmed", "unlabelled", "_order", "x"])
+
+    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("confirmed", "unlabelled", F.xxhash64("doc_id").alias("_order"), "text")
+    got = picked.mapInArrow(run, "confirmed boolean, unlabelled boolean, _order long, x binary").toPandas().sort_values(["_order", "x"])
+    pos, unl = ([np.frombuffer(x, np.int32) for x in got["x"][got[kind]]] for kind in ("confirmed", "unlabelled"))
+    return nnpu(pos, unl, min(0.9, max(1e-3, toxic / n))) if pos and unl else None
 
 
 def scored(docs: DataFrame, model: Model | None, limit: float = 0.7) -> DataFrame:
