@@ -186,7 +186,7 @@ def marginals(ms: list[Mention], weights: np.ndarray) -> np.ndarray:
     of = np.tile(np.arange(n), 2)
     hub = np.array([names.setdefault((0, m.entity), len(names)) for m in ms] + [names.setdefault((1, m.like), len(names)) for m in ms])
     skip = np.repeat([SKIP, SIMILAR], n)[:, None]
-    through = lambda x, potential: np.logaddexp(x + potential, np.logaddexp.reduce(x, axis=1, keepdims=True)) if len(x) else x
+    through = lambda x, potential: np.logaddexp(x + np.log(np.expm1(potential)), np.logaddexp.reduce(x, axis=1, keepdims=True)) if len(x) else x
     norm = lambda x: x - np.logaddexp.reduce(x, axis=1, keepdims=True) if len(x) else x
     left, right, down = np.zeros((n, k)), np.zeros((n, k)), np.zeros((2 * n, k))
     for _ in range(ROUNDS):
