@@ -56,9 +56,9 @@ def cuts(n: int, capacity: int, min_cut: int) -> list[int]:
 
 
 #: Punctuation that, at the end of a word behind a letter or digit, is a token run of its own for a word-wise tokenizer.
-_TAIL = ".,;:!?"
-#: Bytes of text that are encoded together; bytes of words and ids that a cache holds; bytes of the longest word that it keeps.
-CHUNK, CACHE, LONGEST = 8 << 20, 160 << 20, 1 << 16
+_TAIL = ".,;:!?*$%&#\")("
+#: Bytes of text that are encoded together, or one text; bytes that a cache of words and ids holds, about, beyond what one such stretch adds.
+CHUNK, CACHE = 4 << 20, 200 << 20
 #: What a word-wise tokenizer does before its model: it makes white space one space, lower-cases, and splits runs of letters, single digits and
 #: runs of other signs, so no id depends on what lies beyond white space.
 _WORD_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -80,35 +80,55 @@ def word_wise(config: dict) -> bool:
     )
 
 
+class _Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type, n: int):
+        self.held, self.n = np.zeros(1 << 16, kind), n
+
+    def add(self, more: np.ndarray) -> None:
+        need = self.n + len(more)
+        if need > len(self.held):
+            self.held = np.concatenate([self.held, np.zeros(max(need, 2 * len(self.held)) - len(self.held), self.held.dtype)])
+        self.held[self.n : need] = more
+        self.n = need
+
+    def all(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
 #: A letter or digit at the end that stays one when it is composed and lower-cased (U+0130 doesn't), so that what follows starts a new run.
 _ENDS_ALONE = "[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]$"
 
+#: Words that are lower-cased at once: ASCII, or letters of Latin-1, which composing leaves as they are. Words of such letters in lower case alone.
+_CASED = "^(?:[\x00-\x7f]+|[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,;:!?]*)$"
+_LETTERS = "^[a-z\u00df-\u00f6\u00f8-\u00ff]{1,64}$"
+
 
-def _gathered(ids: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """ids[first[i] : first[i] + count[i]] of every i, one after another."""
-    before = np.cumsum(count) - count
-    return ids[np.arange(int(count.sum())) + np.repeat(first - before, count)]
+def _byte_signs() -> dict[int, str]:
+    """How byte-level models write a byte: printable ones of Latin-1 as themselves, the others as the signs from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(others)}
 
 
 class WordIds:
-    """The ids of words, kept in one array; the cache is emptied when it holds CACHE bytes. Slot 0 has no ids."""
+    """The ids of words, kept one after another; the cache is emptied when it holds CACHE bytes. Slot 0 has no ids.
+
+    Words without marks are lower-cased where they are ASCII or all letters, and kept apart from the punctuation at their end. Words of Latin letters
+    alone go to the tokenizer's model at once, as what comes before it leaves them whole.
+    """
 
     def __init__(self, tok, marks: list[str]):
-        self.tok, self.marks = tok, marks
+        self.tok, self.marks, self.signs = tok, marks, _byte_signs()
         self._empty()
 
     def _empty(self) -> None:
         self.slot: dict[str, int] = {"": 0}
-        self.first, self.count, self.ids, self.held = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32), 0
+        self.ends, self.ids, self.held = _Grown(np.int32, 2), _Grown(np.uint32, 0), 0
 
-    def _add(self, count: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """New slots."""
-        base = len(self.first)
-        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
-        self.count = np.concatenate([self.count, count])
-        self.ids = np.concatenate([self.ids, ids])
-        self.held += ids.nbytes
-        return np.arange(base, base + len(count))
+    def _lists(self) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(self.ends.all()), pa.array(self.ids.all()))
 
     def _slots(self, words: pa.Array) -> np.ndarray:
         """The slots of words that are encoded as they stand."""
@@ -116,44 +136,38 @@ class WordIds:
         keys = coded.dictionary.to_pylist()
         new = [w for w in keys if w not in self.slot]
         if new:
-            got = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
-            count = np.fromiter(map(len, got), np.int64, len(got))
-            self.slot.update(zip(new, self._add(count, np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(count.sum()))).tolist(), strict=True))
-            self.held += sum(map(len, new)) + 100 * len(new)
-        return np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))[np.asarray(coded.indices)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Words without marks are lower-cased where they are ASCII, and encoded apart from the punctuation at their end."""
-        raw = pa.array(words, pa.large_string())
-        low = pc.if_else(pc.string_is_ascii(raw), pc.ascii_lower(raw), raw)
-        marked = pa.array(np.zeros(len(raw), bool))
-        for m in self.marks:
-            marked = pc.or_(marked, pc.match_substring(low, m))
-        core = pc.utf8_rtrim(low, characters=_TAIL)
-        core = pc.if_else(marked, raw, pc.if_else(pc.match_substring_regex(core, _ENDS_ALONE), core, low))
-        slots = self._slots(core)
-        tails = np.asarray(pc.subtract(pc.binary_length(low), pc.binary_length(core)))
-        with_tail = np.flatnonzero((tails > 0) & ~np.asarray(marked))
-        if len(with_tail):
-            tail = self._slots(pa.array([words[i][-n:] for i, n in zip(with_tail.tolist(), tails[with_tail].tolist(), strict=True)], pa.large_string()))
-            both = np.stack([slots[with_tail], tail], 1).ravel()
-            count = self.count[both]
-            slots[with_tail] = self._add(count.reshape(-1, 2).sum(1), _gathered(self.ids, self.first[both], count))
-        self.slot.update(zip(words, slots.tolist(), strict=True))
-        self.held += sum(map(len, words)) + 100 * len(words)
-
-    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The array of ids, and where each word's begin there and how many they are."""
+            letters = np.asarray(pc.match_substring_regex(pa.array(new, pa.large_string()), _LETTERS)).tolist()
+            model, signs, rest = self.tok.model.tokenize, self.signs, [w for w, x in zip(new, letters, strict=True) if not x]
+            others = iter(self.tok.encode_batch_fast(rest, add_special_tokens=False))
+            got = [[t.id for t in model(w if w.isascii() else w.encode().decode("latin-1").translate(signs))] if x else next(others).ids for w, x in zip(new, letters, strict=True)]
+            count, base = np.fromiter(map(len, got), np.int64, len(got)), self.ends.n - 1
+            self.ends.add(self.ids.n + np.cumsum(count))
+            self.ids.add(np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(count.sum())))
+            self.slot.update(zip(new, range(base, base + len(new)), strict=True))
+            self.held += 4 * int(count.sum()) + sum(map(len, new)) + 200 * len(new)
+        return np.fromiter(map(self.slot.__getitem__, keys), np.int32, len(keys))[np.asarray(coded.indices)]
+
+    def __call__(self, raw: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of raw[at[0]], raw[at[1]], ... and the count of each."""
         if self.held >= CACHE:
             self._empty()
-        new = [w for w in words if w not in self.slot]
-        if new:
-            self._learn(new)
-        slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
-        out = self.ids, self.first[slots], self.count[slots]
-        if new and max(map(len, new)) > LONGEST:  # such words aren't kept
-            self._empty()
-        return out
+        low = pc.if_else(pc.match_substring_regex(raw, _CASED), pc.utf8_lower(raw), raw)
+        core = pc.utf8_rtrim(low, characters=_TAIL)
+        core = pc.if_else(pc.match_substring_regex(core, _ENDS_ALONE), core, low)
+        for m in self.marks:
+            marked = pc.match_substring(raw, m, ignore_case=True)
+            if pc.any(marked).as_py():
+                core, low = pc.if_else(marked, raw, core), pc.if_else(marked, raw, low)
+        slots, tails = self._slots(core), np.asarray(pc.subtract(pc.binary_length(low), pc.binary_length(core)))
+        both = np.zeros((len(raw), 2), np.int32)
+        both[:, 0] = slots
+        if len(with_tail := np.flatnonzero(tails)):
+            ends = zip(low.take(pa.array(with_tail)).to_pylist(), tails[with_tail].tolist(), strict=True)
+            both[with_tail, 1] = self._slots(pa.array([w[-n:] for w, n in ends], pa.large_string()))
+        whole = self._lists().take(pa.array(both.ravel()))
+        words = pa.ListArray.from_arrays(whole.offsets.take(pa.array(np.arange(0, 2 * len(raw) + 1, 2))), whole.flatten())
+        out = words.take(pa.array(at))
+        return np.asarray(out.flatten()), np.diff(np.asarray(out.offsets))
 
 
 @functools.lru_cache(maxsize=1)
@@ -174,15 +188,10 @@ def encoder(path: str):
 
     def by_word(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         split = pc.ascii_split_whitespace(texts)
-        flat, ends = split.flatten(), np.asarray(split.offsets)
-        real = np.asarray(pc.greater(pc.binary_length(flat), 0), bool) if len(flat) else np.zeros(0, bool)
-        number = np.concatenate([[0], np.cumsum(real)])[ends - ends[0]]
-        coded = flat.filter(pa.array(real)).dictionary_encode()
-        ids, first, count = words(coded.dictionary.to_pylist())
-        at = np.asarray(coded.indices).astype(np.int64)
-        first, count = first[at], count[at]
-        before = np.concatenate([[0], np.cumsum(count)])
-        return _gathered(ids, first, count), np.diff(before[number])
+        coded = split.flatten().dictionary_encode()
+        ids, count = words(coded.dictionary, np.asarray(coded.indices))
+        ends = np.asarray(split.offsets)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(count)])[ends - ends[0]])
 
     return by_word
 
