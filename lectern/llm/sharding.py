@@ -23,7 +23,8 @@ BUCKETS = 4096
 def interleaved(docs: DataFrame, shards: int = 24, seed: int = 17) -> DataFrame:
     """(doc_id, size, text_crc32, source, shard, slot) for every row of docs."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "source", F.xxhash64(F.lit(seed), F.col("doc_id")).alias("_key"))
+    rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "source")
+    rows = rows.withColumn("_key", F.xxhash64(F.lit(seed), "doc_id", "size", "text_crc32"))
     order = [F.col("_key"), F.col("doc_id"), F.col("size"), F.col("text_crc32")]
     ranked = exact_rank(rows, ["source"], F.shiftrightunsigned(F.col("_key").bitwiseXOR(F.lit(-(2**63)).cast("long")), 52), order, "_rank")
     totals = rows.groupBy(F.col("source").alias("_s")).agg(F.count(F.lit(1)).alias("_of"))

@@ -37,6 +37,8 @@ LENGTH, GRAM = 100, 16
 SPAN = LENGTH - GRAM + 1
 #: Bytes that are hashed at once (a power of two); places that are named together; names of one place above which it is dealt out.
 CHUNK, FLUSH, HOT = 1 << 18, 150_000, 16
+#: Bytes of text for each part that places are dealt to.
+PART = 8 << 20
 #: Places whose bytes are sent on together; places that are cut into strings together.
 SHIPPED, SLICE = 20_000, 4_000
 _C = mix64(np.arange(1, 65, dtype=np.uint64) << np.uint64(7)) | np.uint64(1)
@@ -386,7 +388,8 @@ def united(blobs: list[bytes], size: int) -> np.ndarray:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, gone): lists of spans of bytes to remove, for documents that have any; united() reads them."""
     docs = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("doc_id"), "text")
-    parts = max(8, 2 * docs.rdd.getNumPartitions())
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(8, -(-size // PART))
     once = staged(named_once(places(docs, parts).repartition(parts, "part")), "named")
     asks = once.where(F.octet_length("asks") > 0).groupBy("doc_id").agg(F.collect_list("asks").alias("asks"))
     more = compared(docs.join(asks.hint("merge"), "doc_id").select("doc_id", "text", "asks"), parts)

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from lectern.llm import embeddings, lines, minhash, mixing, packing, pii, quality, sharding, suffixes, toxicity
+from lectern.llm.common import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rank int"
 
@@ -418,6 +419,170 @@ def test_long_texts_are_cut_without_loss():
     assert seen == set(range(len(long) - suffixes.LENGTH + 1))
 
 
+def test_mix_tilts_solve_the_dual(docs, rows):
+    """Rates against a bisection over numpy arrays: min(3, exp(t * size / scale)) with the source's words on target."""
+    got = mixing.mix(docs).toPandas()
+    seen = 0
+    for _, g in got.groupby("source", dropna=False):
+        size, target = g["size"].to_numpy(float), g["target"].iloc[0]
+        worded = size > 0
+        if target >= 3 * size.sum() * (1 - 1e-12):
+            assert (g["rate"].to_numpy()[worded] == 3).all()
+            continue
+        scale = max(1.0, (size**2).sum() / size.sum())
+        low, high = -1e6, 1e6
+        for _ in range(300):
+            t = (low + high) / 2
+            rate = np.minimum(3, np.exp(np.minimum(t * size / scale, 50)))
+            low, high = (t, high) if (rate * size).sum() < target else (low, t)
+        assert np.abs(rate - g["rate"].to_numpy()).max() < 1e-5
+        assert abs((g["rate"] * size).sum() - target) <= 1e-6 * target
+        seen += np.ptp(rate[worded]) > 0.05
+    assert seen >= 1
+
+
+def test_robust_estimate_finds_the_bulk(spark):
+    """The estimate against concentration steps over whole rows in numpy, from the same starts, on rows of which a fifth lie apart."""
+    rng = np.random.default_rng(4)
+    d = len(quality.STATS)
+    mix = rng.normal(size=(d, d)) * 0.1 + np.eye(d) * 0.5
+    x = np.concatenate([rng.normal(size=(800, d)) @ mix, rng.normal(size=(200, d)) * 0.2 + 6])
+    table = spark.createDataFrame([(i, "en", "s", *map(float, v)) for i, v in enumerate(x)], "doc_id long, lang string, source string, " + ", ".join(f"{v} double" for v in quality.STATS))
+    _, fit = quality.fitted(table)
+    row = fit.first()
+    got = (np.array(row["mean"]), np.linalg.inv(np.reshape(row["inverse"], (d, d))))
+    factor, floor = quality.consistency(quality.SUPPORT, d), np.diag(np.square(quality.FLOORS))
+    best = None
+    for start in (x, x[np.argsort(np.abs(x - np.median(x, 0)).sum(1))[:500]], x[::8]):
+        mean, cov = start.mean(0), np.cov(start.T, bias=True)
+        for _ in range(50):
+            dist = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            near = x[np.argsort(dist)[: int(quality.SUPPORT * len(x))]]
+            mean, cov = near.mean(0), np.cov(near.T, bias=True) * factor + floor
+        if best is None or np.linalg.det(cov) < best[0]:
+            best = np.linalg.det(cov), mean, cov
+    assert np.abs(got[0] - best[1]).max() < 0.1 and np.abs(got[1] / best[2] - 1)[np.diag_indices(d)].max() < 0.15
+    assert np.abs(got[0]).max() < 0.2  # the bulk, not the fifth at 6
+
+
+def test_consistency_factor_of_a_normal_sample():
+    x = np.random.default_rng(0).normal(size=(200_000, 5))
+    near = x[np.argsort((x**2).sum(1))[: int(0.75 * len(x))]]
+    assert abs(near.var(0).mean() * quality.consistency(0.75, 5) - 1) < 0.01
+    assert abs(((x**2).sum(1) <= quality.chi2_quantile(0.9, 5)).mean() - 0.9) < 0.005
+
+
+def test_pu_risk_and_its_gradient():
+    rng = np.random.default_rng(2)
+    zp, zu = rng.normal(size=40), rng.normal(size=90)
+    logistic = lambda z: np.log1p(np.exp(-z))
+    for prior, shift in ((0.2, 0.0), (0.6, -3.0)):
+        u = zu + shift
+        r, gp, gu = toxicity.risk(zp, u, prior)
+        negative = logistic(-u).mean() - prior * logistic(-zp).mean()
+        assert abs(r - (prior * logistic(zp).mean() + max(0.0, negative))) < 1e-9
+        of = (lambda a, b: prior * logistic(a).mean() + logistic(-b).mean() - prior * logistic(-a).mean()) if negative >= 0 else (lambda a, b: prior * logistic(-a).mean() - logistic(-b).mean())
+        for i in (0, 7):
+            e = np.eye(len(zp))[i] * 1e-6
+            assert abs((of(zp + e, u) - of(zp - e, u)) / 2e-6 - gp[i]) < 1e-6
+            e = np.eye(len(u))[i] * 1e-6
+            assert abs((of(zp, u + e) - of(zp, u - e)) / 2e-6 - gu[i]) < 1e-6
+    assert toxicity.risk(zp, zu - 3.0, 0.6)[0] == pytest.approx(0.6 * logistic(zp).mean())
+
+
+def test_tokens_of_any_text():
+    """Ids by word against the tokenizer on whole texts: composed letters, letters that lower-case to two, contractions, all white space, special tokens."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    r = random.Random(3)
+    signs = "aZz\u00e9\u0130\u0131\u017f\u00df\u00c0\u0300\u0307:.,!?'\"sSdD  \t\n\r\x0b\x0c\x1c\u0085\u00a0\u2003\u30001\u0663@#<|>endoftext\u6f22\u5b57\uac00\ufb01\u01c5\U0001d400H\u0331"
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 25))) for _ in range(4000)]
+    texts += ["".join(chr(r.choice([r.randint(32, 0x24F), r.randint(0x250, 0x3000)])) for _ in range(9)) + r.choice([".", ":", "! a"]) for _ in range(2000)]
+    texts += ["@\u0130: x", "a<|endoftext|>.B", "<|ENDOFTEXT|>", "x" * 3000 + ".", "", " "]
+    ids, counts = packing.encoder(packing.default_tokenizer())(pa.array(texts, pa.large_string()))
+    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    import json
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    config = json.loads(Tokenizer.from_file(packing.default_tokenizer()).to_str())
+    assert packing.word_wise(config)
+    config["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": r"\s?[\p{L}]+|[^\p{L}]+"}
+    assert not packing.word_wise(config)
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(config))
+    ids, counts = packing.encoder(str(path))(pa.array(["one two  three", ""], pa.large_string()))
+    assert ids.tolist() == Tokenizer.from_file(str(path)).encode("one two  three", add_special_tokens=False).ids and counts.tolist() == [len(ids), 0]
+
+
+@pytest.mark.parametrize("shape", ["chain", "cycle", "star", "none"])
+def test_components_of_any_shape(spark, shape):
+    ids = list(range(1200))
+    random.Random(1).shuffle(ids)
+    pairs = {"chain": list(itertools.pairwise(ids)), "cycle": [(i, (i + 1) % 900) for i in range(900)], "star": [(5, i + 10) for i in range(700)] + [(3, 3)], "none": []}[shape]
+    pairs = [p for p in pairs if p[0] != p[1]] + [(3, 3)] * (shape == "star")
+    want = least_reachable({x for p in pairs if p[0] != p[1] for x in p}, [p for p in pairs if p[0] != p[1]])
+    assert {r.id: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()} == want
+
+
+def test_chain_of_near_copies(spark):
+    """Each text is near the next one alone; all make one component."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [(i, " ".join(words[3 * i : 3 * i + 60])) for i in random.Random(3).sample(range(100), 100)]
+    got = minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), k=2).collect()
+    assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+
+
+CLASHES = ["n_lines", "n_removed", "_size", "size", "_n", "_each", "copies", "mean", "inverse", "_mean", "_inverse", "group", "rank", "row", "text_", "id", "pos", "same", "n_words", "kept", "component_id", "key"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark, rows):
+    """Rows with clashing columns, null and repeated ids, a long text without white space."""
+    some = [r for r in rows if r[1] is None or len(r[1]) < 5000][:60] + [(None, rows[3][1], "en", "a", 1, 0), (None, rows[3][1], "en", None, 1, 0), (None, None, None, None, None, None), (7, "another text under one id", None, "b", 3, 1), (8888, "ab" * 2_000_000, "en", "a", 1, 1)]
+    schema = SCHEMA.replace(", rank int", "") + "".join(f", {c} int" for c in CLASHES)
+    return spark.createDataFrame([(*r[:5], *range(len(CLASHES))) for r in some], schema).repartition(3)
+
+
+ANY = {
+    "minhash": lambda d: minhash.near_duplicates(d), "mix": lambda d: mixing.mix(d), "lines": lambda d: lines.deduplicated(d, whole_runs=True), "pii": lambda d: pii.found(d), "packing": lambda d: packing.packed(d),
+    "quality": lambda d: quality.judged(d), "sharding": lambda d: sharding.interleaved(d), "suffixes": lambda d: suffixes.removed(d), "toxicity": lambda d: toxicity.scored(d, toxicity.trained(d, d.selectExpr("doc_id", "cast(doc_id % 2 as int) AS toxic"))),
+    "deduplicated": lambda d: minhash.deduplicated(d), "mixed": lambda d: mixing.mixed(d), "filtered": lambda d: quality.filtered(d),
+}
+
+
+@pytest.mark.parametrize("name", ANY)
+def test_odd_rows(odd, name):
+    """Null and repeated ids, clashing columns, a long word: a row for each row (pieces: for each document; stages: rows of the input, unchanged columns)."""
+    out = ANY[name](odd)
+    got, n = out.collect(), odd.count()
+    if name in ("deduplicated", "mixed", "filtered"):
+        assert out.columns == odd.columns and 0 < len(got)
+        assert all(tuple(r[c] for c in CLASHES) == tuple(range(len(CLASHES))) for r in got)
+    elif name == "packing":
+        assert sum(r.start == 0 for r in got) == n
+    else:
+        assert len(got) == n
+
+
+@pytest.mark.parametrize("name", ANY)
+def test_no_rows(empty, name):
+    out = ANY[name](empty)
+    assert out.count() == 0 and out.columns
+
+
+def test_vectors_without_id(spark):
+    got = embeddings.near_duplicates(spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01]), (2, [1.0, 0.01])], "vec_id long, embedding array<float>")).collect()
+    assert len(got) == 4 and {r.component_id for r in got if r.vec_id in (1, 2)} == {1}
+
+
 def test_empty_tables(empty):
     assert minhash.near_duplicates(empty).count() == 0
     assert mixing.mix(empty).count() == 0
