@@ -38,7 +38,7 @@ SPAN = LENGTH - GRAM + 1
 #: Bytes that are hashed at once (a power of two); places that are named together; names of one place above which it is dealt out.
 CHUNK, FLUSH, HOT = 1 << 18, 150_000, 16
 #: Bytes of text for each part that places are dealt to.
-PART = 8 << 20
+PART = 32 << 20
 #: Places whose bytes are sent on together; places that are cut into strings together.
 SHIPPED, SLICE = 20_000, 4_000
 _C = mix64(np.arange(1, 65, dtype=np.uint64) << np.uint64(7)) | np.uint64(1)
