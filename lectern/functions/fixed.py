@@ -129,3 +129,70 @@ LINK_SCORE, LINK_SINGLE_IDF, LINK_SECOND = 3.0, 2.5, 0.6
 FORCE, SKIP = 0.7, 0.3
 ACTIVITY_CHARS = 360
 CONFIDENCE_RANK = {"low": 0, "medium": 1, "high": 3}
+
+# Limits of a retrieval plan, texts of drafted needs, blocks that a need prefers
+MAX_CONCEPTS, MAX_RELATED, MAX_NEEDS, DRAFT_NEEDS, MAX_NEED_CHARS, MAX_MAIN_CHARS, MENU = 3, 2, 4, 2, 200, 300, 40
+NEED_QUERIES = {
+    "definition": "definition of ", "theorem_statement": "statement of ", "formula_statement": "formula for ", "worked_example": "worked example using ", "exercise": "practice exercise on ",
+    "method_guidance": "how to apply ", "prerequisite_explanation": "prerequisites needed for ", "notation_convention": "notation used for ", "course_policy": "course coverage of ",
+}
+PREFERRED_BLOCKS = {
+    "definition": ("definition",), "theorem_statement": ("theorem",), "formula_statement": ("definition", "theorem"), "worked_example": ("example",), "exercise": ("exercise",),
+    "method_guidance": ("remark", "example"), "prerequisite_explanation": ("definition", "remark"), "notation_convention": ("definition", "remark"), "course_policy": (),
+}
+MODEL_PURPOSES = ("answer_grounding", "diagnosis_support", "hint_support", "definition_lookup", "example_lookup", "prerequisite_review", "practice_generation")
+TOOL_FIELDS = ("query", "purpose", "evidence_needs", "concept_id", "related_concept_ids", "contains_student_wording")
+LEAK_PURPOSES = ("example_lookup", "practice_generation")
+
+# Fields of course records
+TOP_KEYS, TOP_OPTIONAL = ("course_context_schema_version", "Course", "Module", "Concept"), ("assumptions",)
+RECORD_FIELDS = {
+    "Course": ("id", "title", "level", "assumed_background", "module_ids"),
+    "Module": ("id", "course_id", "title", "goal", "concept_ids"),
+    "Concept": ("id", "module_id", "name", "summary", "prerequisite_ids", "difficulty_notes"),
+}
+MAY_BE_EMPTY, MUST_HOLD = ("prerequisite_ids", "difficulty_notes"), {"Course": "module_ids", "Module": "concept_ids"}
+BLOOM, SOURCE_TYPES, PROVENANCE = ("remember", "understand", "apply", "analyze", "evaluate", "create"), ("syllabus", "textbook", "lecture_notes", "reading", "other"), ("source_backed", "ai_inferred")
+NOTE_KEYS = ("misconception", "mitigation")
+LINKED_FIELDS = ("user_id", "course_id", "session_id", "question_id", "turn_id", "attempt_id", "submission_id", "original_artifact_ref", "correlation_id")
+TITLE_OPENINGS = ("this course", "course description", "course overview")
+
+# Turn types of the specified engine, in the order in which they win; DISTRESS alone counts as HELP
+TURN_ORDER = ("ANSWER", "PARTIAL", "NEW_QUESTION", "DEMAND", "CONCEPT", "HELP", "VAGUE", "ACK", "OFF_TOPIC", "DISTRESS", "INVALID")
+
+# Ladders of cards by diagnosis
+LADDERS = {
+    "D0": ("ELICIT_START", "HINT_POINT", "HINT_TEACH", "DEMO_SIMILAR", "PREREQ_REVIEW", "PARK"),
+    "D1": ("REVIEW_PROBLEM", "HINT_POINT", "HINT_TEACH", "DEMO_SIMILAR", "PARK"),
+    "D2": ("PREREQ_CHECK", "PREREQ_REVIEW", "DEMO_SIMILAR", "PARK"),
+    "D3": ("ASK_REASON", "HINT_TEACH", "DEMO_SIMILAR", "PREREQ_REVIEW", "PARK"),
+    "D4": ("HINT_POINT", "HINT_TEACH", "DEMO_SIMILAR", "PREREQ_REVIEW", "PARK"),
+    "D5": ("HINT_POINT", "HINT_TEACH", "DEMO_SIMILAR", "PREREQ_REVIEW", "PARK"),
+    "D6": ("RETRY_CHECK", "HINT_POINT", "HINT_TEACH", "DEMO_SIMILAR", "PARK"),
+    "D7": ("RETRY_CHECK", "HINT_POINT", "HINT_TEACH", "DEMO_SIMILAR", "PARK"),
+    "UNCLEAR": ("ASK_WORK", "CLARIFY", "HINT_POINT", "HINT_TEACH", "PARK"),
+}
+
+# Cards (card, action, search, assists, disclosure)
+CARDS = (
+    ("ASK_WORK", "inspect", "blocked", False, "none"), ("ASK_REASON", "probe", "optional", False, "none"), ("CLARIFY", "probe", "optional", False, "none"), ("REVIEW_PROBLEM", "probe", "optional", False, "none"),
+    ("PREREQ_CHECK", "probe", "optional", False, "none"), ("PREREQ_REVIEW", "explain", "required", True, "partial"), ("HINT_POINT", "hint", "optional", True, "partial"), ("HINT_TEACH", "hint", "required", True, "partial"),
+    ("ANSWER_CONCEPT", "explain", "required", True, "partial"), ("RETRY_CHECK", "retry", "none", True, "partial"), ("CONFIRM_ASK_WHY", "check_understanding", "none", False, "partial"),
+    ("ELICIT_START", "elicit", "none", False, "none"), ("RETRY_FULL", "retry", "none", False, "none"), ("REDIRECT", "elicit", "none", False, "none"), ("CONFIRM_SWITCH", "elicit", "none", False, "none"),
+    ("NO_TARGET", "elicit", "none", False, "none"), ("DEMO_SIMILAR", "demonstrate", "none", True, "partial"), ("TRANSFER", "transfer", "none", False, "none"), ("WRAP_UP", "verify", "none", False, "full"),
+    ("PARK", "verify", "none", False, "none"), ("SAFETY_STOP", "verify", "none", False, "none"),
+)
+
+# Phase transitions (phase, event, next phase, card)
+TRANSITIONS = (
+    ("ATTEMPTING", "correct", "SOLVED_CHECK", "CONFIRM_ASK_WHY"), ("REMEDIATING", "correct", "SOLVED_CHECK", "CONFIRM_ASK_WHY"), ("ATTEMPTING", "error", "REMEDIATING", "LADDER"), ("REMEDIATING", "error", "REMEDIATING", "LADDER"),
+    ("REMEDIATING", "ladder_end", "PARKED", "PARK"), ("SOLVED_CHECK", "sound", "TRANSFER", "TRANSFER"), ("SOLVED_CHECK", "no_problem_left", "PARKED", "WRAP_UP"), ("SOLVED_CHECK", "weak", "SOLVED_CHECK", "CONFIRM_ASK_WHY"),
+    ("SOLVED_CHECK", "contradicts", "REMEDIATING", "LADDER"), ("TRANSFER", "correct", "RESOLVED", "WRAP_UP"), ("TRANSFER", "correct_with_help", "SOLVED_CHECK", "CONFIRM_ASK_WHY"), ("TRANSFER", "error", "REMEDIATING", "LADDER"),
+    ("TRANSFER", "second_error", "PARKED", "PARK"),
+)
+
+# Delivery results (result, text shown, code) to presentation status and failure class
+DELIVERED = (
+    ("PRESENTED", "presented", None), ("PARTIAL_TEXT", "partially_presented", None), ("PARTIAL", "failed", "transient"), ("RENDER_FAILED", "failed", "permanent"),
+    ("FAILED", "failed", "transient"), ("REJECTED", "failed", "permanent"), ("CANCELLED", "failed", "transient"),
+)

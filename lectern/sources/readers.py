@@ -6,6 +6,7 @@ becomes a row with status `failed`, not an exception.
 
 from __future__ import annotations
 
+import functools
 import io
 import zipfile
 from collections.abc import Iterator
@@ -96,13 +97,14 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def embeddings(records: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Vectors in the order and with the fields of their records."""
-    return records.join(vectors, "record_id")
+    """Vectors with the fields of their records, numbered in the records' order (`ordinal`); a record without a vector keeps its place with none."""
+    return records.join(vectors, "record_id", "left").select(*records.columns, *[c for c in vectors.columns if c != "record_id"])
 
 
 def questions(spark: SparkSession, path: str, concepts: DataFrame, schema: str) -> DataFrame:
-    """Question schemas with their concept's name."""
-    return spark.read.schema(schema).option("multiLine", "true").json(path).join(concepts, "concept_id", "left")
+    """Question schemas with their concept's name; a concept that the course doesn't have keeps its id as its name."""
+    read = spark.read.schema(schema).json(path)
+    return read.join(concepts.select("concept_id", F.col("name").alias("_name")), "concept_id", "left").withColumn("concept_name", F.coalesce("_name", F.col("concept_id").cast("string"))).drop("_name")
 
 
 def traces(spark: SparkSession, root: str, schema: str, session_id: str | None = None) -> DataFrame:
@@ -144,3 +146,21 @@ def page_text(html: Column) -> Column:
 
 def safe_name(name: Column) -> Column:
     return F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "_")
+
+
+def layered(*layers: dict[str, str]) -> dict[str, str]:
+    """Settings from the weakest layer to the strongest: defaults, file, environment, command line. A null or absent value leaves the weaker one."""
+    out: dict[str, str] = {}
+    for layer in layers:
+        out |= {k: v for k, v in layer.items() if v is not None}
+    return out
+
+
+def layered_columns(*layers: Column) -> Column:
+    """The same for columns of string maps: later maps win, null values don't."""
+    known = [F.map_filter(F.coalesce(m, F.create_map().cast("map<string,string>")), lambda k, v: v.isNotNull()) for m in layers]
+
+    def over(weak: Column, strong: Column) -> Column:
+        return F.map_concat(F.map_filter(weak, lambda k, v: ~F.map_contains_key(strong, k)), strong)
+
+    return functools.reduce(over, known)

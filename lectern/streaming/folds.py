@@ -42,3 +42,68 @@ def commits(actions: DataFrame, deliveries: DataFrame, late: str = "1 hour") ->
     a = actions.withWatermark("ts", late)
     d = deliveries.withWatermark("delivered_ts", late)
     return a.join(d, F.expr("action_id = delivered_id AND delivered_ts BETWEEN ts AND ts + INTERVAL 1 HOUR"))
+
+
+def first_of_key(events: DataFrame, key: str, late: str = "2 hours") -> DataFrame:
+    """Events whose key was not seen before within the watermark: an id is used once (submissions, deliveries, results)."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+
+
+def snapshots(events: DataFrame) -> DataFrame:
+    """The state of every session so far: events, the last one and its type, errors. Complete mode: one row for each session."""
+    return events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"), F.max("event_id").alias("last_event"), F.count_if(F.col("event_type") == "error").alias("errors"))
+
+
+def confirmed_once(events: DataFrame) -> DataFrame:
+    """Reviews open with a view and are confirmed by a purchase, once: state is deleted by its use, so a second confirmation finds none. Rows of a batch are taken in the order of time."""
+
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        opened = state.get[0] if state.exists else None
+        out = []
+        for row in pd.concat(list(pdfs)).sort_values(["ts", "event_id"]).itertuples():
+            if row.event_type == "view":
+                opened = row.event_id
+            elif row.event_type == "purchase":
+                out.append((key[0], row.event_id, opened, "rejected" if opened is None else "confirmed"))
+                opened = None
+        if opened is not None:
+            state.update((opened,))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "review_id", "status"]).astype({"review_id": "Int64"})
+
+    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, review_id long, status string", "review_id long", "append", GroupStateTimeout.NoTimeout)
+
+
+def expiring(events: DataFrame, ttl_seconds: int = 86_400, late: str = "1 hour") -> DataFrame:
+    """Pending actions with a time to live: a view opens one, a click of the same user applies it; when its time has passed, by the next event or by the
+    watermark, it is discarded as expired and its state deleted, so state doesn't outlive the time to live."""
+
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+        opened, since = state.get if state.exists else (None, None)
+        if state.hasTimedOut:
+            out.append((key[0], opened, "expired"))
+            state.remove()
+        else:
+            for row in pd.concat(list(pdfs)).sort_values(["ts", "event_id"]).itertuples():
+                at = int(row.ts.timestamp() * 1000)
+                if opened is not None and at >= since + ttl_seconds * 1000:
+                    out.append((key[0], opened, "expired"))
+                    opened = None
+                if row.event_type == "view":
+                    if opened is not None:
+                        out.append((key[0], opened, "superseded"))
+                    opened, since = row.event_id, at
+                elif row.event_type == "click" and opened is not None:
+                    out.append((key[0], opened, "applied"))
+                    opened = None
+            if opened is None:
+                if state.exists:
+                    state.remove()
+            else:
+                state.update((opened, since))
+                state.setTimeoutTimestamp(max(since + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "status"])
+
+    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, status string", "opened long, since long", "append", GroupStateTimeout.EventTimeTimeout)
