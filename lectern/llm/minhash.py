@@ -233,10 +233,19 @@ def _hopeful(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
 
 
 def across(members: DataFrame, classes: DataFrame, low: DataFrame, least: float) -> DataFrame:
-    """(a, b) across components that the sketches leave possible. A band's members are compared in blocks inside the tasks; only these pairs leave them."""
-    blocks = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    m = members.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("id", "band"), F.col("blocks")).cast("int"))
-    m = m.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    """(a, b) across components that the sketches leave possible. A band's members are compared in blocks inside the tasks; only these pairs leave them.
+
+    The band's largest component needs no comparison with itself, so its members meet the others' blocks alone: with s others among m members, a
+    band makes about m * s / BLOCK rows besides one for each member, not m * m / BLOCK.
+    """
+    sizes = members.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    bands = largest.select("band", "major", blocks(F.col("all") - F.col("most")).alias("minors"), blocks(F.col("most")).alias("majors"))
+    m = members.join(bands, "band").withColumn("is_major", F.col("c") == F.col("major"))
+    at = F.when(F.col("is_major"), F.col("minors") + F.pmod(F.xxhash64("id", "band"), F.col("majors"))).otherwise(F.pmod(F.xxhash64("id", "band"), F.col("minors"))).cast("int")
+    meets = F.when(F.col("is_major"), F.sequence(F.lit(0), F.col("minors") - 1)).otherwise(F.sequence(F.lit(0), F.col("minors") + F.col("majors") - 1))
+    m = m.withColumn("block", at).withColumn("with", F.explode(meets))
     m = m.select("band", "id", "c", "block", F.least("block", "with").alias("from"), F.greatest("block", "with").alias("to"))
     full = m.join(classes.select("id", "n", "regs"), "id").join(low, "id")
     return full.groupBy("band", "from", "to").applyInPandas(lambda pdf: _hopeful(pdf, least), "a long, b long").distinct()
