@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -207,16 +206,14 @@ def _alike(a: np.ndarray, b: np.ndarray) -> float:
     return shared / max(1, n - shared)
 
 
-def _hopeful(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
+def _hopeful(band: int, low_block: int, high_block: int, ids: np.ndarray, comps: np.ndarray, blocks: np.ndarray, sizes: np.ndarray, regs: np.ndarray, low: list[bytes], least: float) -> list[tuple[int, int]]:
     """Pairs of one pair of blocks of one band: different components, no earlier common band, alike by registers and by least hashes."""
-    band, low_block, high_block = pdf["band"].iloc[0], pdf["from"].iloc[0], pdf["to"].iloc[0]
-    regs = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(len(pdf), REGISTERS)
+    out: list[tuple[int, int]] = []
+    if (comps == comps[0]).all():
+        return out
     number = int(np.argmax(band_keys(regs[0]) == band))
-    ids, comps, blocks, sizes = (pdf[c].to_numpy() for c in ("id", "c", "block", "n"))
     rows, cols = np.flatnonzero(blocks == low_block), np.flatnonzero(blocks == high_block)
     floor = least - 5 * (least * (1 - least) / REGISTERS) ** 0.5
-    sets = [np.frombuffer(x, np.uint32) for x in pdf["low"]]
-    out = []
     for i in rows:
         j = cols[(comps[cols] != comps[i]) & ((ids[cols] > ids[i]) if low_block == high_block else True)]
         j = j[np.minimum(sizes[j], sizes[i]) >= (least - 1e-9) * np.maximum(sizes[j], sizes[i])]
@@ -225,30 +222,64 @@ def _hopeful(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
         same = regs[j] == regs[i]
         j, same = j[same.mean(1) >= floor], same[same.mean(1) >= floor]
         j = j[~same[:, : number * ROWS].reshape(len(j), number, ROWS).all(2).any(1)] if number else j
+        a = np.frombuffer(low[i], np.uint32) if len(j) else None
         for x in j:
-            whole = len(sets[i]) < LOWEST and len(sets[x]) < LOWEST
-            if _alike(sets[i], sets[x]) >= (least - 0.005 if whole else least - 5 * (least * (1 - least) / LOWEST) ** 0.5):
-                out.append((min(ids[i], ids[x]), max(ids[i], ids[x])))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            b = np.frombuffer(low[x], np.uint32)
+            whole = len(a) < LOWEST and len(b) < LOWEST
+            if _alike(a, b) >= (least - 0.005 if whole else least - 5 * (least * (1 - least) / LOWEST) ** 0.5):
+                out.append((min(int(ids[i]), int(ids[x])), max(int(ids[i]), int(ids[x]))))
+    return out
+
+
+def _by_blocks(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """_hopeful of every pair of blocks, in rows (band, from, to, id, c, block, n, regs, low) sorted by the first three."""
+
+    def found(t: pa.Table, last: bool) -> tuple[list[tuple[int, int]], pa.Table]:
+        keys = [t.column(i).to_numpy() for i in range(3)]
+        new = np.concatenate([[0], np.flatnonzero((keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]) | (keys[2][1:] != keys[2][:-1])) + 1, [t.num_rows]])
+        ends = new if last else new[:-1]
+        done = int(ends[-1])
+        ids, comps, blocks, sizes = (t.column(i).to_numpy()[:done] for i in range(3, 7))
+        regs = np.frombuffer(b"".join(t.column(7).slice(0, done).to_pylist()), np.uint16).reshape(done, REGISTERS)
+        low, out = t.column(8).slice(0, done).to_pylist(), []
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            if b - a > 1:
+                out += _hopeful(int(keys[0][a]), int(keys[1][a]), int(keys[2][a]), ids[a:b], comps[a:b], blocks[a:b], sizes[a:b], regs[a:b], low[a:b], least)
+        return out, t.slice(done)
+
+    held = None
+    for batch in batches:
+        for i in range(0, batch.num_rows, 4 * BLOCK):
+            part = pa.Table.from_batches([batch.slice(i, 4 * BLOCK)])
+            pairs, held = found(pa.concat_tables([held, part]) if held is not None else part, False)
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], ["a", "b"])
+    if held is not None and held.num_rows:
+        pairs, _ = found(held, True)
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], ["a", "b"])
 
 
 def across(members: DataFrame, classes: DataFrame, low: DataFrame, least: float) -> DataFrame:
     """(a, b) across components that the sketches leave possible. A band's members are compared in blocks inside the tasks; only these pairs leave them.
 
     The band's largest component needs no comparison with itself, so its members meet the others' blocks alone: with s others among m members, a
-    band makes about m * s / BLOCK rows besides one for each member, not m * m / BLOCK.
+    band makes about m * s / BLOCK rows besides one for each member, not m * m / BLOCK. A band of one block is compared as it is.
     """
     sizes = members.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("all"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    bands = largest.select("band", "major", blocks(F.col("all") - F.col("most")).alias("minors"), blocks(F.col("most")).alias("majors"))
-    m = members.join(bands, "band").withColumn("is_major", F.col("c") == F.col("major"))
+    small = F.col("all") <= BLOCK
+    bands = largest.select("band", "major", F.when(small, 1).otherwise(blocks(F.col("all") - F.col("most"))).alias("minors"), F.when(small, 0).otherwise(blocks(F.col("most"))).alias("majors"))
+    m = members.join(bands, "band").withColumn("is_major", (F.col("c") == F.col("major")) & (F.col("majors") > 0))
     at = F.when(F.col("is_major"), F.col("minors") + F.pmod(F.xxhash64("id", "band"), F.col("majors"))).otherwise(F.pmod(F.xxhash64("id", "band"), F.col("minors"))).cast("int")
     meets = F.when(F.col("is_major"), F.sequence(F.lit(0), F.col("minors") - 1)).otherwise(F.sequence(F.lit(0), F.col("minors") + F.col("majors") - 1))
     m = m.withColumn("block", at).withColumn("with", F.explode(meets))
     m = m.select("band", "id", "c", "block", F.least("block", "with").alias("from"), F.greatest("block", "with").alias("to"))
     full = m.join(classes.select("id", "n", "regs"), "id").join(low, "id")
-    return full.groupBy("band", "from", "to").applyInPandas(lambda pdf: _hopeful(pdf, least), "a long, b long").distinct()
+    keys = ["band", "from", "to"]
+    dealt = full.select(*keys, "id", "c", "block", "n", "regs", "low").repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(lambda batches: _by_blocks(batches, least), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
