@@ -13,7 +13,6 @@ empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import itertools
 import json
 import zlib
@@ -58,7 +57,7 @@ def cuts(n: int, capacity: int, min_cut: int) -> list[int]:
 #: Punctuation that, at the end of a word behind a letter or digit, is a token run of its own for a word-wise tokenizer.
 _TAIL = ".,;:!?*$%&#\")("
 #: Bytes of text that are encoded together, or one text; bytes that a cache of words and ids holds, about, beyond what one such stretch adds.
-CHUNK, CACHE = 4 << 20, 200 << 20
+CHUNK, CACHE = 4 << 20, 80 << 20
 #: What a word-wise tokenizer does before its model: it makes white space one space, lower-cases, and splits runs of letters, single digits and
 #: runs of other signs, so no id depends on what lies beyond white space.
 _WORD_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -170,9 +169,8 @@ class WordIds:
         return np.asarray(out.flatten()), np.diff(np.asarray(out.offsets))
 
 
-@functools.lru_cache(maxsize=1)
 def encoder(path: str):
-    """texts (a string array) -> (all ids, each text's count). Kept by the worker from task to task."""
+    """texts (a string array) -> (all ids, each text's count). Its cache lives as long as the task that makes it."""
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
