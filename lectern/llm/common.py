@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..staging import shared_dir, staged
 
-__all__ = ["HashedWords", "components", "dropped", "exact_rank", "fresh", "mix64", "octets", "shared_dir", "staged"]
+__all__ = ["HashedWords", "components", "dropped", "exact_rank", "fresh", "mix64", "octets", "released", "shared_dir", "staged"]
 
 
 def dropped(*dfs: DataFrame) -> None:
@@ -39,10 +43,25 @@ def octets(col: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     return col.cast(pa.binary() if pa.types.is_string(col.type) else pa.large_binary()).to_pylist()
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function of batches; when it ends, its worker, which Spark keeps for other tasks, gives the memory that is free back to the machine."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library
+
+    return runs
+
+
 class HashedWords(dict):
     """word -> 64-bit hash; cleared when it has grown to `bound` words. Words of over 256 bytes are hashed anew each time."""
 
-    def __init__(self, seed: int = 0, bound: int = 400_000):
+    def __init__(self, seed: int = 0, bound: int = 200_000):
         super().__init__()
         self.seed, self.bound = seed, bound
 

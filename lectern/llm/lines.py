@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, exact_rank, octets, staged
+from .common import dropped, exact_rank, octets, released, staged
 
 MIN_LINES, MIN_WORDS = 4, 15
 
@@ -49,7 +49,7 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
             hashes = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy()), pa.array(words, pa.int32())], ["doc_id", "pos", "one", "two", "words"])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, pos int, one long, two long, words int")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(released(run), "doc_id long, pos int, one long, two long, words int")
 
 
 def ranked(lines: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashedWords, components, dropped, mix64, octets, staged
+from .common import HashedWords, components, dropped, mix64, octets, released, staged
 
 BANDS, ROWS, MANTISSA = 32, 5, 10
 REGISTERS = BANDS * ROWS
@@ -117,7 +117,7 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
                 regs.append(registers(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "digest", "regs"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, regs binary")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, n_shingles long, digest binary, regs binary")
 
 
 def banded(classes: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def banded(classes: DataFrame) -> DataFrame:
                 keys = np.concatenate([band_keys(np.frombuffer(r, np.uint16)) for r in batch.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["band", "id"])
 
-    return classes.select("id", "regs").mapInArrow(run, "band long, id long")
+    return classes.select("id", "regs").mapInArrow(released(run), "band long, id long")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -148,7 +148,7 @@ def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
                 keep = sizes & (share >= floor)
                 yield pa.RecordBatch.from_arrays([*(pa.array(batch.column(i).to_numpy()[keep]) for i in (0, 1)), pa.array(share[keep])], ["a", "b", "share"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long, share double")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(released(run), "a long, b long, share double")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -172,7 +172,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1)], ["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(released(run), "a long, b long").distinct()
 
 
 def mixed_members(shared: DataFrame, by: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def lowest(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             low = [np.unique((shingles(t, k, hashed) >> np.uint64(32)).astype(np.uint32))[:LOWEST].tobytes() for t in octets(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.binary())], ["id", "low"])
 
-    found = texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "id long, low binary")
+    found = texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(released(run), "id long, low binary")
     return found.groupBy("id").agg(F.min("low").alias("low"))
 
 

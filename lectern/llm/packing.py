@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import released, staged
 
 #: Pieces of a bin, at most.
 MOST = 128
@@ -227,7 +227,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capac
                         at += m
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _PIECES)
+    return docs.select("doc_id", "text").mapInArrow(released(run), _PIECES)
 
 
 def _last_bins(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:

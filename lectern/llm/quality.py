@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashedWords, dropped, fresh, octets, staged
+from .common import HashedWords, dropped, fresh, octets, released, staged
 
 WINDOW = 5
 #: Entries of the statistic vector.
@@ -96,7 +96,7 @@ def counted(docs: DataFrame) -> DataFrame:
             arrays = [batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), batch.column(2).cast(pa.string()), *(pa.array(c, pa.int64()) for c in cols[:5]), *(pa.array(c, pa.float64()) for c in cols[5:])]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *STATS])
 
-    return docs.select("doc_id", "lang", "source", "text").mapInArrow(run, _COUNTS)
+    return docs.select("doc_id", "lang", "source", "text").mapInArrow(released(run), _COUNTS)
 
 
 def chi2_below(x: float, d: int) -> float:
@@ -229,4 +229,4 @@ def filtered(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
             yield batch.select(columns).filter(pa.array(keep, pa.bool_()))
 
     joined = docs.join(of_group, _group() == F.col(name)).select(*[docs[f"`{c}`"] for c in columns], centre, scatter)
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(released(run), docs.schema)
