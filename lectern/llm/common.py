@@ -38,9 +38,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def octets(col: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
-    """UTF-8 bytes of a string column."""
-    return col.cast(pa.binary() if pa.types.is_string(col.type) else pa.large_binary()).to_pylist()
+def octets(col: pa.ChunkedArray | pa.Array, step: int = 256) -> Iterator[bytes | None]:
+    """UTF-8 bytes of a string column, copied out of the batch a few rows at a time."""
+    kind = pa.binary() if pa.types.is_string(col.type) else pa.large_binary()
+    for i in range(0, len(col), step):
+        yield from col.slice(i, step).cast(kind).to_pylist()
 
 
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
