@@ -43,7 +43,7 @@ def harmonic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("minhash near-dedup", near_dedup), ("source mix", source_mix), ("packing", harmonic_packing)]
 
-#: The stages use Jaccard graphs and a tokenizer, which SQL cannot express; tests of the pipeline compare columns and row counts only.
+#: The stages use Jaccard graphs and a tokenizer, which SQL cannot express; tests/llm compares each stage and run() with plain versions.
 ORACLE_SQL = None
 
 
