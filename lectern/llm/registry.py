@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, lines, minhash, mixing, packing, pii, quality, sharding, suffixes, toxicity
+from . import asof, embeddings, licenses, lines, manifest, minhash, mixing, packing, pii, quality, sharding, suffixes, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,23 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removed(_docs(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hyperminhash, op2_entropy_mix, op3_line_dedup, op4_cross_polytope, op5_pii_skip_chain, op6_harmonic_packing, op7_quality_mcd, op8_toxicity_nnpu, op9_stratified_shards, op10_suffix_dedup)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.proven(_docs(spark, sf_dir))
 
-ORACLES: dict[str, str] = {}
+
+def op12_tolerant_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asof.matched(spark.read.parquet(f"{sf_dir}/clicks.parquet"), spark.read.parquet(f"{sf_dir}/sales.parquet"))
+
+
+def op13_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(_docs(spark, sf_dir))
+
+
+_ALL = [
+    op1_hyperminhash, op2_entropy_mix, op3_line_dedup, op4_cross_polytope, op5_pii_skip_chain, op6_harmonic_packing, op7_quality_mcd,
+    op8_toxicity_nnpu, op9_stratified_shards, op10_suffix_dedup, op11_merkle_manifest, op12_tolerant_asof, op13_license_diagonals,
+]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+
+ORACLES: dict[str, str] = {"op11_merkle_manifest": manifest.SQL, "op12_tolerant_asof": asof.SQL, "op13_license_diagonals": licenses.SQL}
