@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..staging import shared_dir, staged
 
-__all__ = ["HashedWords", "components", "dropped", "exact_rank", "fresh", "mix64", "octets", "released", "shared_dir", "staged"]
+__all__ = ["HashedWords", "components", "dropped", "exact_rank", "fresh", "keyed", "mix64", "numbered", "octets", "released", "shared_dir", "staged"]
 
 
 def dropped(*dfs: DataFrame) -> None:
@@ -102,6 +102,39 @@ def exact_rank(df: DataFrame, strata: list[str], bucket: Column, order: list[Col
     return numbered.join(offsets, cond).select(*kept, (F.col("_before") + F.col("_i")).cast("long").alias(name))
 
 
+def numbered(rows: DataFrame, order: list[Column | str]) -> DataFrame:
+    """Adds i, each row's place inside its `tree` by `order`, and n, the tree's rows: one sort by range, then offsets of (tree, partition)."""
+    keys = [F.col(c).asc_nulls_first() if isinstance(c, str) else c for c in ("tree", *order)]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    ranged = staged(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "sorted")
+    tree = Window.partitionBy("tree")
+    counts = ranged.groupBy("tree", "_part").agg(F.count(F.lit(1)).alias("m"), F.min("_at").alias("low"))
+    before = F.coalesce(F.sum("m").over(tree.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("tree", "_part", (before - F.col("low")).alias("_by"), F.sum("m").over(tree).alias("n"))
+    # sixteen copies of the offsets: a partition's rows are dealt out in stretches
+    offsets = offsets.withColumn("_cut", F.explode(F.sequence(F.lit(0), F.lit(15)).cast("array<long>")))
+    joined = ranged.withColumn("_cut", F.shiftright("_at", 8) % 16).join(offsets, ["tree", "_part", "_cut"])
+    return joined.withColumn("i", F.col("_at") + F.col("_by")).drop("_part", "_cut", "_at", "_by")
+
+
+def keyed(docs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """docs with the long `name`, and (doc_id, text) with that key as doc_id, once for each key.
+
+    Rows equal in doc_id and text have one key; keys ascend with doc_id, rows of one doc_id by a hash of their texts, and those without doc_id come
+    last. Where every row has a doc_id of its own, which one count of ids tells, the key is the doc_id.
+    """
+    shared = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL")
+    if not shared.limit(1).count():
+        out = docs.withColumn(name, F.col("doc_id").cast("long"))
+        return out, out.select(F.col(name).alias("doc_id"), "text")
+    told = F.struct(F.xxhash64("text").alias("h"), F.isnull("text").alias("none"))
+    ids = docs.select("doc_id", told.alias("told")).distinct().select(F.lit("").alias("tree"), F.col("doc_id").alias("_id"), F.col("told").alias("_told"))
+    ids = staged(numbered(ids, [F.col("_id").asc_nulls_last(), F.col("_told")]).select("_id", "_told", F.col("i").alias(name)), "keys")
+    out = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]) & (told == ids["_told"])).drop("_id", "_told")
+    return out, out.select(F.col(name).alias("doc_id"), "text").dropDuplicates(["doc_id"])
+
+
 def fresh(columns: list[str], *names: str) -> list[str]:
     """The names, each with as many underscores before it as keep it from clashing with a column, in any case."""
     taken, out = {c.lower() for c in columns}, []

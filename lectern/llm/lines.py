@@ -11,9 +11,10 @@ A run counts if it has `min_lines` lines, or if its lines have `min_words` words
 one lacks; beyond, every power of two, which cover each longer run by overlap. Only lines found more than once take part: a unique line ends every run.
 
 Nulls and edge cases: lines are split at \\n and told apart by 128-bit hashes; lines without words take part in runs but are never removed on their own; a
-null text stays null, without lines; a row without doc_id is left as it is and is no earlier copy of another; rows with one doc_id are read as one place,
-so a row equal to another one with the same doc_id keeps its lines; an empty table gives an empty result; other columns are kept as they are, but
-n_lines and n_removed of `deduplicated` take the place of columns so named (`cut` keeps the rows apart).
+null text stays null, without lines. Rows equal in doc_id and text are one place and get the same result, so they don't remove one another; rows with one
+doc_id and different texts are documents of their own, in the order of a hash of their texts. A row without doc_id is left as it is and is no earlier copy
+of another. An empty table gives an empty result; other columns are kept as they are, but n_lines and n_removed of `deduplicated` take the place of columns so
+named (`cut` keeps the rows apart).
 """
 
 from __future__ import annotations
@@ -27,13 +28,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, exact_rank, octets, released, staged
+from .common import dropped, exact_rank, fresh, keyed, octets, released, staged
 
 MIN_LINES, MIN_WORDS = 4, 15
 
 
 def hashed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, one, two, words) for every line: one and two are 128 bits of hash of its bytes."""
+    """(doc_id, pos, one, two, words) for every line of docs (doc_id, text), no doc_id twice: one and two are 128 bits of hash of its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -45,11 +46,11 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
                 ids += [doc] * len(parts)
                 pos += range(len(parts))
                 digests += map(xxhash.xxh3_128_digest, parts)
-                words += [min(len(x.split()), MIN_WORDS * 4) for x in parts]
+                words += [min(len(x.split()), 1 << 20) for x in parts]
             hashes = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy()), pa.array(words, pa.int32())], ["doc_id", "pos", "one", "two", "words"])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(released(run), "doc_id long, pos int, one long, two long, words int")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, pos int, one long, two long, words int")
 
 
 def ranked(lines: DataFrame) -> DataFrame:
@@ -86,7 +87,7 @@ def _later(runs: DataFrame, length: int, least: int = 0) -> DataFrame:
 
 
 def repeated_prefixes(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
-    """(doc_id, pos, length): for every place, the most lines for which a run that counts starts there and earlier, too."""
+    """(doc_id, pos, length) for docs (doc_id, text), no doc_id twice: for every place, the most lines for which a run that counts starts there and earlier, too."""
     lines = staged(hashed_lines(docs), "lines")
     runs = ranked(lines)
     dropped(lines)
@@ -114,19 +115,15 @@ def maximal_runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.stack([begin[at], end[np.append(at[1:], len(end)) - 1]], 1) if len(at) else np.zeros((0, 2), np.int64)
 
 
-def removed_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
-    """(doc_id, pos) of the lines to remove."""
-    found = repeated_prefixes(docs, min_lines, min_words, whole_runs)
-    return found.select("doc_id", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("length") - 1)).alias("pos")).distinct()
-
-
 def _n_lines(text: Column) -> Column:
     return F.coalesce(F.char_length(text) - F.char_length(F.translate(text, "\n", "")) + 1, F.lit(0)).cast("long")
 
 
 def cut(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
     """(row, text, n_lines, n_removed): every row of docs as one value, its text without the later copies of repeated runs, and the counts."""
-    prefixes = repeated_prefixes(docs, min_lines, min_words, whole_runs).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("pos").alias("pos"), F.collect_list("length").alias("length"))
+    (key,) = fresh(docs.columns, "_key")
+    rows, places = keyed(docs.where("doc_id IS NOT NULL"), key)
+    prefixes = repeated_prefixes(places, min_lines, min_words, whole_runs).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("pos").alias("pos"), F.collect_list("length").alias("length"))
 
     @F.pandas_udf("struct<text:string,gone:long>")
     def without(text: pd.Series, pos: pd.Series, length: pd.Series) -> pd.DataFrame:
@@ -146,7 +143,8 @@ def cut(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS,
             gone.append(total)
         return pd.DataFrame({"text": texts, "gone": gone})
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("id"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    whole = lambda df, id: df.select(id.alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = whole(rows, F.col(key)).unionByName(whole(docs.where("doc_id IS NULL"), F.lit(None).cast("long")))
     joined = rows.join(prefixes.hint("merge"), "id", "left")  # the same plan at every size
     text = F.col("row")["text"]
     made = joined.select("row", "pos", without(F.when(F.col("pos").isNotNull(), text), "pos", "length").alias("made"))

@@ -24,9 +24,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import staged
+from .common import numbered, staged
 
 ARITY, STEP = 16, 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -85,22 +84,6 @@ def emitted(nodes: DataFrame, level: int, step: int = STEP) -> DataFrame:
     return spark.createDataFrame(tops, "tree string, n long, i long, digest binary", verifySchema=False)
 
 
-def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Adds i, each row's place inside its `tree` by `order`, and n, the tree's rows: one sort by range, then offsets of (tree, partition)."""
-    keys = [F.col(c).asc_nulls_first() for c in ("tree", *order)]
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    ranged = staged(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "manifest-sorted")
-    tree = Window.partitionBy("tree")
-    counts = ranged.groupBy("tree", "_part").agg(F.count(F.lit(1)).alias("m"), F.min("_at").alias("low"))
-    before = F.coalesce(F.sum("m").over(tree.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("tree", "_part", (before - F.col("low")).alias("_by"), F.sum("m").over(tree).alias("n"))
-    # sixteen copies of the offsets: a partition's rows are dealt out in stretches
-    offsets = offsets.withColumn("_cut", F.explode(F.sequence(F.lit(0), F.lit(15)).cast("array<long>")))
-    joined = ranged.withColumn("_cut", F.shiftright("_at", 8) % 16).join(offsets, ["tree", "_part", "_cut"])
-    return joined.withColumn("i", F.col("_at") + F.col("_by")).drop("_part", "_cut", "_at", "_by")
-
-
 def grown(nodes: DataFrame, step: int = STEP) -> tuple[list[DataFrame], DataFrame]:
     """The nodes (tree, n, i, digest) of every `step`-th level, and (tree, n, digest) of the trees' roots."""
     most = nodes.agg(F.max("n")).first()[0] or 0

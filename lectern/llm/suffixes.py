@@ -16,9 +16,9 @@ which is what a difference cover is for, and one place in about 43 is sampled in
 Names that one batch of texts holds often are reduced to the earliest before the shuffle; places with many names (the
 edges of a passage that very many documents quote) are dealt out string by string, so no task gathers them.
 
-Nulls and edge cases: a null text is empty; texts shorter than LENGTH lose nothing; rows with one doc_id are one place, so
-they don't remove one another, and spans found in one are applied to each (clipped to its length); an empty table gives an empty result;
-other columns are ignored.
+Nulls and edge cases: a null text is empty; texts shorter than LENGTH lose nothing. Rows equal in doc_id and text are one document and get the same
+result, so they don't remove one another; rows with one doc_id and different texts are documents of their own, in the order of a hash of their texts;
+rows without doc_id stand behind all others, in that order, too. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, octets, staged
+from .common import keyed, mix64, octets, staged
 
 LENGTH, GRAM = 100, 16
 SPAN = LENGTH - GRAM + 1
@@ -386,8 +386,7 @@ def united(blobs: list[bytes], size: int) -> np.ndarray:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, gone): lists of spans of bytes to remove, for documents that have any; united() reads them."""
-    docs = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("doc_id"), "text")
+    """(doc_id, gone) for docs (doc_id, text), no doc_id twice: lists of spans of bytes to remove, for documents that have any; united() reads them."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, -(-size // PART))
     once = staged(named_once(places(docs, parts).repartition(parts, "part")), "named")
@@ -399,7 +398,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def removed(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes' spans for every row of docs."""
-    spans = repeated_spans(docs)
+    rows, places = keyed(docs.select("doc_id", "text"), "_key")
+    spans = repeated_spans(places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -416,6 +416,5 @@ def removed(docs: DataFrame) -> DataFrame:
                 rows.append((doc, len(text), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), h.hexdigest()))
             yield _batch(rows, schema)
 
-    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("_key"))
-    joined = keyed.join(spans.withColumnRenamed("doc_id", "_key").hint("merge"), "_key", "left").select("doc_id", "text", "gone")
+    joined = rows.join(spans.withColumnRenamed("doc_id", "_key").hint("merge"), "_key", "left").select("doc_id", "text", "gone")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

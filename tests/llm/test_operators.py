@@ -139,8 +139,10 @@ def test_line_dedup_judges_runs_as_a_whole(spark, docs, rows):
                     seen.add(run)
     assert gone > old
     all_ = docs.unionByName(spark.createDataFrame(more, docs.schema))
-    got = {(x.doc_id, x.pos) for x in lines.removed_lines(all_, whole_runs=True).collect()}
-    assert got == gone
+    for x in lines.deduplicated(all_, whole_runs=True).collect():
+        t = once[x.doc_id]
+        assert x.text == (None if t is None else "\n".join(y for p, y in enumerate(t.split("\n")) if (x.doc_id, p) not in gone))
+        assert x.n_removed == sum(d == x.doc_id for d, _ in gone)
 
 
 def test_line_dedup_query_and_stage_judge_runs_as_a_whole(spark, tmp_path):
@@ -592,3 +594,56 @@ def test_empty_tables(empty):
     assert quality.judged(empty).count() == 0
     assert sharding.interleaved(empty).count() == 0
     assert suffixes.removed(empty).count() == 0
+
+
+def odd_ids(spark):
+    """Rows found three times, rows that share an id with other texts, rows without an id; and each row's place in the order of keys."""
+    r = random.Random(11)
+    text = lambda n: "\n".join(" ".join(r.choices("abcdefghijklmnop", k=r.randint(3, 9))) for _ in range(n))
+    a, b, c, d, e = (text(40) for _ in range(5))
+    part = "\n".join(d.split("\n")[5:30])
+    rows = [(1, b), (2, a), (2, b), (3, c), (3, c), (3, c), (4, c + "\n" + a), (5, d), (5, part), (5, e + "\n" + part), (6, e), (6, e), (None, d), (None, d), (None, a + "\n" + e), (None, None), (7, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = {(x.doc_id, x.text): x.h for x in df.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()}
+    return df, sorted(order, key=lambda k: (k[0] is None, k[0] or 0, order[k], k[1] is None))
+
+
+def test_line_dedup_of_repeated_rows_and_shared_ids(spark):
+    df, keys = odd_ids(spark)
+    seen, want = set(), {}
+    for k in keys:
+        if k[0] is None or k[1] is None:
+            want[k] = k[1]
+            continue
+        ls, gone = k[1].split("\n"), set()
+        for n in range(1, lines.MIN_LINES + 1):
+            for p in range(len(ls) - n + 1):
+                run = tuple(ls[p : p + n])
+                own = run in {tuple(ls[q : q + n]) for q in range(p)}
+                if (run in seen or own) and (n == lines.MIN_LINES or sum(len(x.split()) for x in run) >= lines.MIN_WORDS):
+                    gone |= set(range(p, p + n))
+        seen |= {tuple(ls[p : p + n]) for n in range(1, lines.MIN_LINES + 1) for p in range(len(ls))}
+        want[k] = "\n".join(x for p, x in enumerate(ls) if p not in gone)
+    rows = df.collect()
+    got = lines.deduplicated(df, whole_runs=True).select("doc_id", "text", "n_lines", "n_removed").collect()
+    full = [(k.doc_id, want[k.doc_id, k.text]) for k in rows]
+    assert sorted(map(repr, ((g.doc_id, g.text) for g in got))) == sorted(map(repr, full))
+    assert want[2, rows_text(rows, 2, want)] == rows_text(rows, 2, want)  # what is repeated nowhere stays
+
+
+def rows_text(rows, doc, want):
+    """The text of `doc` that no row before it has."""
+    return next(r.text for r in rows if r.doc_id == doc and want[r.doc_id, r.text] == r.text)
+
+
+def test_suffix_dedup_of_repeated_rows_and_shared_ids(spark):
+    df, keys = odd_ids(spark)
+    plain = brute_spans({i: t for i, (_, t) in enumerate(keys)})
+    want = sorted(repr((r.doc_id, *plain[keys.index((r.doc_id, r.text))])) for r in df.collect())
+    assert sorted(repr(tuple(r)) for r in suffixes.removed(df).collect()) == want
+
+
+def test_long_lines_count_all_their_words(spark):
+    line = " ".join(f"w{i}" for i in range(100))
+    df = spark.createDataFrame([(1, line), (2, line + "\nx"), (3, "y\n" + line)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in lines.deduplicated(df, min_words=80, whole_runs=True).collect()} == {1: 0, 2: 1, 3: 1}
