@@ -107,21 +107,21 @@ def latest(events: DataFrame, points: DataFrame, tolerance: int = TOLERANCE, den
         events, points = events.withColumn("part", inside("ts_us")), points.withColumn("part", inside("t"))
         parts = staged(_parts(events, points, "at", "part"), "asof-parts")
         heavy = parts.where(F.col("rows") > dense) if width > 1 else parts.where("false")
-        rest = points.join(heavy.select("client_id", "part"), ["client_id", "part"], "left_anti")
         if first:
             carried = parts.groupBy("client_id", "at").agg(F.max("last").alias("order")).where("order IS NOT NULL").select("client_id", (F.col("at") + tolerance).alias("at"), "order")
-            rest = rest.select("client_id", "at", "order").unionByName(carried)
-            carried = carried.withColumnRenamed("order", "prior")
-            heavy = heavy.join(carried, ["client_id", "at"], "left").withColumn("before", F.coalesce("before", "prior")).drop("prior")
-        done = _few(events.join(heavy.select("client_id", "part"), ["client_id", "part"], "left_anti"), rest, "at")
-        out = done if out is None else out.unionByName(done)
+            heavy = heavy.join(carried.withColumnRenamed("order", "prior"), ["client_id", "at"], "left").withColumn("before", F.coalesce("before", "prior"))
+        known = heavy.select("client_id", "part", "n", "before")
+        # every row learns whether its bucket is cut (n, the part's orders) or not (null)
+        events = staged(events.join(known, ["client_id", "part"], "left"), "asof-events")
+        points = staged(points.join(known.select("client_id", "part", "n"), ["client_id", "part"], "left"), "asof-points")
+        rest = points.where("n IS NULL").select("client_id", "at", "order")
+        done = _few(events.where("n IS NULL"), rest.unionByName(carried) if first else rest, "at")
+        ended = events.where("n = 0").select("click_id", "client_id", "ts_us", F.coalesce("before", "carry").alias("order"))
+        out = done.unionByName(ended) if out is None else out.unionByName(done).unionByName(ended)
         if not heavy.limit(1).count():
             return out
-        known = heavy.select("client_id", "part", "n", "before")
-        down = staged(events.join(known, ["client_id", "part"]).withColumn("carry", F.coalesce("before", "carry")).select("click_id", "client_id", "ts_us", F.col("part").alias("at"), "carry", "n"), "asof-events")
-        out = out.unionByName(down.where("n = 0").select("click_id", "client_id", "ts_us", F.col("carry").alias("order")))
-        events = down.where("n > 0").drop("n")
-        points = staged(points.join(known.where("n > 0").select("client_id", "part"), ["client_id", "part"], "left_semi").select("client_id", "t", "order", F.col("part").alias("at")), "asof-points")
+        events = events.where("n > 0").select("click_id", "client_id", "ts_us", F.coalesce("before", "carry").alias("carry"), F.col("part").alias("at"))
+        points = points.where("n > 0").select("client_id", "t", "order", F.col("part").alias("at"))
         width, first = step, False
 
 

@@ -86,19 +86,20 @@ def _covered(places: Column, k: int) -> Column:
 
 
 def verified(voted: DataFrame, k: int = K, drift: int = DRIFT) -> DataFrame:
-    """(doc_id, digest, template, label, exact, diagonal, share, first, last): of each diagonal, merged with those just beyond it, the share of the
-    template's words and the span's first and last word in the text."""
+    """The votes with share, first and last: of each diagonal, merged with those just beyond it, the share of the template's words and the span's first
+    and last word in the text. Rows without template pass through."""
     near = Window.partitionBy("doc_id", "digest", "template").orderBy("diagonal").rangeBetween(0, drift)
-    own = voted.where("template IS NOT NULL").withColumn("found", F.transform("places", lambda p: F.col("diagonal") + p))
-    merged = own.withColumn("all_places", F.when(F.col("exact"), F.col("places")).otherwise(F.array_distinct(F.flatten(F.collect_list("places").over(near)))))
-    merged = merged.withColumn("all_found", F.when(F.col("exact"), F.col("found")).otherwise(F.flatten(F.collect_list("found").over(near))))
-    share = _covered(F.col("all_places"), k) / F.col("size")
-    return merged.select("doc_id", "digest", "template", "label", "exact", "diagonal", share.alias("share"), F.array_min("all_found").alias("first"), (F.array_max("all_found") + k - 1).alias("last"))
+    own = voted.withColumn("found", F.transform("places", lambda p: F.col("diagonal") + p))
+    merged = lambda c: F.when(F.col("exact"), F.col(c)).otherwise(F.array_distinct(F.flatten(F.collect_list(c).over(near))))
+    own = own.withColumn("all_places", merged("places")).withColumn("all_found", merged("found"))
+    share = F.when(F.col("template").isNotNull(), _covered(F.col("all_places"), k) / F.col("size"))
+    kept = [c for c in voted.columns if c not in ("places", "size")]
+    return own.select(*kept, share.alias("share"), F.array_min("all_found").alias("first"), (F.array_max("all_found") + k - 1).alias("last"))
 
 
 def spans(docs: DataFrame, known: DataFrame | None = None, share: float = SHARE) -> DataFrame:
     """(doc_id, digest, label, exact, first, last, share): the licenses found in each text, words from 0, both ends included."""
-    found = verified(votes(docs, templates(docs.sparkSession) if known is None else known))
+    found = verified(votes(docs, templates(docs.sparkSession) if known is None else known).where("template IS NOT NULL"))
     near = Window.partitionBy("doc_id", "digest", "template").orderBy("diagonal").rangeBetween(-DRIFT, DRIFT)
     best = found.withColumn("_best", F.max(F.struct("share", -F.col("diagonal"))).over(near)).where(F.col("exact") & (F.col("share") == 1) | ~F.col("exact") & (F.col("share") >= share))
     best = best.where(F.col("exact") | (F.col("_best") == F.struct("share", -F.col("diagonal"))))
@@ -107,13 +108,11 @@ def spans(docs: DataFrame, known: DataFrame | None = None, share: float = SHARE)
 
 def scanned(docs: DataFrame, known: DataFrame | None = None, share: float = SHARE) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row of docs."""
-    voted = votes(docs, templates(docs.sparkSession) if known is None else known)
-    texts = voted.where("template IS NULL").select("doc_id", "digest", "n_words", "copies", *[F.lit(None).cast(t).alias(c) for c, t in (("exact", "boolean"), ("label", "string"), ("diagonal", "long"), ("share", "double"))])
-    found = verified(voted).select("doc_id", "digest", F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("long").alias("copies"), "exact", "label", "diagonal", "share")
+    found = verified(votes(docs, templates(docs.sparkSession) if known is None else known))
     base = F.col("exact") & (F.col("share") == 1)
     named = lambda on: F.array_join(F.array_sort(F.collect_set(F.when(on, F.col("label")))), ",")
-    out = texts.unionByName(found).groupBy("doc_id", "digest").agg(
-        F.max("n_words").alias("n_words"), F.max("copies").alias("copies"), F.count(F.when(base, 1)).alias("n_base"), F.min(F.when(base, F.col("diagonal"))).alias("first_word"),
+    out = found.groupBy("doc_id", "digest", "n_words").agg(
+        F.max(F.when(F.col("template").isNull(), F.col("copies"))).alias("copies"), F.count(F.when(base, 1)).alias("n_base"), F.min(F.when(base, F.col("diagonal"))).alias("first_word"),
         F.max(F.when(base, F.col("diagonal"))).alias("last_word"), named(base).alias("base_labels"), named(base | ~F.col("exact") & (F.col("share") >= share)).alias("labels"),
         F.coalesce(F.max("share"), F.lit(0.0)).alias("score"),
     )

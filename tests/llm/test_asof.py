@@ -55,7 +55,7 @@ def frames(spark, clicks, sales):
     return c, s
 
 
-def data(seed, n=400, clients=3, span=40 * 24 * HOUR):
+def data(seed, n=300, clients=3, span=40 * 24 * HOUR):
     r = random.Random(seed)
     base = 1_704_067_200_000_000
     time = lambda: None if r.random() < 0.03 else base + r.randrange(span) // r.choice([1, 1, HOUR]) * 1
@@ -67,7 +67,7 @@ def data(seed, n=400, clients=3, span=40 * 24 * HOUR):
     return clicks, sales
 
 
-@pytest.mark.parametrize("dense, radix, hours", [(256, 256, 240), (6, 4, 240), (2, 16, 7)])
+@pytest.mark.parametrize("dense, radix, hours", [(256, 256, 240), (8, 64, 240), (8, 256, 7)])
 def test_against_plain_search(spark, dense, radix, hours):
     clicks, sales = data(dense)
     out = asof.matched(*frames(spark, clicks, sales), tolerance=hours * HOUR, dense=dense, radix=radix)
