@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fixed, text
-from ..operators import retrieve
+from ..functions import fixed, porter, text
+from ..operators import postings, retrieve
 from .base import query, quoted, table
 from .texts import LEXICAL, stem_sql
 
@@ -79,6 +79,54 @@ def r05_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.full_text(items(spark, sf_dir), passages(spark, sf_dir), 10)
 
 
+_LATIN = f"regexp_extract_all(translate(lower({{}}), '{postings.MARKED}', '{postings.PLAIN}'), '[\\p{{{{L}}}}\\p{{{{N}}}}]+')"
+
+
+def _search_sql(phrases: str, wants: str, k: int = 10) -> str:
+    """Search in SQL; `phrases` is a list of lists of words over the item's words w."""
+    tokens = "SELECT DISTINCT word FROM (SELECT unnest(w) AS word FROM pw UNION ALL SELECT unnest(flatten(ph)) FROM qw)"
+    return f"""WITH pw AS (SELECT doc_id AS passage_id, {_LATIN.format("coalesce(text, '')")} AS w FROM documents),
+qw AS (SELECT item_id AS query_id, {phrases} AS ph FROM (SELECT item_id, {_LATIN.format('text')} AS w FROM benchmark)),
+{porter.stems_sql(tokens, 'st')},
+pp AS (SELECT passage_id, dl, pos, stem AS token FROM (SELECT passage_id, len(w) AS dl, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM pw) JOIN st USING (word)),
+q0 AS (SELECT query_id, unnest(ph) AS ws, generate_subscripts(ph, 1) AS phrase FROM qw),
+q1 AS (SELECT query_id, phrase, list(stem ORDER BY place) AS tokens FROM (SELECT query_id, phrase, unnest(ws) AS word, generate_subscripts(ws, 1) AS place FROM q0) JOIN st USING (word) GROUP BY ALL),
+q2 AS (SELECT query_id, min(phrase) AS phrase, tokens FROM q1 GROUP BY query_id, tokens),
+q AS (SELECT *, {wants} AS wants, len(tokens) AS size FROM q2),
+qt AS (SELECT query_id, phrase, wants, size, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM q),
+f AS (SELECT query_id, phrase, wants, passage_id, dl, count(*) AS hits FROM (
+  SELECT query_id, phrase, wants, size, passage_id, dl, pos - place AS start FROM qt JOIN pp USING (token) GROUP BY ALL HAVING count(*) = size) GROUP BY ALL),
+df AS (SELECT query_id, phrase, count(*) AS df FROM f GROUP BY ALL), n AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM pw),
+s AS (SELECT query_id, passage_id, wants, count(*) AS n_phrases, round(sum(greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6::DOUBLE) * hits * 2.2::DOUBLE
+  / (hits + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM f JOIN df USING (query_id, phrase), n GROUP BY ALL)
+SELECT query_id, passage_id, score, n_phrases, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM s WHERE n_phrases >= wants QUALIFY rank <= {k}"""
+
+
+def _asked(spark: SparkSession, sf_dir: str, text_of) -> DataFrame:
+    w = postings.words(F.col("query"))
+    return items(spark, sf_dir).select("query_id", text_of(w).alias("query"))
+
+
+@query(_search_sql("[w[3:6], w[9:10]]", "count(*) OVER (PARTITION BY query_id)"))
+def r05_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two phrases of each item, four words and two, both asked for."""
+    quoted_ = lambda x: F.concat(F.lit('"'), F.array_join(x, " "), F.lit('"'))
+    return postings.search(_asked(spark, sf_dir, lambda w: F.concat_ws(" ", quoted_(F.slice(w, 3, 4)), quoted_(F.slice(w, 9, 2)))), passages(spark, sf_dir), 10)
+
+
+@query(_search_sql("list_transform(w[1:8], lambda x: [x])", "count(*) OVER (PARTITION BY query_id)"))
+def r05_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight words of each item, all of them."""
+    return postings.search(_asked(spark, sf_dir, lambda w: F.array_join(F.slice(w, 1, 8), " ")), passages(spark, sf_dir), 10)
+
+
+@query(_search_sql("list_concat([w[3:4]], list_transform(w[6:9], lambda x: [x]))", "1"))
+def r05_any_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase of two words or any of four words of each item."""
+    said = lambda w: F.concat(F.lit('"'), F.array_join(F.slice(w, 3, 2), " "), F.lit('" OR '), F.array_join(F.slice(w, 6, 4), " OR "))
+    return postings.search(_asked(spark, sf_dir, said), passages(spark, sf_dir), 10)
+
+
 @query("SELECT doc_id AS passage_id, source FROM documents d WHERE lang IN ('en', 'fr') AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1)")
 def r06_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     flagged = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("passage_id"))
