@@ -67,14 +67,22 @@ def on_cycles(edges: DataFrame) -> DataFrame:
     return reach.where("src = dst").select(F.col("src").alias("id")).union(loops).distinct()
 
 
-def paths(nodes: DataFrame, view: str = "lectern_nodes") -> DataFrame:
-    """(id, path): the titles from the root, by a recursive query over (id, parent_id, title)."""
-    nodes.createOrReplaceTempView(view)
-    return nodes.sparkSession.sql(f"""
-        WITH RECURSIVE up(id, path) AS (
-          SELECT id, title FROM {view} WHERE parent_id IS NULL
-          UNION ALL SELECT n.id, concat(u.path, ' > ', n.title) FROM up u JOIN {view} n ON n.parent_id = u.id)
-        SELECT id, path FROM up""")
+def paths(nodes: DataFrame) -> DataFrame:
+    """(id, path): the titles from the root, for (id, parent_id, title).
+
+    Pointer jumping: every node holds the titles up to some ancestor and takes that ancestor's own on; a round doubles their number, so a tree of depth d
+    takes log d rounds, each written to the shared folder. Nodes below a missing parent have no path. When a round brings no further node to its root, what
+    is left lies on or below a cycle and has none either.
+    """
+    now = nodes.select("id", F.col("parent_id").alias("up"), F.col("title").alias("path"))
+    done, left, before = now.where("up IS NULL"), staged(now.where("up IS NOT NULL"), "paths"), -1
+    above = now
+    while (n := left.count()) and n != before:
+        own = above.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
+        step = staged(left.join(own, "up").select("id", F.col("_up").alias("up"), F.concat("_path", F.lit(" > "), "path").alias("path")), "paths")
+        done = done.unionByName(step.where("up IS NULL"))
+        left, above, before = step.where("up IS NOT NULL"), step.where("up IS NOT NULL").unionByName(done), n
+    return done.select("id", "path")
 
 
 def worklist(assumptions: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from ..operators import context
+from ..operators import context, ranges
 from .base import query, table
 from .segmentation import blocks
 
@@ -162,18 +162,52 @@ def j17_not_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT d.doc_id, count(l.l_linenumber) AS n_issues, coalesce(string_agg(l.l_linenumber::VARCHAR, ' ' ORDER BY l.l_linenumber, l.l_suppkey), '') AS lines FROM documents d LEFT JOIN lineitem l ON l.l_orderkey = d.doc_id AND l.l_linenumber BETWEEN 2 AND 2 + d.doc_id % 3 AND l.l_returnflag <> 'R' GROUP BY 1")
 def j02_open_issues_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id")
-    li = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'").select("l_orderkey", "l_linenumber", "l_suppkey")
-    hit = d.join(li, (F.col("l_orderkey") == F.col("doc_id")) & F.col("l_linenumber").between(2, 2 + F.col("doc_id") % 3), "left")
-    by = hit.groupBy("doc_id").agg(F.count("l_linenumber").alias("n_issues"), F.array_sort(F.collect_list(F.when(F.col("l_linenumber").isNotNull(), F.struct("l_linenumber", "l_suppkey")))).alias("x"))
-    return by.select("doc_id", "n_issues", F.array_join(F.transform("x", lambda s: s["l_linenumber"].cast("string")), " ").alias("lines"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("k"), F.lit(2).cast("long").alias("first"), (2 + F.col("doc_id") % 3).alias("last"))
+    li = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'").select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_suppkey")
+    hit = ranges.inside(d, li, "k", "first", "last", "l_linenumber")
+    by = hit.groupBy("doc_id").agg(F.count("l_linenumber").alias("n"), F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))).alias("x"))
+    lines = F.array_join(F.transform("x", lambda s: s["l_linenumber"].cast("string")), " ")
+    return d.join(by, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n_issues"), F.coalesce(lines, F.lit("")).alias("lines"))
+
+
+@query("""SELECT d.doc_id, count(l.doc_id) AS n_flagged, min(l.doc_id) AS first_flagged FROM documents d
+LEFT JOIN labels l ON l.doc_id BETWEEN d.doc_id AND d.doc_id + (d.n_chars * 7 % 900) AND l.toxic = 1 GROUP BY 1""")
+def j02_issues_in_long_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans from one place to nine hundred, all of one key."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("k"), F.col("doc_id").alias("first"), (F.col("doc_id") + F.col("n_chars") * 7 % 900).alias("last"))
+    flagged = table(spark, sf_dir, "labels").where("toxic = 1").select(F.lit(0).alias("k"), F.col("doc_id").alias("at"))
+    by = ranges.inside(d, flagged, "k", "first", "last", "at").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_flagged"))
+    return d.select("doc_id").join(by, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n_flagged"), "first_flagged")
 
 
 @query("SELECT d.doc_id, d.lang, max_by(i.quality, i.doc_id) AS last_quality FROM documents d JOIN labels i ON i.doc_id % 500 = d.doc_id % 500 AND i.doc_id <= d.doc_id GROUP BY ALL")
 def j04_last_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", (F.col("doc_id") % 500).alias("k"))
-    i = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("at"), "quality", (F.col("doc_id") % 500).alias("k"))
-    return d.join(i, "k").where("at <= doc_id").groupBy("doc_id", "lang").agg(F.max_by("quality", "at").alias("last_quality"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", (F.col("doc_id") % 500).alias("k"), F.col("doc_id").alias("at"))
+    i = table(spark, sf_dir, "labels").select((F.col("doc_id") % 500).alias("k"), F.col("doc_id").alias("at"), "quality")
+    found = ranges.last_before(d, i, "k", "at", "last")
+    return found.where("last IS NOT NULL").select("doc_id", "lang", F.col("last.quality").alias("last_quality"))
+
+
+@query("""SELECT c.click_id, max_by(s.sale_id, (s.sold_at, s.sale_id)) AS sale_id FROM (SELECT DISTINCT click_id, client_id, ts FROM clicks) c
+LEFT JOIN sales s ON s.client_id = c.client_id AND s.sold_at <= c.ts GROUP BY 1""")
+def j04_last_sale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last sale of its client at or before each click: keys from one row to a third of all."""
+    seconds = lambda c: F.unix_date(F.col(c).cast("date")).cast("long") * 86_400_000_000 + (F.hour(c) * 3600 + F.minute(c) * 60).cast("long") * 1_000_000 + (F.extract(F.lit("SECOND"), F.col(c)) * 1_000_000).cast("long")
+    clicks = table(spark, sf_dir, "clicks").select("click_id", "client_id", seconds("ts").alias("at")).distinct()
+    sales = table(spark, sf_dir, "sales").select("client_id", seconds("sold_at").alias("at"), "sale_id")
+    return ranges.last_before(clicks, sales, "client_id", "at", "last").select("click_id", F.col("last.sale_id").alias("sale_id"))
+
+
+_DEEP = "SELECT doc_id AS id, CASE WHEN doc_id % 1000 = 0 THEN NULL ELSE doc_id - 1 - doc_id % 2 * (doc_id % 1000 > 1)::INT END AS parent_id, source AS title FROM documents"
+
+
+@query(f"WITH RECURSIVE n AS ({_DEEP}), up(id, path) AS (SELECT id, title FROM n WHERE parent_id IS NULL UNION ALL SELECT n.id, up.path || ' > ' || n.title FROM up JOIN n ON n.parent_id = up.id) SELECT id, md5(path) AS path_md5, length(path) AS path_length FROM up")
+def c20_deep_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections some hundred levels deep, a tree for every thousand documents."""
+    n = F.col("doc_id")
+    parent = F.when(n % 1000 != 0, n - 1 - n % 2 * (n % 1000 > 1).cast("long"))
+    found = context.paths(table(spark, sf_dir, "documents").select(n.alias("id"), parent.alias("parent_id"), F.col("source").alias("title")))
+    return found.select("id", F.md5(F.col("path").cast("binary")).alias("path_md5"), F.length("path").cast("long").alias("path_length"))
 
 
 @query("SELECT n_nationkey AS section_id, n_regionkey AS parent_id, n_nationkey % 5 = n_regionkey AS inside FROM nation JOIN region ON r_regionkey = n_regionkey")

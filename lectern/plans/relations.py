@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import ground
+from ..operators import ground, ranges
 from ..sources import readers, sinks
 from .base import query, table
 from .grounding import _content
@@ -20,10 +20,18 @@ def j01_key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT d.doc_id, d.lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id BETWEEN d.doc_id AND d.doc_id + 2 AND l.doc_id // 10 = d.doc_id // 10 AND l.toxic = 1)")
 def j03_flagged_range_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equality on the block of ten, a range inside it."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.floor(F.col("doc_id") / 10).alias("k"))
-    bad = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("at"), F.floor(F.col("doc_id") / 10).alias("bk"))
-    return d.join(bad, (F.col("k") == F.col("bk")) & F.col("at").between(F.col("doc_id"), F.col("doc_id") + 2), "left_anti").select("doc_id", "lang")
+    """Spans of three places inside a block of ten."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.floor(F.col("doc_id") / 10).alias("k"), (F.col("doc_id") + 2).alias("last"))
+    bad = table(spark, sf_dir, "labels").where("toxic = 1").select(F.floor(F.col("doc_id") / 10).alias("k"), F.col("doc_id").alias("at"))
+    return ranges.without(d.withColumn("first", F.col("doc_id")), bad, "k", "first", "last", "at", "doc_id").select("doc_id", "lang")
+
+
+@query("SELECT d.doc_id, d.lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id BETWEEN d.doc_id AND d.doc_id + d.n_chars % 120 AND l.toxic = 1)")
+def j03_flagged_spans_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of one place to a hundred and twenty, all of one key."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.lit(0).alias("k"), F.col("doc_id").alias("first"), (F.col("doc_id") + F.col("n_chars") % 120).alias("last"))
+    bad = table(spark, sf_dir, "labels").where("toxic = 1").select(F.lit(0).alias("k"), F.col("doc_id").alias("at"))
+    return ranges.without(d, bad, "k", "first", "last", "at", "doc_id").select("doc_id", "lang")
 
 
 @query("SELECT l.doc_id, CASE WHEN d.doc_id IS NULL THEN 'unknown_label' ELSE d.source END AS passage FROM (SELECT doc_id + (doc_id % 3) * 100000 AS doc_id FROM labels) l LEFT JOIN documents d USING (doc_id)")

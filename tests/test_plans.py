@@ -1,103 +1,88 @@
-"""Finalised plans against a plain version, config layers, and functions without a query."""
+"""Finalised plans by hand-made cases, config layers, and functions without a query."""
+
+import pytest
 
 from lectern.functions import fixed
 from lectern.plans import drafts
 from lectern.sources import readers
 
 
-def plain_plan(p, draft, known):
-    concepts = [dict(c) for c in draft["concepts"] if c["source"] == "question_schema"]
-    repairs, primary, outside = [], p["concept_id"], p["concept_id"] == -1
-    has = lambda x: any(c["concept_id"] == x for c in concepts)
-    if primary is not None and not outside:
-        if primary not in known:
-            repairs.append("concept_id unknown_concept_dropped")
-        elif not has(primary):
-            role = "related" if concepts else "primary"
-            if concepts:
-                repairs.append("concept_id question_schema_kept_primary")
-            concepts.append({"concept_id": primary, "source": "model", "role": role})
-    for x in p["related_ids"] or []:
-        if x == -1:
-            continue
-        if x not in known:
-            repairs.append("related_concept_ids unknown_concept_dropped")
-        elif not has(x):
-            if sum(c["role"] == "related" for c in concepts) >= fixed.MAX_RELATED:
-                repairs.append("related_concept_ids truncated")
-                break
-            concepts.append({"concept_id": x, "source": "model", "role": "related"})
-    if outside and concepts and concepts[0]["source"] == "question_schema":
-        repairs.append("concept_id not_in_course_ignored")
-        outside = False
-    if not outside and not any(c["role"] == "primary" for c in concepts):
-        if draft["concepts"]:
-            if primary is not None:
-                repairs.append("concept_id concepts_from_draft")
-            ids = {c["concept_id"] for c in draft["concepts"]}
-            concepts = [dict(c) for c in draft["concepts"]] + [c for c in concepts if c["concept_id"] not in ids]
-        elif concepts:
-            concepts[0]["role"] = "primary"
-            repairs.append("related_concept_ids first_related_promoted_to_primary")
-    if len(concepts) > fixed.MAX_CONCEPTS:
-        repairs.append("concepts truncated")
-    concepts = concepts[: fixed.MAX_CONCEPTS]
-    primaries = [c["concept_id"] for c in concepts if c["role"] == "primary"]
-    main = " ".join((p["query"] or "").split())
-    if len(main) < 3:
-        main = draft["main_query"]
-        repairs.append("query main_query_from_draft")
-    elif len(main) > fixed.MAX_MAIN_CHARS:
-        main = main[: fixed.MAX_MAIN_CHARS]
-        repairs.append("query truncated")
-    needs = []
-    for i, n in enumerate(p["needs"]):
-        at = f"evidence_needs[{i}]"
-        words = " ".join((n["description"] or "").split())
-        if n["need_type"] not in fixed.NEED_TYPES:
-            repairs.append(f"{at} invalid_need_dropped")
-            continue
-        if len(words) < 3:
-            repairs.append(f"{at} empty_need_dropped")
-            continue
-        if len(words) > fixed.MAX_NEED_CHARS:
-            words = words[: fixed.MAX_NEED_CHARS]
-            repairs.append(f"{at} truncated")
-        if any(x[1].lower() == words.lower() for x in needs):
-            repairs.append(f"{at} duplicate_dropped")
-            continue
-        own = any(c["concept_id"] == n["concept_id"] for c in concepts)
-        if n["concept_id"] is not None and not own:
-            repairs.append(f"{at} not_a_plan_concept_dropped")
-        cid = n["concept_id"] if own else primaries[0] if len(primaries) == 1 else None
-        needs.append((n["need_type"], words, (n["anchor"] or "").strip() or None, cid))
-    if not needs:
-        needs = [(n["need_type"], n["query"], n["anchor"], n["concept_id"]) for n in draft["needs"] or []]
-        repairs.append("evidence_needs needs_from_draft")
-    if len(needs) > fixed.MAX_NEEDS:
-        needs = needs[: fixed.MAX_NEEDS]
-        repairs.append("evidence_needs truncated")
-    status = "not_in_course" if outside else "found" if primaries else "none_found"
-    return status, main, [(c["concept_id"], c["source"], c["role"]) for c in concepts], needs, repairs
-
-
-def test_finalized_plans(spark):
+KNOWN = [1, 2, 3, 4, 5, 6, 7, 8]
+_SCHEMA_CONCEPT, _LINKED = [(1, "chain rule", "m1", "question_schema", "primary")], [(2, "limits", "m1", "linked", "primary"), (3, "series", "m1", "linked", "related")]
+_NEED = ("definition", "What is a limit?", None, None)
+
+
+def plan_of(spark, draft, concept_id, related=(), query="a query", needs=(_NEED,), drafted_needs=None):
+    """(status, query, concepts, needs, repairs) of one proposal over one draft."""
+    c = "array<struct<concept_id:bigint,name:string,module_id:string,source:string,role:string>>"
+    n = "array<struct<need_id:string,need_type:string,query:string,anchor:string,concept_id:bigint>>"
+    drafts_ = spark.createDataFrame([(1, list(draft), "from the draft", drafted_needs)], f"turn_id long, concepts {c}, main_query string, needs {n}")
+    asked = "array<struct<need_type:string,description:string,anchor:string,concept_id:bigint>>"
+    made = spark.createDataFrame([(1, concept_id, list(related) or None, query, list(needs))], f"turn_id long, concept_id long, related_ids array<bigint>, query string, needs {asked}")
+    r = drafts.plan.finalized(made, drafts_, spark.createDataFrame([(i,) for i in KNOWN], "concept_id long")).first()
+    return r.concept_status, r.main_query, [(x.concept_id, x.source, x.role) for x in r.concepts], [tuple(x) for x in r.needs], list(r.repairs)
+
+
+PLANS = {
+    "as proposed": (dict(draft=[], concept_id=2, related=[3]), ("found", "a query", [(2, "model", "primary"), (3, "model", "related")], [("definition", "What is a limit?", None, 2)], [])),
+    "question schema stays": (
+        dict(draft=_SCHEMA_CONCEPT, concept_id=2),
+        ("found", "a query", [(1, "question_schema", "primary"), (2, "model", "related")], [("definition", "What is a limit?", None, 1)], ["concept_id question_schema_kept_primary"]),
+    ),
+    "unknown ones go": (
+        dict(draft=[], concept_id=99, related=[98, 3]),
+        ("found", "a query", [(3, "model", "primary")], [("definition", "What is a limit?", None, 3)], ["concept_id unknown_concept_dropped", "related_concept_ids unknown_concept_dropped", "related_concept_ids first_related_promoted_to_primary"]),
+    ),
+    "the draft's concepts": (
+        dict(draft=_LINKED, concept_id=99, related=[4]),
+        ("found", "a query", [(2, "linked", "primary"), (3, "linked", "related"), (4, "model", "related")], [("definition", "What is a limit?", None, 2)], ["concept_id unknown_concept_dropped", "concept_id concepts_from_draft"]),
+    ),
+    "not in the course": (dict(draft=_LINKED, concept_id=-1), ("not_in_course", "a query", [], [("definition", "What is a limit?", None, None)], [])),
+    "but the question is": (
+        dict(draft=_SCHEMA_CONCEPT, concept_id=-1),
+        ("found", "a query", [(1, "question_schema", "primary")], [("definition", "What is a limit?", None, 1)], ["concept_id not_in_course_ignored"]),
+    ),
+    "nothing at all": (dict(draft=[], concept_id=None, query=" ", needs=[]), ("none_found", "from the draft", [], [], ["query main_query_from_draft", "evidence_needs needs_from_draft"])),
+    "needs repaired": (
+        dict(draft=[], concept_id=2, needs=[("poem", "Write one", None, None), ("definition", " ", None, None), ("definition", "a limit", " the  word ", 7), ("definition", "A LIMIT", None, None)]),
+        (
+            "found", "a query", [(2, "model", "primary")], [("definition", "a limit", "the  word", 2)],
+            ["evidence_needs[0] invalid_need_dropped", "evidence_needs[1] empty_need_dropped", "evidence_needs[2] not_a_plan_concept_dropped", "evidence_needs[3] duplicate_dropped"],
+        ),
+    ),
+    "needs of the draft": (
+        dict(draft=_LINKED, concept_id=2, needs=[("poem", "x", None, None)], drafted_needs=[("n1", "definition", "Definition of limits", "limits", 2)]),
+        ("found", "a query", [(2, "model", "primary")], [("definition", "Definition of limits", "limits", 2)], ["evidence_needs[0] invalid_need_dropped", "evidence_needs needs_from_draft"]),
+    ),
+}
+
+
+@pytest.mark.parametrize("name", PLANS)
+def test_finalized_plan(spark, name):
+    given, want = PLANS[name]
+    assert plan_of(spark, **given) == want
+
+
+def test_limits_of_plans(spark):
+    status, query, concepts, needs, repairs = plan_of(spark, _SCHEMA_CONCEPT, 2, [3, 4, 5, 6, 7], "q" * 3000, [("definition", f"need {i} " + "w" * 3000, None, None) for i in range(12)])
+    assert sum(r == "related" for _, _, r in concepts) <= fixed.MAX_RELATED and len(concepts) <= fixed.MAX_CONCEPTS and len(needs) == fixed.MAX_NEEDS
+    assert len(query) == fixed.MAX_MAIN_CHARS and all(len(n[1]) == fixed.MAX_NEED_CHARS for n in needs)
+    assert {"related_concept_ids truncated", "query truncated", "evidence_needs truncated", "evidence_needs[0] truncated"} <= set(repairs)
+
+
+def test_plans_of_whole_tables(spark):
+    """What holds for every plan: one status, known concepts, a primary where concepts were found, limits."""
     sf = "/root/testdata/sf0.01"
     catalog = drafts.catalog(spark, sf)
     known = {r.concept_id for r in catalog.collect()}
     drafted = drafts.plan.drafted(drafts.contexts(spark, sf), catalog)
-    by_turn = {r.turn_id: r.asDict(recursive=True) for r in drafted.collect()}
-    got = {r.turn_id: r for r in drafts.plan.finalized(drafts.proposals(spark, sf), drafted, catalog).collect()}
-    seen = set()
-    for p in drafts.proposals(spark, sf).collect():
-        d = by_turn[p.turn_id]
-        for c in d["concepts"]:
-            c.pop("name"), c.pop("module_id")
-        want = plain_plan(p.asDict(recursive=True), d, known)
-        r = got[p.turn_id]
-        assert (r.concept_status, r.main_query, [tuple(c) for c in r.concepts], [tuple(n) for n in r.needs], list(r.repairs)) == want
-        seen |= {x.split(" ", 1)[1] for x in want[4]}
-    assert len(got) == len(by_turn) and len(seen) >= 12
+    got = drafts.plan.finalized(drafts.proposals(spark, sf), drafted, catalog).collect()
+    assert len(got) == drafts.proposals(spark, sf).join(drafted, "turn_id").count() > 0
+    for r in got:
+        primary = [c.concept_id for c in r.concepts if c.role == "primary"]
+        assert {c.concept_id for c in r.concepts} <= known and len(r.concepts) == len({c.concept_id for c in r.concepts}) <= fixed.MAX_CONCEPTS
+        assert (r.concept_status == "found") == bool(primary) and len(r.needs) <= fixed.MAX_NEEDS and r.main_query
+        assert all(n.need_type in fixed.NEED_TYPES for n in r.needs)
 
 
 def test_layers():
