@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, porter, text
-from ..operators import postings, retrieve
+from ..operators import nearest, postings, retrieve
 from .base import query, quoted, table
 from .texts import LEXICAL, stem_sql
 
@@ -46,24 +46,26 @@ def r03_fixture_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.fixture_overlap(items(spark, sf_dir), passages(spark, sf_dir), 4)
 
 
-def _nearest(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
-    """The 40 nearest records of every row whose id is divisible by `every`."""
+def _nearest(spark: SparkSession, sf_dir: str, search) -> DataFrame:
+    """The 40 nearest records of every row whose id is divisible by 20."""
     e = table(spark, sf_dir, "embeddings")
-    q = e.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"))
+    q = e.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"))
     r = e.select(F.col("vec_id").alias("record_id"), F.col("embedding").alias("r_vec"))
-    return retrieve.vector(q, r).withColumn("similarity", F.round("similarity", 6))
+    return search(q, r).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("""WITH s AS (SELECT q.vec_id AS query_id, r.vec_id AS record_id, round(list_dot_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 9) AS sim FROM embeddings q JOIN embeddings r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id),
+@query("""WITH s AS (SELECT q.vec_id AS query_id, r.vec_id AS record_id, round(list_dot_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 9) AS sim FROM embeddings q JOIN embeddings r ON q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, record_id) AS rank FROM s) SELECT query_id, record_id, rank, round(sim, 6) AS similarity FROM r WHERE rank <= 40""")
 def r04_vector_top40(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nearest(spark, sf_dir, 50)
+    """By cells, those that cannot hold a neighbour left out."""
+    return _nearest(spark, sf_dir, nearest.nearest)
 
 
 @query("""WITH s AS (SELECT q.vec_id AS query_id, r.vec_id AS record_id, round(list_dot_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 9) AS sim FROM embeddings q JOIN embeddings r ON q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, record_id) AS rank FROM s) SELECT query_id, record_id, rank, round(sim, 6) AS similarity FROM r WHERE rank <= 40""")
 def r04_vector_top40_each20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nearest(spark, sf_dir, 20)
+    """The same by comparing all blocks."""
+    return _nearest(spark, sf_dir, retrieve.vector)
 
 
 _WORDS = f"list_transform(list_filter(regexp_extract_all(lower({{}}), '[a-z0-9]+'), lambda t: t NOT IN ({quoted(fixed.FULL_TEXT_STOP)})), lambda t: {stem_sql()})"
