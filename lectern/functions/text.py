@@ -94,11 +94,11 @@ def is_formula(x: Column) -> Column:
 
 
 def course_number(x: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(x, r"(?i)\b(?:[a-z]{2}[.\s-]?)?\d{3}[.]\d{3}\b", 0)), F.lit(""))
+    return F.nullif(F.trim(F.regexp_extract(x, fixed.COURSE_NUMBER, 0)), F.lit(""))
 
 
 def term_name(x: Column) -> Column:
-    return F.nullif(F.regexp_extract(x, r"(?i)\b(?:fall|summer|winter|spring|fa|su|wi|sp|f|s|w)\s+20\d{2}\b", 0), F.lit(""))
+    return F.nullif(F.regexp_extract(x, fixed.TERM, 0), F.lit(""))
 
 
 def canonical_number(x: Column) -> Column:
@@ -115,8 +115,8 @@ def document_type(name: Column, body: Column, pages: Column) -> Column:
     named = lambda words: reduce(lambda a, b: a | b, [F.contains(F.lower(name), F.lit(w)) for w in words])
     return (
         F.when(pages > 300, "textbook")
-        .when(named(("syllabus",)) | (hits(("syllabus", "course description", "grading", "office hours")) >= 2), "syllabus")
-        .when(named(("note", "lecture", "chapter")) | (hits(("lecture", "chapter", "theorem", "example", "definition")) > 0), "lecture_notes")
+        .when(named(fixed.SYLLABUS_NAMES) | (hits(fixed.SYLLABUS_WORDS) >= 2), "syllabus")
+        .when(named(fixed.NOTES_NAMES) | (hits(fixed.NOTES_WORDS) > 0), "lecture_notes")
         .otherwise("other")
     )
 
@@ -163,8 +163,7 @@ def without_labels(x: Column, labels: Column) -> Column:
         return F.regexp_replace(text, F.concat(F.lit(r"(?<=[\[,])\s*"), name, F.lit(r"\s*,?|,\s*"), name, F.lit(r"(?=\s*\])")), F.lit(""))
 
     out = F.aggregate(labels, x, drop)
-    tidy = ((r"\[\s*,?\s*\]", ""), (r"\(\s*(?:see|cf\.?|e\.g\.,?)?\s*[,;]?\s*\)", ""), (r"(?:,\s*){2,}", ", "), (r"[ \t]+([,.;:!?])", "$1"), (r"(\b(?:in|see|from|and))\s*,", "$1"), (r",\s*(and|or)\b", " $1"), (r"[ \t]{2,}", " "))
-    for pattern, by in tidy:
+    for pattern, by in fixed.LABEL_REMAINS:
         out = F.regexp_replace(out, pattern, by)
     return F.trim(out)
 
@@ -215,25 +214,13 @@ def turn_type(x: Column, history: Column) -> Column:
 
 
 def math_candidates(x: Column) -> Column:
-    """Expressions that a text may offer as its answer: after =, between $, around function calls, powers."""
-    calls = r"(?:sin|cos|tan|log|exp|sqrt|ln)"
-    argument = r"\([^()]*\)"
-    after = F.transform(F.slice(F.split(x, "=", -1), 2, 100_000), lambda s: F.trim(F.split(s, r"[\n.;]")[0]))
-    between = F.transform(F.regexp_extract_all(x, F.lit(r"\$\$?([^$]+)\$\$?"), F.lit(1)), F.trim)
-    called = F.regexp_extract_all(x, F.lit(rf"(?i)([-a-zA-Z0-9*]*?{calls}\s*{argument}(?:\s*[+\-]\s*[-a-zA-Z0-9*]*?(?:{calls}\s*{argument}|[a-zA-Z0-9]+))*)"), F.lit(1))
-    powers = F.regexp_extract_all(x, F.lit(r"[a-zA-Z]\s*(?:\*\*|\^)\s*[0-9]+(?:\s*[+\-*/]\s*[a-zA-Z0-9]+(?:\s*(?:\*\*|\^)\s*[0-9]+)?)*"), F.lit(0))
-    return F.array_distinct(F.filter(F.transform(F.flatten(F.array(after, between, called, powers)), symbolic), lambda s: s != ""))
+    """Distinct expressions that a text may offer as its answer, in operators and calls: the sides of equations first, then what matches an offer."""
+    sides = F.split(x, "=")
+    offers = [F.transform(F.slice(sides, 2, F.greatest(F.size(sides), F.lit(1))), lambda side: F.split_part(F.regexp_replace(side, fixed.OFFER_ENDS, "\n"), F.lit("\n"), F.lit(1)))]
+    offers += [F.regexp_extract_all(x, F.lit(pattern), F.lit(group)) for pattern, group in fixed.OFFERED]
+    return F.array_distinct(F.filter(F.transform(F.concat(*offers), symbolic), lambda s: s != ""))
 
 
 def symbolic(x: Column) -> Column:
     """Student and LaTeX notation as operators and calls."""
-    out = F.regexp_replace(F.trim(x), r"\s*\+\s*[Cc]\b\s*$", "")
-    for a, b in ((r"\sin", "sin"), (r"\cos", "cos"), (r"\tan", "tan"), (r"\ln", "log"), (r"\log", "log"), (r"\exp", "exp"), (r"\cdot", "*"), (r"\times", "*")):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    out = F.regexp_replace(out, r"\\frac\{([^{}]+)\}\{([^{}]+)\}", "($1)/($2)")
-    out = F.regexp_replace(out, r"\\[a-zA-Z]+", "")
-    out = F.replace(F.translate(out, "{}", "()"), F.lit("^"), F.lit("**"))
-    for name in ("sin", "cos", "tan", "log", "exp", "sqrt"):
-        out = F.regexp_replace(out, rf"([a-zA-Z\d])({name}\()", "$1*$2")
-    out = F.regexp_replace(out, r"(\d)([a-zA-Z(])", "$1*$2")
-    return F.trim(F.regexp_replace(out, r"([a-zA-Z])(\d)", "$1*$2"))
+    return F.trim(reduce(lambda out, rule: F.regexp_replace(out, *rule), fixed.NOTATION, F.trim(x)))

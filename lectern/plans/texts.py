@@ -173,3 +173,37 @@ def t35_highlight_and_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t36_token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = F.when(F.col("event_type") != "error", F.col("event_id") % 70)
     return table(spark, sf_dir, "events").select("event_id", text.token_cost(F.col("event_id") % 900, out, F.lit(0.042), F.lit(0.168)).alias("cost"))
+
+
+_SAID = "'Step ' || turn || ': y = x^' || (conv_id % 5 + 2) || '/2 + C' || chr(10) || CASE turn % 3 WHEN 0 THEN 'or $\\frac{x}{3}\\cdot\\sin(2x)$' WHEN 1 THEN 'the answer is xsin(x)+cos(x).' ELSE 'try 3x^2 + 2x' END"
+
+
+def _offered_sql(text: str) -> str:
+    """Candidates in SQL: RE2 has no look-around, and none is needed."""
+    out = "trim(x)"
+    for pattern, by in fixed.NOTATION:
+        by = by.replace("$1", r"\1").replace("$2", r"\2")
+        out = f"regexp_replace({out}, '{pattern}', '{by}', 'g')"
+    found = [f"list_transform(string_split({text}, '=')[2:], lambda x: string_split(regexp_replace(x, '{fixed.OFFER_ENDS}', chr(10), 'g'), chr(10))[1])"]
+    found += [f"regexp_extract_all({text}, '{pattern}', {group})" for pattern, group in fixed.OFFERED]
+    listed = f"list_filter(list_transform(flatten([{', '.join(found)}]), lambda x: trim({out})), lambda x: x <> '')"
+    return f"list_filter({listed}, lambda x, i: list_position({listed}, x) = i)"
+
+
+@query(f"SELECT conv_id, turn, array_to_string({_offered_sql('said')}, ' | ') AS candidates FROM (SELECT conv_id, turn, {_SAID} AS said FROM conversations)")
+def t25_t26_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that a turn of a conversation might offer, as operators and calls."""
+    kinds = F.when(F.col("turn") % 3 == 0, r"or $\frac{x}{3}\cdot\sin(2x)$").when(F.col("turn") % 3 == 1, "the answer is xsin(x)+cos(x).").otherwise("try 3x^2 + 2x")
+    said = F.concat(F.lit("Step "), F.col("turn").cast("string"), F.lit(": y = x^"), (F.col("conv_id") % 5 + 2).cast("string"), F.lit("/2 + C\n"), kinds)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(text.math_candidates(said), " | ").alias("candidates"))
+
+
+@query("""SELECT doc_id, coalesce(kind = 'explanation' AND (starts_with(heading, 'Chapter') OR heading LIKE '%.2 Series' AND len(string_split(trim(body), chr(10))) <= 2), false) AS is_heading FROM (SELECT doc_id,
+CASE WHEN doc_id % 4 = 0 THEN 'theorem' ELSE 'explanation' END AS kind, CASE doc_id % 3 WHEN 0 THEN 'Chapter ' || (doc_id % 9 + 1) || ': Limits' WHEN 1 THEN (doc_id % 9 + 1) || '.2 Series' END AS heading, text AS body FROM documents)""")
+def t22_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks that are the heading of a chapter or, if short, of a section."""
+    n = F.col("doc_id")
+    number = (n % 9 + 1).cast("string")
+    heading = F.when(n % 3 == 0, F.concat(F.lit("Chapter "), number, F.lit(": Limits"))).when(n % 3 == 1, F.concat(number, F.lit(".2 Series")))
+    kind = F.when(n % 4 == 0, "theorem").otherwise("explanation")
+    return table(spark, sf_dir, "documents").select("doc_id", text.structural(kind, heading, F.col("text")).alias("is_heading"))
