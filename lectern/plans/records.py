@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.jsonschema import schema_errors
 from ..operators import records
 from .base import query, quoted, table
 
@@ -72,6 +73,47 @@ def c22_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(p.alias("p"), *[F.array_join(x, "; ").alias(n) for x, n in ((record, "record"), (block, "block"), (bundle, "bundle"))])
 
 
+RECORD_SCHEMA = {
+    "type": "object",
+    "required": ["document_id", "status", "lang", "blocks", "warnings"],
+    "additionalProperties": False,
+    "properties": {
+        "document_id": {"type": "integer", "minimum": 0}, "status": {"enum": ["complete", "partial", "failed"]}, "lang": {"type": "string", "pattern": "^(en|fr|de)$"},
+        "title": {"type": "string", "minLength": 4, "maxLength": 12}, "blocks": {"type": "array", "maxItems": 3, "items": {"$ref": "#/$defs/Block"}}, "warnings": {"type": "array", "items": {"type": "string"}},
+    },
+    "allOf": [
+        {"if": {"properties": {"status": {"const": "failed"}}}, "then": {"properties": {"blocks": {"maxItems": 0}, "warnings": {"minItems": 1}}}, "else": {"properties": {"blocks": {"minItems": 1}}}},
+        {"if": {"properties": {"status": {"const": "partial"}}}, "then": {"properties": {"warnings": {"minItems": 1}}}},
+    ],
+    "$defs": {
+        "Block": {
+            "type": "object", "required": ["type"], "properties": {"type": {"enum": ["text", "solution", "proof"]}},
+            "if": {"properties": {"type": {"const": "solution"}}}, "then": {"required": ["for_block_id"], "properties": {"visibility": {"const": "engine_only"}}},
+        }
+    },
+}
+_BROKEN = (
+    ("lang NOT IN ('en', 'fr', 'de')", "'$.lang: pattern'"), ("d % 11 = 3", "'$.title: minLength'"), ("d % 13 = 4 AND d % 11 <> 3", "'$.title: maxLength'"), ("d % 17 = 5", "'$.extra: additionalProperties'"),
+    ("d % 19 = 6", "'$: required warnings'"), ("n > 3", "'$.blocks: maxItems'"), ("st = 'failed' AND n > 0", "'$.blocks: maxItems'"), ("st = 'failed' AND d % 2 = 0 AND d % 19 <> 6", "'$.warnings: minItems'"),
+    ("st <> 'failed' AND n = 0", "'$.blocks: minItems'"), ("st = 'partial' AND d % 2 = 0 AND d % 19 <> 6", "'$.warnings: minItems'"),
+)
+
+
+@query(f"""WITH r AS (SELECT doc_id AS d, lang, ['complete', 'partial', 'failed'][doc_id % 3 + 1] AS st, n_chars % 5 AS n FROM documents)
+SELECT d AS doc_id, coalesce(array_to_string(list_sort(list_concat([{", ".join(f"CASE WHEN {t} THEN {m} END" for t, m in _BROKEN)}],
+  CASE WHEN n > 0 AND d % 5 = 0 THEN ['$.blocks[0]: required for_block_id'] ELSE [] END, CASE WHEN n > 0 AND d % 5 = 0 AND d % 2 = 0 THEN ['$.blocks[0].visibility: const'] ELSE [] END)), '; '), '') AS broken FROM r""")
+def c22_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of documents as JSON against a compiled schema: references, conditions, bounds, unknown members."""
+    d, n = F.col("doc_id"), F.col("n_chars") % 5
+    first = F.when(d % 5 == 0, F.when(d % 2 == 0, '{"type":"solution","visibility":"open"}').otherwise('{"type":"solution"}')).otherwise('{"type":"text"}')
+    blocks = F.concat(F.lit("["), F.when(n > 0, F.concat_ws(",", first, F.array_join(F.array_repeat(F.lit('{"type":"proof"}'), (n - 1).cast("int")), ","))).otherwise(""), F.lit("]"))
+    blocks = F.regexp_replace(blocks, r",\]$", "]")
+    title = F.when(d % 11 == 3, "abc").when(d % 13 == 4, "a title too long").otherwise("a title")
+    warnings = F.when(d % 19 == 6, "").when(d % 2 == 0, ',"warnings":[]').otherwise(',"warnings":["w"]')
+    said = F.concat(F.lit('{"document_id":'), d.cast("string"), F.lit(',"status":"'), _pick(("complete", "partial", "failed"), d % 3), F.lit('","lang":"'), "lang", F.lit('","title":"'), title, F.lit('","blocks":'), blocks, warnings, F.when(d % 17 == 5, ',"extra":1').otherwise(""), F.lit("}"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(schema_errors(said, RECORD_SCHEMA), "; ").alias("broken"))
+
+
 _LINKS = (("Course.module_ids", "Module", 3), ("Module.course_id", "Course", 5), ("Module.concept_ids", "Concept", 7), ("Concept.module_id", "Module", 11), ("Concept.prerequisite_ids", "Concept", 13))
 _REFS = " UNION ALL ".join(f"SELECT p_partkey AS owner, '{link}' AS link, '{kind}' AS kind, p_partkey * {m} % 400 AS target FROM part" for link, kind, m in _LINKS)
 
