@@ -53,7 +53,8 @@ def parsed(queries: DataFrame) -> DataFrame:
 def positions(passages: DataFrame) -> DataFrame:
     """(passage_id, dl, pos, word) from (passage_id, body): every word with its place; dl is the passage's number of words."""
     split = passages.select("passage_id", words(F.col("body")).alias("ws"))
-    return split.select("passage_id", F.size("ws").alias("dl"), F.posexplode("ws").alias("pos", "word"))
+    # outer: a plain explode would have its size tested first, which cuts every text up again
+    return split.select("passage_id", F.size("ws").alias("dl"), F.posexplode_outer("ws").alias("pos", "word")).where("word IS NOT NULL")
 
 
 def matches(queries: DataFrame, passages: DataFrame) -> DataFrame:

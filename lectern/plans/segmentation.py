@@ -76,6 +76,22 @@ def j06_concept_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.tagged(_ascii_blocks(spark, sf_dir), _CONCEPTS).select("document_id", "line_start", F.array_join("concept_ids", " ").alias("concepts"))
 
 
+_VOCABULARY = "SELECT DISTINCT array_to_string(w[2:3], ' ') AS name FROM (SELECT regexp_extract_all(lower(regexp_replace(text, '[^\\x00-\\x7f]', 'x', 'g')), '[a-z]+') AS w FROM documents) WHERE len(w) > 2"
+
+
+@query(f"""WITH v AS ({_VOCABULARY}), d AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(regexp_replace(text, '[^\\x00-\\x7f]', 'x', 'g')), '[\\s\\-]+', ' ', 'g'), '\\w+|\\W') AS p FROM documents),
+g AS (SELECT DISTINCT doc_id, p[i] || p[i + 1] || p[i + 2] AS name FROM (SELECT doc_id, p, unnest(range(1, len(p) - 1)) AS i FROM d)),
+t AS (SELECT doc_id, string_agg(name, ';' ORDER BY name) AS concepts, count(*) AS n FROM g JOIN v USING (name) GROUP BY 1)
+SELECT documents.doc_id, coalesce(n, 0) AS n, md5(coalesce(concepts, '')) AS concepts_md5 FROM documents LEFT JOIN t USING (doc_id)""")
+def j06_large_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vocabulary that grows with the documents: two words of each of them, found in all of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(None).cast("string").alias("heading"), F.regexp_replace("text", r"[^\x00-\x7f]", "x").alias("text"))
+    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    names = docs.where(F.size(w) > 2).select(F.array_join(F.slice(w, 2, 2), " ").alias("name")).distinct()
+    found = segment.tagged_by(docs, names.select(F.col("name").alias("concept_id"), "name", F.lit(0).alias("ordinal")), ["doc_id"])
+    return found.select("doc_id", F.size("concept_ids").cast("long").alias("n"), F.md5(F.array_join("concept_ids", ";").cast("binary")).alias("concepts_md5"))
+
+
 @query(_TAGGED + """, pl AS (SELECT doc_id, chapter_id, section_id, list_sort(list_distinct(flatten(list(ids)))) AS near FROM tg GROUP BY ALL)
 SELECT tg.doc_id AS document_id, line_start::INT AS line_start, array_to_string(CASE WHEN len(ids) > 0 THEN ids ELSE near END, ' ') AS concepts FROM tg JOIN pl ON tg.doc_id = pl.doc_id AND tg.chapter_id IS NOT DISTINCT FROM pl.chapter_id AND tg.section_id IS NOT DISTINCT FROM pl.section_id""")
 def j07_propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
