@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import lessons
 from ..streaming import folds
-from ..streaming import lessons as lesson_stream
 from ..streaming.runs import available
 from .base import query, table
 
@@ -69,31 +67,3 @@ def z10_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One of each submission id, whichever arrives first."""
     e = events(spark, sf_dir).withColumn("submission_id", F.col("user_id") * 100 + F.col("event_id") % 7)
     return available(folds.first_of_key(e, "submission_id", "400 days").select("submission_id"))
-
-
-def _turns(e: DataFrame) -> DataFrame:
-    """Every event as a turn of its user's session; what the turn shows follows from its number and kind."""
-    k = F.col("event_id")
-    pick = lambda names, by: F.element_at(F.array(*[F.lit(x) for x in names]), (by % len(names) + 1).cast("int"))
-    kind = F.when(F.col("event_type") == "purchase", "ANSWER").when(F.col("event_type") == "signup", "ACK").otherwise(pick(("ANSWER", "HELP", "PARTIAL", "CONCEPT", "DEMAND", "VAGUE", "OFF_TOPIC", "NEW_QUESTION"), F.floor(k / 3)))
-    turns = e.select(
-        F.col("user_id").alias("session_id"), k.alias("turn_id"), "ts", F.array(kind).alias("intents"), (k % 211 == 0).alias("safety"), (k % 13 == 0).alias("fault"), (k % 17 != 0).alias("valid"),
-        pick(("correct", "incorrect", "absent", "unknown"), F.floor(k / 5)).alias("tool"), (k % 29 == 0).alias("missing_constant"), pick(("D0", "D1", "D3", "D5", "D6", "CORRECT", "UNCLEAR"), F.floor(k / 2)).alias("model"),
-        pick(("high", "medium", "low"), F.floor(k / 11)).alias("confidence"), (F.col("value") > 30).alias("has_work"), (k % 4 != 0).alias("saw_last"), (k % 19 == 0).alias("gap_improved"),
-        F.when(k % 3 == 0, (k % 5).cast("int")).alias("error_at"), F.when(k % 2 == 0, pick(("method", "prerequisite"), F.floor(k / 40))).alias("gap"), pick(("none", "sound", "weak", "contradicts"), F.floor(k / 7)).alias("explanation"),
-        F.lit(True).alias("shown"), (F.col("user_id") % 3 == 0).alias("no_example"), (F.col("user_id") % 5 == 0).alias("no_prerequisite"), (F.col("user_id") % 4).alias("transfers"),
-    )
-    return lessons.prepared(turns)
-
-
-@query()
-def z03_decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The specified engine's card for every turn, each session folded in order."""
-    return lessons.chosen(_turns(table(spark, sf_dir, "events")))
-
-
-@query()
-def z03_decided_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as a stream with state variables and timers."""
-    with lesson_stream.rocks(spark):
-        return available(lesson_stream.chosen(_turns(events(spark, sf_dir))))

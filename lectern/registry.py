@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import contexts, dialogue, drafts, evaluation, files, grounding, mathchecks, planning, records, relations, retrieval, segmentation, streams, texts, tutoring  # noqa: F401
+from .plans import contexts, dialogue, drafts, evaluation, files, grounding, lessons, mathchecks, planning, records, relations, retrieval, segmentation, streams, texts, tutoring  # noqa: F401
 from .plans.base import ORACLES, QUERIES
 
 FLAGSHIP = "r01_lexical_top4"
