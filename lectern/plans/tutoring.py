@@ -28,7 +28,18 @@ def w07_policy_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tutor.folded(turns.select("conv_id", "turn", "turn_type", F.lit("UNCLEAR").alias("diagnosis"), F.lit(False).alias("correct"), F.lit(True).alias("delivered")))
 
 
-@query()
+_ACTION = """CASE WHEN solved THEN 'wrap_up' WHEN correct THEN 'confirm' WHEN turn_type = 'HELP' THEN CASE WHEN help = 0 THEN 'hint' ELSE 'explain' END WHEN turn_type = 'VAGUE' THEN CASE WHEN seen THEN 'clarify' ELSE 'probe' END
+WHEN turn_type = 'REASONING' THEN 'check_understanding' WHEN turn_type = 'NEW_QUESTION' THEN 'redirect' WHEN dx = 'D0' THEN 'probe' WHEN dx = 'D1' THEN 'address_misconception' WHEN dx = 'D4' THEN 'nudge_calculation' WHEN dx = 'D5' THEN 'check_understanding'
+WHEN dx = 'D2' THEN CASE WHEN stalled >= 2 THEN 'explain' ELSE 'redirect' END WHEN dx = 'D3' THEN 'prereq_check' WHEN stalled >= 2 THEN CASE WHEN help = 0 THEN 'hint' ELSE 'explain' END WHEN NOT seen THEN 'probe' ELSE 'retry' END"""
+_LEVEL = """CASE WHEN solved OR correct OR turn_type IN ('VAGUE', 'REASONING', 'NEW_QUESTION') THEN help WHEN turn_type = 'HELP' THEN least(3, help + 1) WHEN dx IN ('D0', 'D4', 'D5') THEN help WHEN dx = 'D1' THEN greatest(help, 1)
+WHEN dx IN ('D2', 'D3') OR stalled >= 2 THEN least(3, help + 1) ELSE help END"""
+
+
+@query(f"""WITH RECURSIVE {_TURNS}, d AS (SELECT conv_id, turn, turn_type, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, ['D0', 'D1', 'D2', 'D3', 'D4', 'D5', 'UNCLEAR', 'D2', 'D2'][(conv_id * 5 + turn) % 9 + 1] AS dx, turn % 11 = 10 AS correct, turn % 4 <> 2 AS shown FROM tt),
+f AS (SELECT DISTINCT conv_id, NULL::BIGINT AS turn, NULL::VARCHAR AS turn_type, 0::BIGINT AS n, NULL::VARCHAR AS action, 0 AS level, 0 AS stalled, 0 AS help, false AS solved, false AS seen FROM d
+UNION ALL SELECT conv_id, turn, turn_type, n, action, level, CASE WHEN turn_type = 'HELP' OR dx = 'D5' THEN 0 WHEN turn_type = 'ATTEMPT' AND dx <> 'UNCLEAR' THEN stalled + 1 ELSE stalled END, CASE WHEN shown THEN level ELSE help END, solved OR (shown AND correct), true FROM
+(SELECT *, {_ACTION} AS action, {_LEVEL} AS level FROM (SELECT d.*, f.stalled, f.help, f.solved, f.seen FROM f JOIN d ON d.conv_id = f.conv_id AND d.n = f.n + 1)))
+SELECT conv_id, turn, turn_type, action, level AS help_level, stalled AS stall FROM f WHERE n > 0""")
 def w07_policy_fold_diagnosed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole policy with injected diagnoses and some undelivered actions."""
     turns = tutor.session_turns(table(spark, sf_dir, "conversations"))
