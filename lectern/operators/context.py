@@ -85,13 +85,24 @@ def paths(nodes: DataFrame) -> DataFrame:
     return done.select("id", "path")
 
 
+def placed(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds `name`, each row's place from 1 in the order of the whole table: sorted by range, numbered inside each range, the ranges' counts added."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged = staged(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "ranged")
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_low"))  # a row for each range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_part", (before - F.col("_low")).alias("_by"))
+    return ranged.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_at") + F.col("_by") + 1).cast("int")).drop("_part", "_at", "_by")
+
+
 def worklist(assumptions: DataFrame) -> DataFrame:
     """Assumptions a person should look at: those of the fields that matter, without the sure ones, one row for each field."""
     matter = ((F.col("entity") == "Concept") & (F.col("field") == "difficulty_notes")) | ((F.col("entity") == "Course") & (F.col("field") == "assumed_background"))
     rows = assumptions.where(matter & ~F.endswith("id", F.lit(".*")) & ~F.coalesce(F.col("confidence") == "high", F.lit(False)))
     by = rows.groupBy("entity", "id", "field").agg(F.min_by("confidence", "ordinal").alias("confidence"), F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "reason"))), lambda x: x["reason"])), "; ").alias("reasons"))
     rank = F.when(F.col("confidence") == "low", 0).when(F.col("confidence") == "medium", 1).otherwise(2)
-    return by.withColumn("place", F.row_number().over(Window.orderBy(rank, "id", "field")))
+    return placed(by.withColumn("_rank", rank), ["_rank", "id", "field"], "place").drop("_rank")
 
 
 def span_findings(blocks: DataFrame, pages: DataFrame) -> DataFrame:

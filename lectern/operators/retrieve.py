@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import fixed, text
+from ..staging import staged
 
 #: A block of queries; records are cut into RECORD_BLOCKS, or more so that a block has RECORD_BLOCK at most on average.
 QUERY_BLOCK, RECORD_BLOCKS, RECORD_BLOCK = 2048, 16, 32768
@@ -156,6 +157,26 @@ def eligible(passages: DataFrame, flagged: DataFrame, languages: list[str]) -> D
     return passages.where(F.col("lang").isin(languages)).join(flagged, "passage_id", "left_anti")
 
 
+def widened(queries: DataFrame, passages: DataFrame, tiers: list[Column], k: int, search) -> DataFrame:
+    """(query_id, passage_id, score, tier, rank): the first k passages of each query, narrow scopes before wide ones.
+
+    `tiers` are conditions on passages, each wider than the one before; `search(queries, passages, k)` ranks. A tier is searched only for the queries that are still
+    short of k, and each round's result is written down; once no query is short, the wider scopes are not read at all.
+    """
+    found, short = None, queries
+    for tier, scope in enumerate(tiers):
+        got = search(short, passages.where(scope), k).select("query_id", "passage_id", "score").withColumn("tier", F.lit(tier))
+        if found is not None:
+            got = got.join(found.select("query_id", "passage_id"), ["query_id", "passage_id"], "left_anti")
+        got = staged(got, "tier")
+        found = got if found is None else found.unionByName(got)
+        full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+        short = short.join(full.select("query_id"), "query_id", "left_anti")
+        if tier + 1 < len(tiers) and not short.limit(1).count():
+            break
+    return top(found, ["query_id"], [F.col("tier"), F.desc("score"), F.col("passage_id")], k)
+
+
 def soft_file_limit(ranked: DataFrame, k: int, most: int = fixed.PER_FILE, factor: float = fixed.FILE_FACTOR) -> DataFrame:
     """Scores beyond a file's first `most` passages fall by `factor` each; ranked anew."""
     nth = F.row_number().over(Window.partitionBy("query_id", "file").orderBy(F.desc("score"), "passage_id"))

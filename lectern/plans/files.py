@@ -157,3 +157,11 @@ def k07_schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     golden = "doc_id bigint, lang int, source string, n_chars bigint, gone string"
     return spark.createDataFrame([(f,) for f in sinks.schema_drift(d, golden)], "field string")
+
+
+@query("""SELECT k AS field, CASE json_type(props, '$."' || k || '"') WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind, count(*) AS n
+FROM (SELECT props, unnest(json_keys(props)) AS k FROM clicks WHERE json_valid(props) AND json_type(props) = 'OBJECT') GROUP BY ALL
+UNION ALL SELECT NULL, 'broken', count(*) FROM clicks WHERE props IS NOT NULL AND NOT (json_valid(props) AND coalesce(json_type(CASE WHEN json_valid(props) THEN props END) = 'OBJECT', false)) HAVING count(*) > 0""")
+def k07_observed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schema that the properties of clicks show: every member with its types and counts, and the texts that are no objects."""
+    return sinks.json_fields(table(spark, sf_dir, "clicks"), "props")

@@ -213,3 +213,12 @@ def w13_soft_file_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def w02_top_k_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return retrieve.top(o, ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 3).select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("custkey"), "rank")
+
+
+@query(f"""WITH {_PAIRS}, s AS (SELECT query_id, passage_id, round(overlap / sqrt(greatest(1, n_terms)), 4) AS score, CASE WHEN lang = 'en' AND n_chars < 400 THEN 0 WHEN lang = 'en' THEN 1 ELSE 2 END AS tier FROM pairs)
+SELECT query_id, passage_id, score, tier, row_number() OVER (PARTITION BY query_id ORDER BY tier, score DESC, passage_id) AS rank FROM s QUALIFY rank <= 8""")
+def z21_widened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short English passages first; what is missing comes from all English ones, then from every language."""
+    english = F.col("lang") == "en"
+    found = retrieve.widened(items(spark, sf_dir), passages(spark, sf_dir, "lang", "n_chars"), [english & (F.col("n_chars") < 400), english, F.lit(True)], 8, retrieve.lexical)
+    return found.select("query_id", "passage_id", "score", "tier", "rank")

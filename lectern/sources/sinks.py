@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .readers import safe_name
@@ -23,21 +27,35 @@ def append_events(events: DataFrame, root: str) -> None:
     events.withColumn("day", F.date_format("created_at", "yyyy-MM-dd")).write.mode("append").partitionBy("day", "session_id").json(root)
 
 
+@contextmanager
+def claimed(spark: SparkSession, path: str) -> Iterator[None]:
+    """Holds a store for one writer: a file that only one can create. A writer that dies leaves it behind, and a person has to remove it."""
+    claim = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_writing")
+    fs = claim.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.createNewFile(claim):
+        raise ValueError(f"{path} is being written")
+    try:
+        yield
+    finally:
+        fs.delete(claim, False)
+
+
 def write_once(rows: DataFrame, path: str, key: str = "record_id") -> int:
-    """Appends records whose key the store does not hold; fails if it holds one of them."""
+    """Appends records whose key the store does not hold; fails if it holds one of them, or if another writer has claimed the store."""
     spark = rows.sparkSession
     doubled = rows.groupBy(key).count().where("count > 1")
-    try:
-        there = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        there = rows.limit(0)
-    clash = rows.join(there.select(key), key, "left_semi").select(key).union(doubled.select(key)).limit(1).collect()
-    if clash:
-        raise ValueError(f"{key} {clash[0][0]} is stored already")
-    rows.write.mode("append").parquet(path)
-    return spark.read.parquet(path).join(rows.select(key), key, "left_semi").count()
+    with claimed(spark, path):
+        try:
+            there = spark.read.parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            there = rows.limit(0)
+        clash = rows.join(there.select(key), key, "left_semi").select(key).union(doubled.select(key)).limit(1).collect()
+        if clash:
+            raise ValueError(f"{key} {clash[0][0]} is stored already")
+        rows.write.mode("append").parquet(path)
+        return spark.read.parquet(path).join(rows.select(key), key, "left_semi").count()
 
 
 def artifacts(files: DataFrame) -> DataFrame:
@@ -57,3 +75,17 @@ def schema_drift(df: DataFrame, golden: str) -> list[str]:
     now = {f.name: f.dataType.simpleString() for f in df.schema}
     then = {f.name: f.dataType.simpleString() for f in df.sparkSession.createDataFrame([], golden).schema}
     return sorted(k for k in now.keys() | then.keys() if now.get(k) != then.get(k))
+
+
+def json_fields(texts: DataFrame, column: str) -> DataFrame:
+    """(field, kind, n): the members of JSON objects and how often each has which type; a text that is no JSON object is the field null, kind broken."""
+    parsed = F.try_parse_json(F.col(column))
+    members = F.map_entries(F.try_variant_get(parsed, "$", "map<string,variant>"))
+    one = texts.where(F.col(column).isNotNull()).select(F.explode_outer(members).alias("m"), (parsed.isNull() | ~F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT"))).alias("broken"))
+    kind = F.schema_of_variant(F.col("m.value"))
+    names = (("OBJECT", "object"), ("ARRAY", "array"), ("STRING", "string"), ("BOOLEAN", "boolean"), ("VOID", "null"))
+    said = F.lit("number")
+    for prefix, name in names:
+        said = F.when(F.startswith(kind, F.lit(prefix)), name).otherwise(said)
+    rows = one.where("broken OR m IS NOT NULL").select(F.when(~F.col("broken"), F.col("m.key")).alias("field"), F.when(F.col("broken"), "broken").otherwise(said).alias("kind"))
+    return rows.groupBy("field", "kind").agg(F.count(F.lit(1)).alias("n"))
