@@ -32,8 +32,8 @@ def normalised(text: Column) -> Column:
 
 
 def judged(kind: str, target: str, said: str | None) -> tuple[str, str | None, bool]:
-    """(status, method or reason, missing_constant) of one answer."""
-    if kind not in ("derivative", "antiderivative", "value") or not target:
+    """(status, method or reason, missing_constant) of one answer; the kind `expression` compares with the target as it stands."""
+    if kind not in ("derivative", "antiderivative", "value", "expression") or not target:
         return "unknown", "no_answer_check", False
     if not said:
         return "absent", None, False
@@ -49,9 +49,9 @@ def judged(kind: str, target: str, said: str | None) -> tuple[str, str | None, b
     elif kind == "antiderivative":
         missing = not algebra.uses(answer, ("const", "C"))
         answer = algebra.slope(answer)
-    elif algebra.uses(answer, ("var",)):
+    elif kind == "value" and algebra.uses(answer, ("var",)):
         return "incorrect", "numeric_rejection", False
-    else:
+    elif kind == "value":
         mine, goal = algebra.constant(answer), algebra.constant(wanted)
         if mine is None or mine != mine or goal is None:
             return "unknown", "parse_failed", False
@@ -82,3 +82,17 @@ def checked(answers: DataFrame) -> DataFrame:
     known = each.mapInArrow(_batches, _SCHEMA)
     known = known.select(*[F.col(c).alias(f"_{c}") for c in ("kind", "target", "said")], "status", "reason", "missing_constant")
     return asked.join(known, ["_kind", "_target", "_said"]).drop("_kind", "_target", "_said")
+
+
+def leaks(replies: DataFrame, withheld: DataFrame, written: DataFrame) -> DataFrame:
+    """(reply_id, check): what replies (reply_id, reply) give away of withheld (reply_id, check, kind, target).
+
+    Every part between dollars that is one expression and doesn't set the variable is checked, of equations their right side. It leaks if it is right, or might be
+    (an equality that is neither proved nor rejected), unless the student wrote an equal expression before: written (reply_id, said).
+    """
+    parts = F.regexp_extract_all("reply", F.lit(r"\$([^$]+)\$"), F.lit(1))
+    segments = replies.select("reply_id", F.explode(F.array_distinct(parts)).alias("answer")).where(~F.col("answer").rlike(r"^\s*x\s*=|[\[\],;]"))
+    given = checked(segments.join(withheld, "reply_id"))
+    given = given.where((F.col("status") == "correct") | F.coalesce(F.col("reason") == "equivalence_unproven", F.lit(False)))
+    own = checked(segments.join(written.select("reply_id", F.col("said").alias("target")), "reply_id").withColumn("kind", F.lit("expression"))).where("status = 'correct'")
+    return given.join(own.select("reply_id", "answer"), ["reply_id", "answer"], "left_anti").select("reply_id", "check").distinct()

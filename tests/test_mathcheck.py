@@ -65,3 +65,11 @@ def test_slopes_against_differences():
         tree = algebra.read(f"{name}(x^2/2)+x^x")
         near = (algebra.values(tree, at + h) - algebra.values(tree, at - h)) / (2 * h)
         assert np.allclose(algebra.values(algebra.slope(tree), at), near, rtol=1e-4), name
+
+
+def test_leaks(spark):
+    replies = [(1, "so $y = 2 x$ it is"), (2, "try $x = 2$ and $[-2, 2]$"), (3, "you had $x + x$ yourself"), (4, "maybe $\\sqrt{1 + \\sin(2x)}$"), (5, "no math"), (6, "$3x$ or $x^2$"), (7, None)]
+    withheld = [(i, "final_answer", "derivative", "x^2") for i in (1, 2, 3, 5, 6, 7)] + [(4, "key_expression", "expression", "|sin x + cos x|"), (6, "key_expression", "expression", "x*x")]
+    written = [(3, "2x"), (1, "x"), (6, None)]
+    got = mathcheck.leaks(spark.createDataFrame(replies, "reply_id int, reply string"), spark.createDataFrame(withheld, "reply_id int, check string, kind string, target string"), spark.createDataFrame(written, "reply_id int, said string"))
+    assert sorted(map(tuple, got.collect())) == [(1, "final_answer"), (4, "key_expression"), (6, "key_expression")]
