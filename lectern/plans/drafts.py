@@ -64,9 +64,65 @@ def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contexts(spark, sf_dir).select("turn_id", first.alias("concept_id"), F.when(k % 3 != 0, F.array(k % 150, k * 3 % 150, F.lit(8_000_000).cast("bigint"), (k + 9) % 150, (k + 20) % 150)).alias("related_ids"), F.when(k % 4 != 0, F.concat(F.lit("the   query of "), F.col("text"))).alias("query"), F.slice(needs, 1, F.when(k % 11 == 0, 0).otherwise(9)).alias("needs"))
 
 
-@query()
+_TYPES = "[" + quoted((*fixed.NEED_TYPES, "odd")) + "]"
+
+
+def _finalized_sql() -> str:
+    """Finalised plans without folds: what a list's earlier elements leave to a later one is said by positions. Each layer adds columns to the ones before."""
+    said = lambda *cases: "list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{m}' END" for t, m in cases) + "], lambda x: x IS NOT NULL)"
+    plain = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+    types = quoted(fixed.NEED_TYPES)
+    need = f"""{{'need_type': {_TYPES}[(k + i) % 10 + 1], 'description': CASE WHEN (k + i) % 6 = 0 THEN ' ' WHEN (k + i) % 13 = 1 THEN repeat('long words ', 30) ELSE 'what  about ' || (k + i) % 3 END,
+      'anchor': CASE WHEN i % 2 = 0 THEN ' anchor ' END, 'concept_id': CASE WHEN (k + i) % 4 = 0 THEN k % 150 WHEN (k + i) % 4 = 1 THEN 5000000 END}}"""
+    layers = [
+        # what was proposed
+        f"""CASE k % 5 WHEN 0 THEN -1 WHEN 1 THEN 9000000 WHEN 4 THEN NULL ELSE k * 3 % 150 END AS one, CASE WHEN k % 3 <> 0 THEN [k % 150, k * 3 % 150, 8000000, (k + 9) % 150, (k + 20) % 150] ELSE [] END AS rel,
+        {plain("CASE WHEN k % 4 <> 0 THEN 'the   query of ' || text ELSE '' END")} AS asked, CASE WHEN k % 11 = 0 THEN [] ELSE list_transform(range(1, k % 7 + 2), lambda i: {need}) END AS proposed,
+        coalesce(dr0, []) AS dr, {plain("CASE WHEN topic <> '' AND intent <> '' THEN topic || ': ' || intent WHEN topic <> '' THEN topic WHEN intent <> '' THEN intent ELSE prompt END")}[1:{fixed.MAX_MAIN_CHARS}] AS main0,
+        CASE WHEN len(names) > 0 THEN list_transform(need_types[1:{fixed.DRAFT_NEEDS}], lambda t: {{'t': t, 'q': ({_TEMPLATES} || array_to_string(names, ' and '))[1:{fixed.MAX_NEED_CHARS}], 'a': CASE WHEN t IN ('definition', 'theorem_statement') AND len(names) = 1 THEN names[1] END, 'c': top}}) ELSE [] END AS needs0""",
+        "list_filter(dr, lambda x: x.source = 'question_schema') AS qs, coalesce(one = -1, false) AS away, coalesce(list_contains(kn, one), false) AS isk",
+        "one IS NOT NULL AND NOT away AS chosen, list_contains(list_transform(qs, lambda x: x.concept_id), one) AS inqs",
+        "chosen AND isk AND NOT coalesce(inqs, false) AS added",
+        f"""CASE WHEN added THEN list_append(qs, {{'concept_id': one, 'source': 'model', 'role': CASE WHEN len(qs) > 0 THEN 'related' ELSE 'primary' END}}) ELSE qs END AS c1,
+        {said(("chosen AND NOT isk", "concept_id unknown_concept_dropped"), ("added AND len(qs) > 0", "concept_id question_schema_kept_primary"))} AS r1""",
+        f"""list_filter(rel, lambda x, i: coalesce(list_contains(kn, x), false) AND NOT list_contains(list_transform(c1, lambda y: y.concept_id), x) AND list_position(rel, x) = i) AS fresh,
+        ({fixed.MAX_RELATED} - len(list_filter(c1, lambda x: x.role = 'related')))::INT AS room""",
+        "len(fresh) > room AS cut, CASE WHEN len(fresh) > room THEN list_position(rel, fresh[room + 1]) ELSE len(rel) + 1 END AS stop",
+        f"""list_concat(c1, list_transform(fresh[1:room], lambda x: {{'concept_id': x, 'source': 'model', 'role': 'related'}})) AS c,
+        list_concat(r1, list_transform(list_filter(rel, lambda x, i: i < stop AND NOT coalesce(list_contains(kn, x), false)), lambda x: 'related_concept_ids unknown_concept_dropped'), {said(("cut", "related_concept_ids truncated"))}) AS r2,
+        away AND len(qs) > 0 AS ignored""",
+        "away AND NOT ignored AS outside",
+        "NOT outside AND len(list_filter(c, lambda x: x.role = 'primary')) = 0 AS lacking",
+        "lacking AND len(dr) > 0 AS drafted, lacking AND len(dr) = 0 AND len(c) > 0 AS raised",
+        """CASE WHEN drafted THEN list_concat(dr, list_filter(c, lambda x: NOT list_contains(list_transform(dr, lambda y: y.concept_id), x.concept_id)))
+        WHEN raised THEN list_transform(c, lambda x, i: {'concept_id': x.concept_id, 'source': x.source, 'role': CASE WHEN i = 1 THEN 'primary' ELSE x.role END}) ELSE c END AS c2""",
+        f"""c2[1:{fixed.MAX_CONCEPTS}] AS c3, list_concat(r2, {said(("ignored", "concept_id not_in_course_ignored"), ("drafted AND one IS NOT NULL", "concept_id concepts_from_draft"), ("raised", "related_concept_ids first_related_promoted_to_primary"),
+        (f"len(c2) > {fixed.MAX_CONCEPTS}", "concepts truncated"), ("length(asked) < 3", "query main_query_from_draft"), (f"length(asked) > {fixed.MAX_MAIN_CHARS}", "query truncated"))}) AS r3""",
+        f"""list_transform(c3, lambda x: x.concept_id) AS ids, list_transform(list_filter(c3, lambda x: x.role = 'primary'), lambda x: x.concept_id) AS prim,
+        list_transform(proposed, lambda n: {{'t': n.need_type, 'w': {plain('n.description')}, 'a': n.anchor, 'c': n.concept_id, 'bad': n.need_type NOT IN ({types})}}) AS n1""",
+        f"list_transform(n1, lambda n: CASE WHEN n.bad OR length(n.w) < 3 THEN NULL ELSE lower(n.w[1:{fixed.MAX_NEED_CHARS}]) END) AS keys",
+        "list_filter(range(1, len(n1) + 1), lambda i: keys[i] IS NOT NULL AND list_position(keys, keys[i]) = i) AS good",
+        f"""list_transform(good, lambda i: {{'t': n1[i].t, 'q': n1[i].w[1:{fixed.MAX_NEED_CHARS}], 'a': CASE WHEN trim(coalesce(n1[i].a, '')) <> '' THEN trim(n1[i].a)[1:80] END,
+        'c': CASE WHEN n1[i].c IS NOT NULL AND list_contains(ids, n1[i].c) THEN n1[i].c WHEN len(prim) = 1 THEN prim[1] END}}) AS n2,
+        flatten(list_transform(range(1, len(n1) + 1), lambda i: list_transform(list_filter([CASE WHEN n1[i].bad THEN 'invalid_need_dropped' WHEN length(n1[i].w) < 3 THEN 'empty_need_dropped' END,
+        CASE WHEN keys[i] IS NOT NULL AND length(n1[i].w) > {fixed.MAX_NEED_CHARS} THEN 'truncated' END, CASE WHEN keys[i] IS NOT NULL AND list_position(keys, keys[i]) < i THEN 'duplicate_dropped' END,
+        CASE WHEN list_contains(good, i) AND n1[i].c IS NOT NULL AND NOT list_contains(ids, n1[i].c) THEN 'not_a_plan_concept_dropped' END], lambda x: x IS NOT NULL), lambda x: 'evidence_needs[' || (i - 1) || '] ' || x))) AS r4""",
+        "CASE WHEN len(n2) = 0 THEN needs0 ELSE n2 END AS every",
+    ]
+    turn = f"SELECT d.*, dr0, coalesce(kn0, []) AS kn FROM d LEFT JOIN gl USING (turn_id) LEFT JOIN kns USING (turn_id)"
+    for layer in layers:
+        turn = f"SELECT *, {layer} FROM ({turn})"
+    repairs = f"list_concat(r3, r4, {said(('len(n2) = 0', 'evidence_needs needs_from_draft'), (f'len(every) > {fixed.MAX_NEEDS}', 'evidence_needs truncated'))})"
+    return f"""WITH {_DRAFT}, gl AS (SELECT turn_id, list({{'concept_id': concept_id, 'source': source, 'role': role}} ORDER BY ix) AS dr0 FROM c GROUP BY 1),
+said AS (SELECT turn_id, unnest([k * 3 % 150, k % 150, (k + 9) % 150, (k + 20) % 150]) AS x FROM ctx), kns AS (SELECT turn_id, list(DISTINCT x) AS kn0 FROM said JOIN part ON p_partkey = x GROUP BY 1)
+SELECT turn_id, CASE WHEN outside THEN 'not_in_course' WHEN len(prim) > 0 THEN 'found' ELSE 'none_found' END AS status, CASE WHEN length(asked) < 3 THEN main0 ELSE asked[1:{fixed.MAX_MAIN_CHARS}] END AS main_query,
+coalesce(array_to_string(list_transform(c3, lambda x: x.concept_id || ':' || x.source || ':' || x.role), ' '), '') AS concepts,
+coalesce(array_to_string(list_transform(every[1:{fixed.MAX_NEEDS}], lambda n: n.t || '|' || n.q || '|' || coalesce(n.a, '') || '|' || coalesce(n.c::VARCHAR, '')), '; '), '') AS needs, coalesce(array_to_string({repairs}, '; '), '') AS repairs FROM ({turn})"""
+
+
+@query(_finalized_sql())
 def p08_plan_finalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No SQL: repairs are folds over lists; tests compare it with a plain version."""
+    """Proposals of a model over their drafts, repaired."""
     concepts = catalog(spark, sf_dir)
     f = plan.finalized(proposals(spark, sf_dir), plan.drafted(contexts(spark, sf_dir), concepts), concepts)
     shown = F.array_join(F.transform("concepts", lambda c: F.concat_ws(":", c["concept_id"].cast("string"), c["source"], c["role"])), " ")
@@ -74,7 +130,6 @@ def p08_plan_finalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("turn_id", F.col("concept_status").alias("status"), "main_query", shown.alias("concepts"), needs.alias("needs"), F.array_join("repairs", "; ").alias("repairs"))
 
 
-_TYPES = "[" + quoted((*fixed.NEED_TYPES, "odd")) + "]"
 _PLANS = f"""{_CTX}, p AS (SELECT turn_id, k, ['found', 'none_found', 'not_in_course', 'odd'][k % 4 + 1] AS status, repeat('ab ', (k % 130)::INT) AS main_query, ['draft', 'model', 'human'][k % 3 + 1] AS origin, ['not_enforced', 'module', 'section', 'page'][k % 4 + 1] AS narrowing,
  list_transform(range(0, k % 5), lambda i: {{'concept_id': i, 'source': ['question_schema', 'linked', 'model', 'other'][(k + i) % 4 + 1], 'role': ['primary', 'related', 'none'][(k + 2 * i) % 3 + 1]}}) AS concepts,
  list_transform(range(1, k % 6 + 1), lambda i: {{'need_id': 'n' || (i + (k % 7 = 0)::INT), 'need_type': {_TYPES}[(k + i) % 10 + 1], 'query': repeat('q', ((k * i) % 240)::INT), 'concept_id': CASE WHEN k % 4 = 0 THEN 3 WHEN k % 4 = 1 THEN 0 END}}) AS needs FROM ctx)"""
