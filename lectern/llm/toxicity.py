@@ -10,7 +10,7 @@ among the confirmed texts the unlabelled ones don't explain at the 5 % level aft
 scale and shift of the score are then fitted under the same risk without weight decay. Every whole text is scored where it lies.
 
 Nulls and edge cases: null and empty texts have no features and get the bias' score; without confirmed toxic
-texts every score is 0; repeated rows are scored each; labels that are null or contradict each other count as they stand; other
+texts every score is 0; repeated rows are scored each; null labels are no labels, and a row labelled both ways is toxic; other
 columns are ignored.
 """
 
