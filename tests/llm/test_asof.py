@@ -78,7 +78,7 @@ def test_one_client_and_neighbouring_microseconds(spark):
     base = 1_704_067_200_000_000 - 3
     sales = [(i, 1, 1.0, base + i % 12, i % 3) for i in range(0, 60)]
     clicks = [(i, 1, base + i % 15) for i in range(80)] + [(1000 + i, 1, base + 240 * HOUR + i) for i in range(0, 16)]
-    out = asof.matched(*frames(spark, clicks, sales), dense=3, radix=2)
+    out = asof.matched(*frames(spark, clicks, sales), dense=3, radix=64)
     assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, plain(clicks, sales, 240 * HOUR)))
 
 
