@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import fixed
 from ..staging import staged
-from .retrieve import _nearest, top
+from .retrieve import _matrix, _nearest, top
 
 #: Records that centroids are fitted on, at most; cells, at most; records of a block; queries of a block.
 SAMPLE, CELLS, BLOCK, ASKED = 16_384, 1_024, 16_384, 1_024
@@ -28,12 +28,11 @@ _ROOM = 2e-9
 
 
 def _vectors(col: pa.Array | pa.ChunkedArray, d: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a list column in double precision, and which of them are whole vectors of d numbers; the others are zeros."""
-    out, ok = np.zeros((len(col), d)), np.zeros(len(col), bool)
-    for i, v in enumerate(col.to_pylist()):
-        if v is not None and len(v) == d and None not in v and np.isfinite(v).all():
-            out[i], ok[i] = v, True
-    return out, ok
+    """Rows of a list column in double precision, and which of them are whole vectors of d finite numbers; the others are zeros."""
+    x, ok = _matrix(col if isinstance(col, pa.ChunkedArray) else pa.chunked_array([col]), d)
+    ok &= np.isfinite(x).all(1) & (d > 0)
+    x[~ok] = 0.0
+    return x, ok
 
 
 def fitted(records: DataFrame, steps: int = 8, sample: int = SAMPLE, cells: int = CELLS) -> np.ndarray:
