@@ -151,7 +151,7 @@ def quality_metrics(turns: DataFrame) -> DataFrame:
 def broken_invariants(evidence: DataFrame, submissions: DataFrame, ambiguities: DataFrame) -> DataFrame:
     """(invariant, record): evidence of no submission, meaning changed without confirmation, learning labels in evidence, content that came of a failed recognition."""
     linked = evidence.join(submissions.select("submission_id"), "submission_id", "left_anti").select(F.lit("unlinked_evidence").alias("invariant"), F.col("evidence_id").alias("record"))
-    silent = ambiguities.where("meaning_changed AND NOT confirmed").join(evidence.where("validation_status = 'valid'"), "evidence_id").select(F.lit("unconfirmed_meaning").alias("invariant"), F.col("evidence_id").alias("record")).distinct()
+    silent = ambiguities.where("meaning_changed AND NOT confirmed").join(evidence.where("validation_status = 'valid'"), "evidence_id", "left_semi").select(F.lit("unconfirmed_meaning").alias("invariant"), F.col("evidence_id").alias("record")).distinct()
     labelled = evidence.where("mastery IS NOT NULL").select(F.lit("learning_label").alias("invariant"), F.col("evidence_id").alias("record"))
     invented = evidence.where("recognition_status = 'failed' AND content IS NOT NULL").select(F.lit("fabricated_content").alias("invariant"), F.col("evidence_id").alias("record"))
     return linked.unionByName(silent).unionByName(labelled).unionByName(invented)

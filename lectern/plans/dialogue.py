@@ -146,10 +146,13 @@ def z18_quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT DISTINCT * FROM (SELECT 'unlinked_evidence' AS invariant, id AS record FROM e WHERE sub NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'unconfirmed_meaning', id FROM e WHERE p % 7 = 0 AND p % 2 = 1 AND p % 3 <> 0 UNION ALL SELECT 'learning_label', id FROM e WHERE p % 29 = 0 UNION ALL SELECT 'fabricated_content', id FROM e WHERE p % 10 = 3 AND p % 4 <> 0)""")
 def z19_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("l_partkey")
-    l = table(spark, sf_dir, "lineitem").withColumn("evidence_id", (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + p)  # noqa: E741
+    # the record's number isn't unique once part keys pass 100,000, so evidence and ambiguities meet by what it is made of
+    l = table(spark, sf_dir, "lineitem").withColumn("evidence_id", F.struct("l_orderkey", "l_linenumber", "l_partkey"))  # noqa: E741
     evidence = l.select("evidence_id", (F.col("l_orderkey") + F.when(p % 23 == 0, 100000000).otherwise(0)).alias("submission_id"), F.when(p % 3 == 0, "partial").otherwise("valid").alias("validation_status"), F.when(p % 29 == 0, 0.5).alias("mastery"), F.when(p % 10 == 3, "failed").otherwise("complete").alias("recognition_status"), F.when(p % 4 != 0, "text").alias("content"))
     ambiguities = l.select("evidence_id", (p % 7 == 0).alias("meaning_changed"), (p % 2 == 0).alias("confirmed"))
-    return dialogue.broken_invariants(evidence, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("submission_id")), ambiguities).distinct()
+    found = dialogue.broken_invariants(evidence, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("submission_id")), ambiguities)
+    number = (F.col("record.l_orderkey") * 10 + F.col("record.l_linenumber")) * 100000 + F.col("record.l_partkey")
+    return found.select("invariant", number.alias("record")).distinct()
 
 
 @query("""SELECT event_id AS turn_id, CASE WHEN event_id % 11 = 0 THEN 'evidence' WHEN event_id % 7 = 0 THEN 'tutoring_engine' WHEN event_id % 5 = 0 THEN 'delivery' WHEN event_id % 3 = 0 THEN 'delivery_recording' END AS failed_stage, CASE WHEN event_id % 11 = 0 THEN 'not_ready' WHEN event_id % 7 = 0 THEN 'engine_handoff_failed' WHEN event_id % 5 = 0 THEN 'delivery_handoff_failed' WHEN event_id % 3 = 0 THEN 'delivery_result_handoff_failed' END AS error_code,
