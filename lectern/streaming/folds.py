@@ -38,10 +38,15 @@ def running_state(events: DataFrame) -> DataFrame:
 
 
 def commits(actions: DataFrame, deliveries: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Stream-stream join: actions (action_id, ts) that a delivery within the hour presented."""
-    a = actions.withWatermark("ts", late)
-    d = deliveries.withWatermark("delivered_ts", late)
-    return a.join(d, F.expr("action_id = delivered_id AND delivered_ts BETWEEN ts AND ts + INTERVAL 1 HOUR"))
+    """Stream-stream join: actions (action_id, ts) that a delivery within the hour presented.
+
+    State is kept by id and hour: a delivery looks for actions of its own hour and of the one before, not among all of its id.
+    """
+    hour = lambda ts: F.floor(F.unix_micros(ts) / 3_600_000_000)
+    a = actions.withWatermark("ts", late).withColumn("_hour", hour("ts"))
+    d = deliveries.withWatermark("delivered_ts", late).withColumn("_near", F.explode(F.array(hour("delivered_ts"), hour("delivered_ts") - 1)))
+    met = a.join(d, F.expr("action_id = delivered_id AND _hour = _near AND delivered_ts BETWEEN ts AND ts + INTERVAL 1 HOUR"))
+    return met.drop("_hour", "_near")
 
 
 def first_of_key(events: DataFrame, key: str, late: str = "2 hours") -> DataFrame:
