@@ -78,7 +78,8 @@ def paths(nodes: DataFrame) -> DataFrame:
     done, left, before = now.where("up IS NULL"), staged(now.where("up IS NOT NULL"), "paths"), -1
     above = now
     while (n := left.count()) and n != before:
-        own = above.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
+        # paths repeat their titles and lie packed on disk: a join that goes by the size of the files would broadcast what is many times as large
+        own = above.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path")).hint("merge")
         step = staged(left.join(own, "up").select("id", F.col("_up").alias("up"), F.concat("_path", F.lit(" > "), "path").alias("path")), "paths")
         done = done.unionByName(step.where("up IS NULL"))
         left, above, before = step.where("up IS NOT NULL"), step.where("up IS NOT NULL").unionByName(done), n
