@@ -23,6 +23,8 @@ from ..functions import text
 PAGES = "document_id string, filename string, content_version string, page_number int, body string, status string, reason string"
 TEXT_SUFFIXES = ("", "txt", "md", "tex")
 PREVIEW_PAGES, PREVIEW_PARAGRAPHS, PREVIEW_LINES = 5, 80, 120
+#: Folders of a day's events.
+SHELVES = 8
 
 
 def docx_paragraphs(data: bytes) -> list[str]:
@@ -107,10 +109,17 @@ def questions(spark: SparkSession, path: str, concepts: DataFrame, schema: str)
     return read.join(concepts.select("concept_id", F.col("name").alias("_name")), "concept_id", "left").withColumn("concept_name", F.coalesce("_name", F.col("concept_id").cast("string"))).drop("_name")
 
 
+def shelf(session_id: Column) -> Column:
+    """The folder inside a day's folder that holds a session's events."""
+    return F.pmod(F.hash(session_id.cast("string")), F.lit(SHELVES))
+
+
 def traces(spark: SparkSession, root: str, schema: str, session_id: str | None = None) -> DataFrame:
-    """Trace events below root/day=.../session_id=...; broken files are skipped, folders pruned."""
-    out = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("basePath", root).json(root)
-    return out if session_id is None else out.where(F.col("session_id") == session_id)
+    """Trace events below root/day=.../shelf=...; broken files are skipped, folders pruned."""
+    out = spark.read.schema(f"{schema}, shelf int").option("mode", "DROPMALFORMED").option("basePath", root).json(root)
+    if session_id is not None:
+        out = out.where((F.col("shelf") == shelf(F.lit(session_id))) & (F.col("session_id") == session_id))
+    return out.drop("shelf")
 
 
 def replayed(queries: DataFrame, reports: DataFrame) -> DataFrame:
