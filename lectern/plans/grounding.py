@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..operators import ground, retrieve
+from ..staging import staged
 from .base import query, quoted, table
 from .retrieval import _lexical_sql, items, passages
 from .texts import evidence_sql
@@ -144,10 +145,17 @@ def e02_e04_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""WITH n AS (SELECT doc_id, trim(regexp_replace(text, '[\s\p{Z}\x{85}\x{0B}]+', ' ', 'g')) AS b FROM documents), g AS (SELECT item_id, trim(regexp_replace(text, '[\s\p{Z}\x{85}\x{0B}]+', ' ', 'g')) AS a, string_split(a, ' ')[1:5] AS f FROM benchmark)
 SELECT item_id, count(doc_id) AS n_documents, min(doc_id) AS first_document FROM g LEFT JOIN n ON contains(b, a) GROUP BY item_id""")
 def j09_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items meet the documents that hold their first five words; containment is then tested on these."""
-    first = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(x) - 4)), lambda i: F.array_join(F.slice(x, i, 5), " "))
+    """Items meet the documents that hold their words 2 to 5, which stand whole in any text that contains an item of six words; containment is then tested on these.
+    Shorter items are looked for in every document."""
+    words = lambda x: F.split(x, " ")
     docs = table(spark, sf_dir, "documents").select("doc_id", text.collapsed(F.col("text")).alias("body"))
-    runs = docs.select("doc_id", F.explode(F.array_distinct(first(F.split("body", " ")))).alias("run"))
-    gold = table(spark, sf_dir, "benchmark").select("item_id", text.collapsed(F.col("text")).alias("anchor")).withColumn("run", F.array_join(F.slice(F.split("anchor", " "), 1, 5), " "))
-    hits = runs.join(gold, "run").select("item_id", "anchor", "doc_id").distinct().join(docs, "doc_id").where(F.contains("body", F.col("anchor"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.min("doc_id").alias("first_document"))
+    # the words are bound once: as an expression they would be cut anew for each place
+    runs_of = F.transform(F.array(words("body")), lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(x) - 3)), lambda i: F.array_join(F.slice(x, i, 4), " ")))
+    gold = table(spark, sf_dir, "benchmark").select("item_id", text.collapsed(F.col("text")).alias("anchor"))
+    long = F.size(words("anchor")) >= 6
+    asked = staged(gold.where(long).withColumn("run", F.array_join(F.slice(words("anchor"), 2, 4), " ")), "asked")
+    met = staged(docs.select("doc_id", F.explode(runs_of[0]).alias("run")).join(asked, "run").select("item_id", "anchor", "doc_id").distinct(), "met")
+    far = met.join(docs, "doc_id").where(F.contains("body", F.col("anchor"))).select("item_id", "doc_id")
+    near = docs.join(gold.where(~long), F.contains("body", F.col("anchor"))).select("item_id", "doc_id")
+    hits = far.unionByName(near).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.min("doc_id").alias("first_document"))
     return gold.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n_documents", F.lit(0)).cast("long").alias("n_documents"), "first_document")
