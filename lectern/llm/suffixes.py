@@ -146,6 +146,7 @@ def _ranges(key: np.ndarray) -> list[tuple[int, int]]:
 
 #: part: where the row is dealt; kind: 0 places, 1 places of a dealt-out group, 2 spans already found.
 _PLACES = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("gram", pa.binary()), ("name", pa.binary()), ("doc", pa.binary()), ("pos", pa.binary()), ("near", pa.binary())])
+_HOME = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("doc", pa.binary()), ("what", pa.binary())])
 _FOUND = pa.schema([("doc_id", pa.int64()), ("gone", pa.binary()), ("asks", pa.binary())])
 _ASK = np.dtype([("pos", "<u4"), ("before", "u1"), ("after", "u1"), ("hot", "u1"), ("gram", "<u8")])
 _SPANS = np.dtype([("start", "<u4"), ("end", "<u4")])
@@ -223,6 +224,28 @@ def _by_document(doc: np.ndarray, spans: np.ndarray, asked: np.ndarray, asks: np
     return _batch([(d, *v) for d, v in rows.items()], _FOUND)
 
 
+def _sent_home(parts: int, doc: np.ndarray, spans: np.ndarray, asked: np.ndarray, asks: np.ndarray) -> pa.RecordBatch:
+    """Spans (kind 0) and asks (kind 1) in rows of many, dealt by document: a part of places gives `parts` rows of each at most, however many documents it has."""
+    home = lambda d: (mix64(d.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    return _batch(_dealt(home(doc), 0, doc, spans) + _dealt(home(asked), 1, asked, asks), _HOME)
+
+
+def at_home(dealt: DataFrame, parts: int) -> DataFrame:
+    """(doc_id, gone, asks): a row for each document of what was dealt by document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[list[bytes]]] = {0: [[], []], 1: [[], []]}
+        for batch in batches:
+            for _, kind, doc, what in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                held[kind][0].append(doc)
+                held[kind][1].append(what)
+        if held[0][0] or held[1][0]:
+            read = lambda kind, i, t: np.frombuffer(b"".join(held[kind][i]), t)
+            yield _by_document(read(0, 0, "<i8"), read(0, 1, _SPANS), read(1, 0, "<i8"), read(1, 1, _ASK))
+
+    return dealt.repartition(parts, "part").mapInArrow(run, "doc_id long, gone binary, asks binary")
+
+
 def _spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     out = np.empty(len(start), _SPANS)
     out["start"], out["end"] = start, end
@@ -249,8 +272,8 @@ def _arrays(batches: Iterator[pa.RecordBatch], types: list[str]) -> dict[int, li
     return {k: [np.frombuffer(b"".join(b), t) for b, t in zip(zip(*rows, strict=True), types, strict=True)] for k, rows in held.items()}
 
 
-def named_once(dealt: DataFrame) -> DataFrame:
-    """(doc_id, gone, asks): the spans of places that repeat an earlier name, and the places to compare string by string."""
+def named_once(dealt: DataFrame, parts: int) -> DataFrame:
+    """(doc_id, gone, asks): the spans of places that repeat an earlier name, and the places to compare string by string. A row for each document."""
     types = ["<u8", "<u8", "<i8", "<u4", "<u2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,9 +299,9 @@ def named_once(dealt: DataFrame) -> DataFrame:
         before, after = gn & 255, gn >> 8
         asks = np.empty(len(ad), _ASK)
         asks["pos"], asks["before"], asks["after"], asks["gram"], asks["hot"] = ap, an & 255, an >> 8, ag, np.concatenate([hot[ask], np.ones(len(d1), bool)])
-        yield _by_document(gd, _spans(gp - before, gp - after + np.uint32(LENGTH)), ad, asks)
+        yield _sent_home(parts, gd, _spans(gp - before, gp - after + np.uint32(LENGTH)), ad, asks)
 
-    return dealt.mapInArrow(run, "doc_id long, gone binary, asks binary")
+    return at_home(dealt.mapInArrow(run, "part int, kind byte, doc binary, what binary"), parts)
 
 
 def compared(asking: DataFrame, parts: int) -> DataFrame:
@@ -389,8 +412,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, gone) for docs (doc_id, text), no doc_id twice: lists of spans of bytes to remove, for documents that have any; united() reads them."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, -(-size // PART))
-    once = staged(named_once(places(docs, parts).repartition(parts, "part")), "named")
-    asks = once.where(F.octet_length("asks") > 0).groupBy("doc_id").agg(F.collect_list("asks").alias("asks"))
+    once = staged(named_once(places(docs, parts).repartition(parts, "part"), parts), "named")
+    asks = once.where(F.octet_length("asks") > 0).select("doc_id", F.array("asks").alias("asks"))
     more = compared(docs.join(asks.hint("merge"), "doc_id").select("doc_id", "text", "asks"), parts)
     spans = staged(once.where(F.octet_length("gone") > 0).select("doc_id", "gone").unionByName(more.select("doc_id", "gone")), "spans")
     return spans.groupBy("doc_id").agg(F.collect_list("gone").alias("gone"))
