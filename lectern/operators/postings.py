@@ -4,19 +4,26 @@ Stems are made once for each distinct word, of the queries and then of the passa
 meet, so no other posting leaves the scan.
 
 A query is a list of phrases: what stands in double quotes, and each word besides. It asks for all of them, or for any if it says OR. Words are stemmed. A
-phrase lies where its words' postings, each shifted back by the word's place in the phrase, meet in one start; its frequency in a passage is the number
-of such starts, and BM25 treats every phrase as a term.
+phrase lies where its words follow one another; its frequency in a passage is the number of such places, and BM25 treats every phrase as a term.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import fixed, porter
 from ..staging import staged
-from .retrieve import top
+from .retrieve import QUERY_BLOCK, RECORD_BLOCKS, top
+
+#: Hits of phrases in a block of passages on average.
+HITS = 1 << 20
 
 #: Latin letters with marks and the letters they are read as.
 MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
@@ -50,33 +57,72 @@ def parsed(queries: DataFrame) -> DataFrame:
     return asked.select("query_id", "wants", "phrase", "size", F.posexplode("tokens").alias("place", "token"))
 
 
-def positions(passages: DataFrame) -> DataFrame:
-    """(passage_id, dl, pos, word) from (passage_id, body): every word with its place; dl is the passage's number of words."""
+def places(passages: DataFrame, phrases: DataFrame, known: DataFrame) -> DataFrame:
+    """(passage_id, dl, number, hits): in how many places of a passage each phrase (number, tokens, size) stands; `known` tells words' stems; dl is the passage's number of words.
+
+    A place whose word begins a phrase stays, with the words behind it; these are held against the phrase one by one.
+    """
+    longest = phrases.agg(F.max("size")).first()[0] or 1  # one number
     split = passages.select("passage_id", words(F.col("body")).alias("ws"))
+    rest = ["ws"] if longest > 1 else []
     # outer: a plain explode would have its size tested first, which cuts every text up again
-    return split.select("passage_id", F.size("ws").alias("dl"), F.posexplode_outer("ws").alias("pos", "word")).where("word IS NOT NULL")
-
-
-def matches(queries: DataFrame, passages: DataFrame) -> DataFrame:
-    """(query_id, wants, phrase, passage_id, dl, hits): in how many places of a passage each phrase of each query stands."""
-    asked = staged(parsed(queries), "asked")
-    held = positions(passages)
-    known = staged(stems(held).join(asked.select("token").distinct(), "token"), "words")
-    keys = ["query_id", "wants", "phrase", "size", "passage_id", "dl"]
-    starts = held.join(known, "word").join(asked, "token").groupBy(*keys, (F.col("pos") - F.col("place")).alias("start")).agg(F.count(F.lit(1)).alias("n"))
-    return starts.where("n = size").groupBy(*[k for k in keys if k != "size"]).agg(F.count(F.lit(1)).alias("hits"))
+    held = split.select("passage_id", F.size("ws").alias("dl"), *rest, F.posexplode_outer("ws").alias("pos", "word")).where("word IS NOT NULL")
+    met = held.join(known, "word").drop("word").join(phrases.withColumn("token", F.get("tokens", F.lit(0))), "token").drop("token")
+    for j in range(1, longest):
+        said = known.select(F.col("word").alias("_word"), F.col("token").alias("_token"))
+        met = met.join(said, (F.get("ws", F.col("pos") + j) == F.col("_word")) & (F.get("tokens", F.lit(j)) == F.col("_token")), "left").where((F.col("size") <= j) | F.col("_token").isNotNull()).drop("_word", "_token")
+    return met.groupBy("passage_id", "dl", "number").agg(F.count(F.lit(1)).alias("hits"))
+
+
+def _best(asked: pa.Table, held: pa.Table, k: int, schema: pa.Schema) -> pa.Table:
+    """The k best passages of each query of a block among the passages of a block, by the sum of what their phrases weigh."""
+    ids = held.column("passage_id").combine_chunks().dictionary_encode(null_encoding="encode")
+    codes, n = ids.indices.to_numpy(), len(ids.dictionary)
+    order = np.empty(n, np.int64)
+    order[pc.sort_indices(ids.dictionary, null_placement="at_start").to_numpy()] = np.arange(n)
+    number, part = held.column("number").to_numpy(), held.column("part").to_numpy()
+    by = np.argsort(number, kind="stable")
+    codes, number, part = codes[by], number[by], part[by]
+    qids = asked.column("query_id").combine_chunks().dictionary_encode(null_encoding="encode")
+    q_code, want, wanted = qids.indices.to_numpy(), asked.column("wants").to_numpy(), asked.column("number").to_numpy()
+    found = [schema.empty_table()]
+    for q in range(len(qids.dictionary)):
+        mine = q_code == q
+        lists = [slice(*np.searchsorted(number, [x, x + 1])) for x in wanted[mine]]
+        at, of = np.concatenate([codes[x] for x in lists]), np.concatenate([part[x] for x in lists])
+        count, total = np.bincount(at, minlength=n), np.bincount(at, of, n)
+        hit = np.flatnonzero(count >= max(1, want[mine][0]))
+        best = hit[np.lexsort((order[hit], -np.floor(total[hit] * 1e6 + 0.5)))[:k]]
+        found.append(pa.table([qids.dictionary.take(pa.array([q] * len(best), pa.int32())), ids.dictionary.take(pa.array(best)), total[best], count[best]], schema=schema))
+    return pa.concat_tables(found)
 
 
 def search(queries: DataFrame, passages: DataFrame, k: int = fixed.CANDIDATES, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, passage_id, score, n_phrases, rank): the passages that have what the query asks for, by BM25 over its phrases.
 
-    A phrase found in more than half of all passages weighs a millionth. Nulls have no words; a query without words finds nothing.
+    A phrase found in more than half of all passages weighs a millionth. Nulls have no words; a query without words finds nothing. A phrase is looked for once, however
+    many queries ask for it; queries and passages then meet in blocks, and a task sends k rows a query on, so pairs of a query and a passage are written nowhere.
     """
-    found = staged(matches(queries, passages), "hits")
+    asked = staged(parsed(queries), "asked")
+    tokens = F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"])
+    wanted = asked.groupBy("query_id", "wants", "phrase", "size").agg(tokens.alias("tokens"))
+    phrases = staged(wanted.select("tokens", "size").distinct().withColumn("number", F.monotonically_increasing_id()), "phrases")
+    split = passages.select(F.explode(words(F.col("body"))).alias("word"))
+    known = staged(stems(split).join(asked.select("token").distinct(), "token"), "words")
+    found = staged(places(passages, phrases, known), "hits")
     stats = passages.agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(F.size(words(F.coalesce("body", F.lit("")))), F.lit(0))).alias("avgdl"))
-    df = found.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("df"))
+    df = found.groupBy("number").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.when(idf > 0, idf).otherwise(1e-6)
-    part = weight * F.col("hits") * (k1 + 1) / (F.col("hits") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = found.join(df, ["query_id", "phrase"]).crossJoin(F.broadcast(stats)).groupBy("query_id", "wants", "passage_id").agg(F.round(F.sum(part), 6).alias("score"), F.count(F.lit(1)).alias("n_phrases"))
-    return top(scored.where("n_phrases >= wants").drop("wants"), ["query_id"], [F.desc("score"), F.col("passage_id")], k)
+    weighed = staged(df.crossJoin(F.broadcast(stats)).select("number", F.when(idf > 0, idf).otherwise(1e-6).alias("weight"), "avgdl"), "weights")
+    part = F.col("weight") * F.col("hits") * (k1 + 1) / (F.col("hits") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    parts = found.join(weighed, "number").select("passage_id", "number", part.alias("part"))
+    sides = wanted.join(phrases, ["tokens", "size"]).select("query_id", "wants", "number")
+    blocks = queries.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / QUERY_BLOCK)).cast("int").alias("q_blocks")).crossJoin(found.agg(F.greatest(F.lit(RECORD_BLOCKS), F.ceil(F.count(F.lit(1)) / HITS)).cast("int").alias("r_blocks")))
+    blocks = staged(blocks, "blocks")
+    dealt = lambda df, own, mine, others, name: df.crossJoin(F.broadcast(blocks)).withColumn(mine, F.pmod(F.xxhash64(own), F.col(others[0])).cast("int")).withColumn(name, F.explode(F.sequence(F.lit(0), F.col(others[1]) - 1)))
+    q = dealt(sides, "query_id", "qb", ("q_blocks", "r_blocks"), "rb").drop("q_blocks", "r_blocks")
+    r = dealt(parts, "passage_id", "rb", ("r_blocks", "q_blocks"), "qb").drop("q_blocks", "r_blocks")
+    kinds = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("passage_id", passages.schema["passage_id"].dataType), StructField("score", DoubleType()), StructField("n_phrases", LongType())])
+    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in kinds])
+    best = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(lambda x, y: _best(x, y, k, schema) if len(x) and len(y) else schema.empty_table(), kinds)
+    return top(best.withColumn("score", F.round("score", 6)), ["query_id"], [F.desc("score"), F.col("passage_id")], k).select("query_id", "passage_id", "score", "n_phrases", "rank")
