@@ -9,21 +9,13 @@ phrase lies where its words follow one another; its frequency in a passage is th
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import fixed, porter
 from ..staging import staged
-from .retrieve import QUERY_BLOCK, RECORD_BLOCKS, top
-
-#: Hits of phrases in a block of passages on average.
-HITS = 1 << 20
+from .retrieve import best_sums
 
 #: Latin letters with marks and the letters they are read as.
 MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
@@ -74,29 +66,6 @@ def places(passages: DataFrame, phrases: DataFrame, known: DataFrame) -> DataFra
     return met.groupBy("passage_id", "dl", "number").agg(F.count(F.lit(1)).alias("hits"))
 
 
-def _best(asked: pa.Table, held: pa.Table, k: int, schema: pa.Schema) -> pa.Table:
-    """The k best passages of each query of a block among the passages of a block, by the sum of what their phrases weigh."""
-    ids = held.column("passage_id").combine_chunks().dictionary_encode(null_encoding="encode")
-    codes, n = ids.indices.to_numpy(), len(ids.dictionary)
-    order = np.empty(n, np.int64)
-    order[pc.sort_indices(ids.dictionary, null_placement="at_start").to_numpy()] = np.arange(n)
-    number, part = held.column("number").to_numpy(), held.column("part").to_numpy()
-    by = np.argsort(number, kind="stable")
-    codes, number, part = codes[by], number[by], part[by]
-    qids = asked.column("query_id").combine_chunks().dictionary_encode(null_encoding="encode")
-    q_code, want, wanted = qids.indices.to_numpy(), asked.column("wants").to_numpy(), asked.column("number").to_numpy()
-    found = [schema.empty_table()]
-    for q in range(len(qids.dictionary)):
-        mine = q_code == q
-        lists = [slice(*np.searchsorted(number, [x, x + 1])) for x in wanted[mine]]
-        at, of = np.concatenate([codes[x] for x in lists]), np.concatenate([part[x] for x in lists])
-        count, total = np.bincount(at, minlength=n), np.bincount(at, of, n)
-        hit = np.flatnonzero(count >= max(1, want[mine][0]))
-        best = hit[np.lexsort((order[hit], -np.floor(total[hit] * 1e6 + 0.5)))[:k]]
-        found.append(pa.table([qids.dictionary.take(pa.array([q] * len(best), pa.int32())), ids.dictionary.take(pa.array(best)), total[best], count[best]], schema=schema))
-    return pa.concat_tables(found)
-
-
 def search(queries: DataFrame, passages: DataFrame, k: int = fixed.CANDIDATES, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, passage_id, score, n_phrases, rank): the passages that have what the query asks for, by BM25 over its phrases.
 
@@ -117,12 +86,4 @@ def search(queries: DataFrame, passages: DataFrame, k: int = fixed.CANDIDATES, k
     part = F.col("weight") * F.col("hits") * (k1 + 1) / (F.col("hits") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     parts = found.join(weighed, "number").select("passage_id", "number", part.alias("part"))
     sides = wanted.join(phrases, ["tokens", "size"]).select("query_id", "wants", "number")
-    blocks = queries.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / QUERY_BLOCK)).cast("int").alias("q_blocks")).crossJoin(found.agg(F.greatest(F.lit(RECORD_BLOCKS), F.ceil(F.count(F.lit(1)) / HITS)).cast("int").alias("r_blocks")))
-    blocks = staged(blocks, "blocks")
-    dealt = lambda df, own, mine, others, name: df.crossJoin(F.broadcast(blocks)).withColumn(mine, F.pmod(F.xxhash64(own), F.col(others[0])).cast("int")).withColumn(name, F.explode(F.sequence(F.lit(0), F.col(others[1]) - 1)))
-    q = dealt(sides, "query_id", "qb", ("q_blocks", "r_blocks"), "rb").drop("q_blocks", "r_blocks")
-    r = dealt(parts, "passage_id", "rb", ("r_blocks", "q_blocks"), "qb").drop("q_blocks", "r_blocks")
-    kinds = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("passage_id", passages.schema["passage_id"].dataType), StructField("score", DoubleType()), StructField("n_phrases", LongType())])
-    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in kinds])
-    best = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(lambda x, y: _best(x, y, k, schema) if len(x) and len(y) else schema.empty_table(), kinds)
-    return top(best.withColumn("score", F.round("score", 6)), ["query_id"], [F.desc("score"), F.col("passage_id")], k).select("query_id", "passage_id", "score", "n_phrases", "rank")
+    return best_sums(sides, parts, k)

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import fixed, text
@@ -20,6 +20,8 @@ from ..staging import staged
 
 #: A block of queries; records are cut into RECORD_BLOCKS, or more so that a block has RECORD_BLOCK at most on average.
 QUERY_BLOCK, RECORD_BLOCKS, RECORD_BLOCK = 2048, 16, 32768
+#: Hits in a block of passages on average.
+HITS = 1 << 20
 
 def top(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     """The first k rows of each group with their rank."""
@@ -119,18 +121,63 @@ def vector(queries: DataFrame, records: DataFrame, k: int = fixed.CANDIDATES) ->
     return top(near, ["query_id"], [F.desc("similarity"), F.col("record_id")], k)
 
 
+def _best(asked: pa.Table, held: pa.Table, k: int, schema: pa.Schema) -> pa.Table:
+    """The k best passages of each query of a block among the passages of a block, by the sum of what their phrases weigh."""
+    ids = held.column("passage_id").combine_chunks().dictionary_encode(null_encoding="encode")
+    codes, n = ids.indices.to_numpy(), len(ids.dictionary)
+    order = np.empty(n, np.int64)
+    order[pc.sort_indices(ids.dictionary, null_placement="at_start").to_numpy()] = np.arange(n)
+    number, part = held.column("number").to_numpy(), held.column("part").to_numpy()
+    by = np.argsort(number, kind="stable")
+    codes, number, part = codes[by], number[by], part[by]
+    qids = asked.column("query_id").combine_chunks().dictionary_encode(null_encoding="encode")
+    q_code, want, wanted = qids.indices.to_numpy(), asked.column("wants").to_numpy(), asked.column("number").to_numpy()
+    found = [schema.empty_table()]
+    for q in range(len(qids.dictionary)):
+        mine = q_code == q
+        lists = [slice(*np.searchsorted(number, [x, x + 1])) for x in wanted[mine]]
+        at, of = np.concatenate([codes[x] for x in lists]), np.concatenate([part[x] for x in lists])
+        count, total = np.bincount(at, minlength=n), np.bincount(at, of, n)
+        hit = np.flatnonzero(count >= max(1, want[mine][0]))
+        best = hit[np.lexsort((order[hit], -np.floor(total[hit] * 1e6 + 0.5)))[:k]]
+        found.append(pa.table([qids.dictionary.take(pa.array([q] * len(best), pa.int32())), ids.dictionary.take(pa.array(best)), total[best], count[best]], schema=schema))
+    return pa.concat_tables(found)
+
+
+def best_sums(wanted: DataFrame, parts: DataFrame, k: int) -> DataFrame:
+    """(query_id, passage_id, score, n_phrases, rank): the k passages of each query with the greatest sum, from (query_id, wants, number) and (passage_id, number, part).
+
+    A query has the parts of the numbers it lists, `wants` of them at least. Queries and passages meet in blocks, and a task sends k rows a query on, so pairs of a
+    query and a passage are written nowhere. Sums are rounded to 6 places.
+    """
+    counted = wanted.agg(F.greatest(F.lit(1), F.ceil(F.count_distinct("query_id") / QUERY_BLOCK)).cast("int").alias("q_blocks"))
+    blocks = staged(counted.crossJoin(parts.agg(F.greatest(F.lit(RECORD_BLOCKS), F.ceil(F.count(F.lit(1)) / HITS)).cast("int").alias("r_blocks"))), "blocks")
+    dealt = lambda df, own, mine, others, name: df.crossJoin(F.broadcast(blocks)).withColumn(mine, F.pmod(F.xxhash64(own), F.col(others[0])).cast("int")).withColumn(name, F.explode(F.sequence(F.lit(0), F.col(others[1]) - 1)))
+    q = dealt(wanted, "query_id", "qb", ("q_blocks", "r_blocks"), "rb").drop("q_blocks", "r_blocks")
+    r = dealt(parts, "passage_id", "rb", ("r_blocks", "q_blocks"), "qb").drop("q_blocks", "r_blocks")
+    kinds = StructType([StructField("query_id", wanted.schema["query_id"].dataType), StructField("passage_id", parts.schema["passage_id"].dataType), StructField("score", DoubleType()), StructField("n_phrases", LongType())])
+    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in kinds])
+    best = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(lambda x, y: _best(x, y, k, schema) if len(x) and len(y) else schema.empty_table(), kinds)
+    return top(best.withColumn("score", F.round("score", 6)), ["query_id"], [F.desc("score"), F.col("passage_id")], k).select("query_id", "passage_id", "score", "n_phrases", "rank")
+
+
 def full_text(queries: DataFrame, passages: DataFrame, k: int = fixed.CANDIDATES, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 over stemmed full-text terms."""
-    words = lambda x: F.transform(F.filter(F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: ~t.isin(list(fixed.FULL_TEXT_STOP))), text.stem)
-    p = passages.select("passage_id", words(F.col("body")).alias("w")).withColumn("dl", F.size("w"))
-    stats = p.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    tf = p.select("passage_id", "dl", F.explode("w").alias("token")).groupBy("passage_id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
-    q = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("token"))
-    df = tf.join(q.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    """BM25 over stemmed full-text terms. Each distinct word is stemmed once; only words whose stem a query has are counted by passage."""
+    raw = lambda x: F.filter(F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: ~t.isin(list(fixed.FULL_TEXT_STOP)))
+    q = staged(queries.select("query_id", F.explode(F.array_distinct(F.transform(raw(F.col("query")), text.stem))).alias("token")), "asked")
+    # outer: a plain explode would have its size tested first, which cuts every text up again
+    held = passages.select("passage_id", raw(F.col("body")).alias("w")).select("passage_id", F.size("w").alias("dl"), F.explode_outer("w").alias("word")).where("word IS NOT NULL")
+    asked = q.select("token").distinct().withColumn("number", F.monotonically_increasing_id())
+    known = staged(held.select("word").distinct().withColumn("token", text.stem(F.col("word"))).join(staged(asked, "tokens"), "token").select("word", "token", "number"), "words")
+    tf = staged(held.join(known.drop("token"), "word").groupBy("passage_id", "dl", "number").agg(F.count(F.lit(1)).alias("tf")), "tf")
+    stats = passages.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(raw(F.col("body")))).alias("avgdl"))
+    df = tf.groupBy("number").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(q, "token").join(df, "token").crossJoin(F.broadcast(stats)).groupBy("query_id", "passage_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return top(scored, ["query_id"], [F.desc("score"), F.col("passage_id")], k)
+    weighed = staged(df.crossJoin(F.broadcast(stats)).select("number", idf.alias("weight"), "avgdl"), "weights")
+    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    parts = tf.join(weighed, "number").select("passage_id", "number", part.alias("part"))
+    wanted = q.join(known.select("token", "number").distinct(), "token").select("query_id", F.lit(1).alias("wants"), "number")
+    return best_sums(wanted, parts, k).drop("n_phrases")
 
 
 def fused(channels: list[DataFrame], weights: tuple[float, ...] = fixed.RRF_WEIGHTS, k: int = fixed.TOP_K, constant: int = fixed.RRF_K) -> DataFrame:
