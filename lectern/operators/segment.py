@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fixed, text
+from ..staging import staged
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -99,32 +100,46 @@ def tagged(rows: DataFrame, concepts: list[tuple[str, str]]) -> DataFrame:
     return rows.withColumn("concept_ids", F.array_compact(F.array(*tests)))
 
 
+def _even(x: Column) -> Column:
+    """Small letters, white space and hyphens as one blank."""
+    return F.regexp_replace(F.lower(x), r"[\s\-]+", " ")
+
+
 def _pieces(x: Column) -> Column:
-    """Words and the single signs between them, white space and hyphens as one blank."""
-    return F.regexp_extract_all(F.regexp_replace(F.lower(x), r"[\s\-]+", " "), F.lit(r"\w+|\W"), F.lit(0))
+    """Words and the single signs between them."""
+    return F.regexp_extract_all(_even(x), F.lit(r"\w+|\W"), F.lit(0))
+
+
+def _run(n: int, blank: bool) -> str:
+    """A pattern that takes a piece at a time and has the n pieces from there as its group 1, which is empty near the end and, unless `blank`, for runs with a blank at an end."""
+    if blank:
+        return r"(?:(?=((?:\w++|\W){%d}))|)(?:\w++|\W)" % n
+    return r"(?:(?! )(?=((?:\w++|\W){%d})(?<! ))|)(?:\w++|\W) ?+" % n
 
 
 def tagged_by(rows: DataFrame, concepts: DataFrame, key: list[str]) -> DataFrame:
     """As `tagged`, with a vocabulary (concept_id, name, ordinal) of any size; `key` are the columns that tell rows apart.
 
     Text and names are cut into pieces. A row's distinct runs of pieces, as long as any name is, meet the names in one equi-join; what meets is held against the name as it is written,
-    as a hyphen in a name is no blank. Rows are multiplied by their own runs only, and Spark broadcasts the names if they are few. Names without a word, and null
-    names, name nothing; a row without text has no concepts.
+    as a hyphen in a name is no blank. Rows are multiplied by their own runs only (those that begin or end in a blank only if a name does), and Spark broadcasts the names if they are few.
+    The names are written down, so what gives them is worked out once. Names without a word, and null names, name nothing; a row without text has no concepts.
     """
     body = F.concat_ws(" ", F.col("heading"), F.col("text"))
-    named = concepts.where(F.col("name").rlike(r"\w")).withColumn("_pieces", _pieces(F.trim("name")))
-    lengths = sorted(r[0] for r in named.select(F.size("_pieces")).distinct().collect())  # as many as the longest name has pieces
+    named = staged(concepts.select("concept_id", "ordinal", "name", _pieces(F.trim("name")).alias("_pieces")), "names").where(F.col("name").rlike(r"\w"))
+    blank = (F.element_at("_pieces", 1) == " ") | (F.element_at("_pieces", -1) == " ")
+    said = named.select(F.size("_pieces").alias("n"), blank.alias("blank"), F.contains("name", F.lit("-")).alias("hyphen")).distinct().collect()  # four rows at most for each number of pieces
+    lengths = sorted({r.n for r in said})
     if not lengths:
         return rows.withColumn("concept_ids", F.array().cast("array<string>"))
     quoted = F.transform(F.split(F.trim("name"), " +"), lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E")))
     as_written = F.concat(F.lit(r"(?i)\b"), F.array_join(quoted, r"[\s\-]+"), F.lit(r"\b"))
     names = named.select("concept_id", "ordinal", F.array_join("_pieces", "").alias("_run"), F.when(F.contains("name", F.lit("-")), as_written).alias("_as"))
-    cut = rows.select(*key, _pieces(body).alias("_pieces"))
-    runs = lambda n: F.when(F.size("_pieces") >= n, F.transform(F.sequence(F.lit(1), F.size("_pieces") - (n - 1)), lambda i: F.array_join(F.slice("_pieces", i, n), ""))).otherwise(F.array().cast("array<string>"))
-    # outer: a plain explode would have its size tested first, which works the runs out twice, with the pieces written into them
-    met = cut.select(*key, F.explode_outer(F.array_distinct(F.concat(*[runs(n) for n in lengths]))).alias("_run")).join(names, "_run")
+    cut = rows.select(*key, _even(body).alias("_even"))
+    runs = [F.regexp_extract_all("_even", F.lit(_run(n, any(r.blank for r in said))), F.lit(1)) for n in lengths]
+    # outer: a plain explode would have its size tested first, which works the runs out twice, with the text written into them
+    met = cut.select(*key, F.explode_outer(F.array_distinct(F.concat(*runs))).alias("_run")).join(names, "_run")
     sure = met.where("_as IS NULL")
-    if named.where(F.contains("name", F.lit("-"))).limit(1).count():
+    if any(r.hyphen for r in said):
         held = met.where("_as IS NOT NULL").join(rows.select(*key, body.alias("_body")), key).where(F.expr("regexp_like(_body, _as)"))
         sure = sure.unionByName(held.drop("_body"))
     found = sure.groupBy(*key).agg(F.transform(F.array_sort(F.collect_set(F.struct("ordinal", "concept_id"))), lambda c: c["concept_id"]).alias("concept_ids"))
