@@ -2,17 +2,22 @@
 
 What a turn says by itself (its type, the reconciled verdict) are columns. What it means depends on the turns before it, which a `Lesson` holds: the phase, the
 help given so far, the problems tried. A lesson asks its rules in order; the first that has an answer gives the card. Both folds run the same rules over the same
-rows in order, one session after another, so a session's rows are all that a task holds at a time.
+rows in order, one session after another, so a batch of rows (in the stream, a session's rows of a batch) is all that a task holds at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import asdict, dataclass, fields
+from collections import namedtuple
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, fields
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..functions import fixed
 from . import dialogue
@@ -210,16 +215,30 @@ class Lesson:
 
 
 _COLUMNS = [c.split()[0] for c in CHOSEN.split(", ")]
+_NO_TIME = np.datetime64("NaT").astype("int64")
+#: A turn as plain values.
+Turn = namedtuple("Turn", [c.split()[0] for c in TURN.split(", ")])
 
 
 def _table(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=_COLUMNS)
 
 
-def _plain(df: pd.DataFrame) -> Iterator:
-    """Rows in order, missing values as None."""
-    df = df.sort_values(["ts", "turn_id"])
-    return df.astype(object).where(df.notna(), None).itertuples()
+def _plain(dfs: Iterable[pd.DataFrame]) -> list[Turn]:
+    """Turns of some tables in order, missing values as None, the time in microseconds."""
+    held = []
+    for df in dfs:
+        columns = []
+        for name in Turn._fields:
+            x = df[name].to_numpy()
+            if x.dtype.kind == "M":
+                x = x.astype("datetime64[us]").astype("int64")
+                columns.append([None if v == _NO_TIME else v for v in x.tolist()])
+            else:
+                columns.append([None if v is None or v is pd.NA or v != v else v for v in x.tolist()] if x.dtype.kind in "fO" else x.tolist())
+        held += map(Turn._make, zip(*columns, strict=True))
+    last = float("inf")
+    return sorted(held, key=lambda t: (last if t.ts is None else t.ts, last if t.turn_id is None else t.turn_id))
 
 
 def prepared(turns: DataFrame) -> DataFrame:
@@ -231,17 +250,28 @@ def prepared(turns: DataFrame) -> DataFrame:
 
 
 def chosen(turns: DataFrame) -> DataFrame:
-    """The cards (CHOSEN) of all turns (TURN), each session folded in the order of time."""
-
-    def fold(df: pd.DataFrame) -> pd.DataFrame:
-        lesson, out = Lesson(), []
-        for t in _plain(df):
-            card, variant = lesson.choose(t)
-            lesson.present(card, t.shown)
-            out.append(lesson.row(t, card, variant, "shown" if t.shown else "fallback"))
-        return _table(out)
-
-    return turns.groupBy("session_id").applyInPandas(fold, CHOSEN)
+    """The cards (CHOSEN) of all turns (TURN), each session folded in the order of time.
+
+    Sessions lie whole in a partition, one after another, so a task folds batches of rows of many sessions and keeps one lesson.
+    """
+    kinds = StructType.fromDDL(CHOSEN)
+    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in kinds])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, lesson = object(), Lesson()
+        for batch in batches:
+            out = []
+            for t in map(Turn._make, zip(*[batch.column(n).to_pylist() for n in Turn._fields], strict=True)):
+                if t.session_id != at:
+                    at, lesson = t.session_id, Lesson()
+                card, variant = lesson.choose(t)
+                lesson.present(card, t.shown)
+                out.append(lesson.row(t, card, variant, "shown" if t.shown else "fallback"))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    rows = turns.withColumn("ts", F.unix_micros("ts")).repartition("session_id").sortWithinPartitions("session_id", F.asc_nulls_last("ts"), F.asc_nulls_last("turn_id"))
+    return rows.mapInArrow(fold, kinds)
 
 
 def fields_of_lesson() -> str:
@@ -251,4 +281,4 @@ def fields_of_lesson() -> str:
 
 
 def packed(lesson: Lesson) -> tuple:
-    return tuple(asdict(lesson).values())
+    return tuple(vars(lesson).values())

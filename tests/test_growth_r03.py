@@ -40,3 +40,35 @@ def test_f11_names_and_runs_are_worked_out_once(spark, monkeypatch):
     assert got == {1: ["c1", "c5"], 2: ["c2", "c4", "c5"], 3: ["c6"], 4: [], 5: [], 6: ["c5", "c8"], 7: ["c6"]} and asked == ["names"]
     tab = segment.tagged_by(rows, spark.createDataFrame([("t", "\tb", 0), ("u", "rate", 1)], "concept_id string, name string, ordinal int"), ["doc_id"])
     assert {r.doc_id: r.concept_ids for r in tab.collect()} == {1: ["u"], 2: [], 3: ["t"], 4: [], 5: [], 6: ["u"], 7: ["t"]}
+
+
+def test_f12_sessions_are_folded_in_batches_of_rows(spark):
+    turns = turns_of(spark)
+    got = lessons.chosen(turns)
+    assert "FlatMapGroupsInPandas" not in plan(got, "executedPlan")
+    want = []
+    for _, df in turns.toPandas().groupby("session_id"):
+        lesson = lessons.Lesson()
+        for t in lessons._plain([df]):
+            card, variant = lesson.choose(t)
+            lesson.present(card, t.shown)
+            want.append(lesson.row(t, card, variant, "shown" if t.shown else "fallback"))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_f18_state_is_read_and_written_once_for_rows(spark):
+    calls = []
+
+    class Value:
+        held = None
+        exists = lambda self: calls.append("exists") or self.held is not None
+        get = lambda self: calls.append("get") or self.held
+        clear = lambda self: calls.append("clear") or setattr(self, "held", None)
+        update = lambda self, x: calls.append("update") or setattr(self, "held", x)
+
+    handle = types.SimpleNamespace(getValueState=lambda *_: Value(), registerTimer=lambda at: calls.append("timer"), deleteTimer=lambda at: calls.append("timer"))
+    fold = lesson_stream.Lessons()
+    fold.init(handle)
+    turns = turns_of(spark, 1, 30).toPandas()
+    out = [fold.handleInputRows((0,), iter([part]), None) for part in (turns[:15], turns[15:])]
+    assert sum(len(df) for part in out for df in part) == 30 and len(calls) <= 2 * 2 + 5
