@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -142,12 +143,20 @@ def structural(kind: Column, heading: Column, body: Column) -> Column:
     return F.coalesce((kind == "explanation") & (heading.rlike(fixed.CHAPTER) | (heading.rlike(fixed.SECTION) & short)), F.lit(False))
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x worked out once; named inside a lambda as it stands, it would be worked out for each element."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def copies_text(query: Column, message: Column, n: int = 6) -> Column:
     """True if n consecutive words of the message stand in the query."""
-    words = F.split(F.lower(collapsed(message)), " ")
-    low = F.lower(collapsed(query))
-    runs = F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    return F.exists(runs, lambda r: F.contains(low, r))
+    held = F.struct(F.split(F.lower(collapsed(message)), " ").alias("words"), F.lower(collapsed(query)).alias("low"))
+
+    def copied(s: Column) -> Column:
+        places = F.when(F.size(s["words"]) >= n, F.sequence(F.lit(1), F.size(s["words"]) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.exists(places, lambda i: F.contains(s["low"], F.array_join(F.slice(s["words"], i, n), " ")))
+
+    return let(held, copied)
 
 
 def citation_labels(x: Column) -> Column:

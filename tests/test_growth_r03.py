@@ -65,6 +65,12 @@ def test_f13_files_do_not_grow_with_conversations(spark, tmp_path):
     assert got == want and len(got) == 62 and len(files) <= 8
 
 
+def test_f16_words_are_cut_once(spark):
+    rows = spark.createDataFrame([("so a b  C d e f g", "x a b c d e f"), ("a b c", "a b c"), (None, "a b c d e f"), ("a b c d e f", None)], "q string, m string")
+    got = rows.select(text.copies_text(F.col("q"), F.col("m")).alias("c"))
+    assert plan(got).count("split(") == 1 and [r.c for r in got.collect()] == [True, False, None, False]
+
+
 def test_f18_state_is_read_and_written_once_for_rows(spark):
     calls = []
 
