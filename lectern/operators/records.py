@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed
+from ..functions import fixed, text
 
 
 def _literal(names: tuple[str, ...]) -> Column:
@@ -32,7 +32,11 @@ def field_errors(kind: Column, fields: Column, is_11: Column) -> Column:
     """V-02 and V-08 of a record (field -> value as JSON text): missing, unknown and empty fields, provenance in a version without it."""
     needed = F.create_map(*[x for k, v in fixed.RECORD_FIELDS.items() for x in (F.lit(k), _literal(v))])[kind]
     holds = F.create_map(*[F.lit(x) for kv in fixed.MUST_HOLD.items() for x in kv])[kind]
-    names = F.map_keys(fields)
+    held = F.struct(needed.alias("needed"), holds.alias("holds"), fields.alias("fields"), is_11.alias("is_11"))
+    return text.let(held, lambda r: text.let(F.map_keys(r["fields"]), lambda names: _field_errors(r["needed"], r["holds"], r["fields"], names, r["is_11"])))
+
+
+def _field_errors(needed: Column, holds: Column, fields: Column, names: Column, is_11: Column) -> Column:
     missing = F.transform(F.filter(needed, lambda f: _lacks(names, f)), lambda f: F.concat(F.lit("V-02 missing "), f))
     unknown = F.transform(F.array_sort(F.filter(names, lambda f: _lacks(needed, f) & (f != "provenance"))), lambda f: F.concat(F.lit("V-02 unknown "), f))
     early = F.array_compact(F.array(_said(F.array_contains(names, F.lit("provenance")) & ~is_11, "V-02 provenance before 1.1")))

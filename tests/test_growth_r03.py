@@ -65,6 +65,13 @@ def test_f13_files_do_not_grow_with_conversations(spark, tmp_path):
     assert got == want and len(got) == 62 and len(files) <= 8
 
 
+def test_f15_fields_are_put_together_once(spark):
+    rows = spark.range(40).select(F.col("id"), F.map_from_arrays(F.array(F.lit("id"), F.lit("title"), F.lit("odd")), F.array(F.lit(""), F.col("id").cast("string"), F.lit("x"))).alias("fields"))
+    fields = F.map_from_arrays(F.map_keys("fields"), F.map_values("fields"))
+    got = rows.select(records.field_errors(F.lit("Course"), fields, F.col("id") > 3).alias("e"))
+    assert plan(got).count("map_from_arrays(map_keys") == 1 and "V-02 unknown odd" in got.first().e
+
+
 def test_f16_words_are_cut_once(spark):
     rows = spark.createDataFrame([("so a b  C d e f g", "x a b c d e f"), ("a b c", "a b c"), (None, "a b c d e f"), ("a b c d e f", None)], "q string, m string")
     got = rows.select(text.copies_text(F.col("q"), F.col("m")).alias("c"))
