@@ -28,23 +28,43 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
 
 
-def lexical(queries: DataFrame, passages: DataFrame, k: int = fixed.TOP_K, boost: Column | None = None) -> DataFrame:
-    """(query_id, passage_id, rank, score) from (query_id, query, ...) and (passage_id, body, ...).
+def scored(queries: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_id, passage_id, n_terms, overlap, score, and the other columns of both) of every query and passage that share a term.
 
-    The score is the number of shared terms over the square root of the passage's number of terms, times CONCEPT_BOOST
-    where `boost` (over the columns of both) holds. Terms meet in a hash join; overlaps are summed before the shuffle by pair.
+    The score is the number of shared terms over the square root of the passage's number of terms. Terms meet in a hash join; overlaps are summed before the shuffle
+    by pair. A passage is cut into terms once: a plain explode would have its size tested first, with the terms written into the test.
     """
     q = queries.withColumn("token", F.explode(text.lexical_terms(F.col("query")))).drop("query")
-    terms = text.lexical_terms(F.col("body"))
-    p = passages.withColumn("n_terms", F.size(terms)).withColumn("token", F.explode(terms)).drop("body")
     keys = ["query_id", "passage_id"]
-    extra = [c for c in [*queries.columns, *passages.columns] if c not in (*keys, "query", "body")]
+    own = [c for c in passages.columns if c != "body"]
+    extra = [c for c in [*queries.columns, *own] if c not in (*keys, "query")]
+    cut = passages.select(*own, text.lexical_terms(F.col("body")).alias("_terms"))
+    p = cut.select(*own, F.size("_terms").alias("n_terms"), F.explode_outer("_terms").alias("token"))
     pairs = q.join(p, "token").groupBy(*keys, "n_terms", *extra).agg(F.count(F.lit(1)).alias("overlap"))
-    score = F.col("overlap") / F.sqrt(F.greatest(F.lit(1), F.col("n_terms")))
+    return pairs.withColumn("score", F.col("overlap") / F.sqrt(F.greatest(F.lit(1), F.col("n_terms"))))
+
+
+def lexical(queries: DataFrame, passages: DataFrame, k: int = fixed.TOP_K, boost: Column | None = None) -> DataFrame:
+    """(query_id, passage_id, rank, score, overlap) from (query_id, query, ...) and (passage_id, body, ...): the k best by `scored`, times CONCEPT_BOOST where
+    `boost` (over the columns of both) holds."""
+    pairs = scored(queries, passages)
     if boost is not None:
-        score = score * F.when(boost, fixed.CONCEPT_BOOST).otherwise(1.0)
-    ranked = top(pairs.withColumn("score", score), ["query_id"], [F.desc("score"), F.col("passage_id")], k)
-    return ranked.select(*keys, "rank", F.round("score", 4).alias("score"), "overlap")
+        pairs = pairs.withColumn("score", F.col("score") * F.when(boost, fixed.CONCEPT_BOOST).otherwise(1.0))
+    ranked = top(pairs, ["query_id"], [F.desc("score"), F.col("passage_id")], k)
+    return ranked.select("query_id", "passage_id", "rank", F.round("score", 4).alias("score"), "overlap")
+
+
+def two_pass(queries: DataFrame, passages: DataFrame, by: str, k: int = fixed.TOP_K) -> DataFrame:
+    """(query_id, passage_id, rank, score): the k best, those boosted whose `by` (a column of the passages) is that of the query's best passage.
+
+    A boost is one factor for all passages of a query with one value of `by`, so their order stays: the k best of each value hold the k best of any boost, and the
+    pairs are worked out once for both passes.
+    """
+    held = staged(top(scored(queries, passages), ["query_id", by], [F.desc("score"), F.col("passage_id")], k).select("query_id", "passage_id", by, "score"), "passes")
+    order = [F.desc("score"), F.col("passage_id")]
+    first = top(held, ["query_id"], order, 1).select("query_id", F.col(by).alias("_best"))
+    boosted = held.join(first, "query_id").withColumn("score", F.col("score") * F.when(F.col(by) == F.col("_best"), fixed.CONCEPT_BOOST).otherwise(1.0))
+    return top(boosted, ["query_id"], order, k).select("query_id", "passage_id", "rank", F.round("score", 4).alias("score"))
 
 
 def fixture_overlap(queries: DataFrame, passages: DataFrame, k: int, share: float = fixed.MENTION_SHARE) -> DataFrame:

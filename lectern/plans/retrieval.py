@@ -178,9 +178,7 @@ def r13_compose_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 c AS (SELECT query_id, lang AS concept FROM p1 WHERE rank = 1), s2 AS (SELECT f.query_id, passage_id, score * CASE WHEN lang = concept THEN 2.0 ELSE 1.0 END AS score FROM f JOIN c ON f.query_id = c.query_id)
 SELECT query_id, passage_id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s2.score DESC, passage_id) AS rank FROM s2 QUALIFY rank <= 4""")
 def r14_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, p = items(spark, sf_dir), passages(spark, sf_dir, "lang")
-    concept = retrieve.lexical(q, p, 1).join(p.select("passage_id", F.col("lang").alias("concept")), "passage_id").select("query_id", "concept")
-    return retrieve.lexical(q.join(concept, "query_id"), p, boost=F.col("lang") == F.col("concept")).drop("overlap")
+    return retrieve.two_pass(items(spark, sf_dir), passages(spark, sf_dir, "lang"), "lang")
 
 
 _RANKED = _lexical_sql("overlap / sqrt(greatest(1, n_terms))", 40, "query_id, passage_id, source AS file, n_chars, round(score, 9) AS score, rank")

@@ -78,6 +78,14 @@ def test_f16_words_are_cut_once(spark):
     assert plan(got).count("split(") == 1 and [r.c for r in got.collect()] == [True, False, None, False]
 
 
+def test_f17_two_passes_cut_texts_once(spark, tmp_path, monkeypatch):
+    docs = [(i, ["limit of sums", "limit rate", "the integral of a limit sum", ""][i % 4], ("en", "de", None)[i % 3], "s", 1) for i in range(30)] + [(77, None, "en", "s", 1)]
+    asked = [(1, "limit of a sum"), (2, "integral rate"), (3, "nothing")]
+    cuts = cuts_of(monkeypatch)
+    got, want = against_sql(spark, "r14_two_pass", tmp_path, documents=(docs, "doc_id long, text string, lang string, source string, n_chars long"), benchmark=(asked, "item_id long, text string"))
+    assert got == want and len(got) == 8 and cuts() == 1
+
+
 def test_f18_state_is_read_and_written_once_for_rows(spark):
     calls = []
 
@@ -94,3 +102,9 @@ def test_f18_state_is_read_and_written_once_for_rows(spark):
     turns = turns_of(spark, 1, 30).toPandas()
     out = [fold.handleInputRows((0,), iter([part]), None) for part in (turns[:15], turns[15:])]
     assert sum(len(df) for part in out for df in part) == 30 and len(calls) <= 2 * 2 + 5
+
+
+def test_f17_f19_f21_a_passage_is_cut_into_terms_once(spark, monkeypatch):
+    q, p = spark.createDataFrame([(1, "limit sum")], "query_id long, query string"), spark.createDataFrame([(1, "sum of limits")], "passage_id long, body string")
+    cuts = [x for x in plan(retrieve.lexical(q, p)).split("\n") if "lower(body" in x]
+    assert sum(x.count("regexp_extract_all(lower(body") for x in cuts) == 1
