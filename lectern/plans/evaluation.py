@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate, retrieve
 from ..functions import text
+from ..staging import staged
 from .base import query, table
 from .retrieval import _lexical_sql, items, passages
 
@@ -68,7 +69,7 @@ _GOLD = "SELECT query_id AS question_id, passage_id // 2 % 2 AS group_id, passag
 
 @query(f"WITH lx AS ({_lexical_sql('overlap / sqrt(greatest(1, n_terms))', 4, 'query_id, passage_id, rank')}), g AS ({_GOLD}) SELECT question_id, bool_and(f) AS complete, count(*) AS n_groups FROM (SELECT question_id, group_id, bool_or(r.passage_id IS NOT NULL) AS f FROM g LEFT JOIN (SELECT * FROM lx WHERE rank <= 2) r ON r.query_id = g.question_id AND r.passage_id = g.passage_id GROUP BY ALL) GROUP BY question_id")
 def a14_complete_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieve.lexical(items(spark, sf_dir), passages(spark, sf_dir)).select(F.col("query_id").alias("question_id"), "passage_id", "rank")
+    found = staged(retrieve.lexical(items(spark, sf_dir), passages(spark, sf_dir)).select(F.col("query_id").alias("question_id"), "passage_id", "rank"), "found")
     gold = found.where("rank <= 3").select("question_id", (F.floor(F.col("passage_id") / 2) % 2).alias("group_id"), "passage_id")
     return evaluate.complete_at(found, gold, 2)
 

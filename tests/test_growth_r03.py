@@ -108,3 +108,12 @@ def test_f17_f19_f21_a_passage_is_cut_into_terms_once(spark, monkeypatch):
     q, p = spark.createDataFrame([(1, "limit sum")], "query_id long, query string"), spark.createDataFrame([(1, "sum of limits")], "passage_id long, body string")
     cuts = [x for x in plan(retrieve.lexical(q, p)).split("\n") if "lower(body" in x]
     assert sum(x.count("regexp_extract_all(lower(body") for x in cuts) == 1
+
+
+def test_f19_found_is_searched_once(spark, monkeypatch):
+    from lectern.plans import evaluation
+
+    tags, plain = [], evaluation.staged
+    monkeypatch.setattr(evaluation, "staged", lambda df, tag: tags.append(tag) or plain(df, tag))
+    df = QUERIES["a14_complete_at_k"](spark, "/root/testdata/sf0.001")
+    assert tags == ["found"] and "documents" not in plan(df, "executedPlan")
