@@ -23,6 +23,8 @@ from .retrieve import _matrix, _nearest, top
 
 #: Records that centroids are fitted on, at most; cells, at most; records of a block; queries of a block.
 SAMPLE, CELLS, BLOCK, ASKED = 16_384, 1_024, 16_384, 1_024
+#: Queries of a cell that meet a block in one task; rows that are held against all centroids at a time.
+MEET, ROWS = 16_384, 512
 #: Similarities are rounded to nine places, so bounds get as much room.
 _ROOM = 2e-9
 
@@ -64,8 +66,8 @@ def assigned(records: DataFrame, centroids: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, ok = _vectors(batch.column("r_vec"), centroids.shape[1])
-            gap = (centroids * centroids).sum(1) - 2 * x @ centroids.T + (x * x).sum(1)[:, None] if len(centroids) else np.zeros((len(x), 1))
-            cell = np.where(ok & bool(len(centroids)), gap.argmin(1), -1)
+            near = [((centroids * centroids).sum(1) - 2 * x[i : i + ROWS] @ centroids.T).argmin(1) for i in range(0, len(x), ROWS)] if len(centroids) else []
+            cell = np.where(ok, np.concatenate(near), -1) if near else np.full(len(x), -1)
             dist = np.where(cell >= 0, np.linalg.norm(x - centroids[np.maximum(cell, 0)], axis=1) if len(centroids) else 0.0, 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(dist, pa.float64())], schema=pa.schema([*kinds, ("cell", pa.int32()), ("dist", pa.float64())]))
 
@@ -82,7 +84,7 @@ def _chosen(queries: DataFrame, centroids: np.ndarray, cells: list[tuple[int, fl
     kinds = [(f.name, to_arrow_type(f.dataType)) for f in queries.schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, len(whole), ROWS)):
             q, ok = _vectors(batch.column("q_vec"), centroids.shape[1])
             bound = np.full((len(q), len(ids)), -np.inf)
             bound[:, real] = q @ centroids[ids[real]].T + np.linalg.norm(q, axis=1)[:, None] * radius[real] * (1 + 1e-12) + _ROOM
@@ -93,24 +95,27 @@ def _chosen(queries: DataFrame, centroids: np.ndarray, cells: list[tuple[int, fl
                 # one record may be the query itself
                 first = int(np.searchsorted(np.cumsum(size[order[i]]), k + 1)) + 1
                 if not ok[i]:
-                    lists.append([] if known else ids.tolist())
+                    lists.append(ids[:0] if known else ids)
                 elif not known:
-                    lists.append(ids[order[i][:first]].tolist())
+                    lists.append(ids[order[i][:first]])
                 else:
                     rest = order[i][first:]
-                    lists.append(ids[rest[(bound[i][rest] >= least[i]) | ~real[rest]] if least[i] is not None else rest].tolist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], schema=pa.schema([*kinds, ("cells", pa.list_(pa.int32()))]))
+                    lists.append(ids[rest[(bound[i][rest] >= least[i]) | ~real[rest]] if least[i] is not None else rest])
+            ends = np.cumsum([0, *map(len, lists)])
+            cells_ = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists), pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, cells_], schema=pa.schema([*kinds, ("cells", pa.list_(pa.int32()))]))
 
     return queries.mapInArrow(run, StructType([*queries.schema.fields, *StructType.fromDDL("cells array<int>").fields]))
 
 
-def _searched(asked: DataFrame, blocks: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
-    """The k nearest records of each query in each block of each cell it searches."""
+def _searched(asked: DataFrame, blocks: DataFrame, sizes: DataFrame, k: int, shares: int) -> DataFrame:
+    """The k nearest records of each query in each block of each cell it searches; queries are dealt in `shares`, so that a task's queries are bounded as its records are."""
     kinds = {"query_id": asked.schema["query_id"].dataType, "record_id": blocks.schema["record_id"].dataType, "similarity": DoubleType()}
     schema = pa.schema([(n, to_arrow_type(t)) for n, t in kinds.items()])
     each = asked.select("query_id", "q_vec", F.explode("cells").alias("cell")).join(sizes, "cell")
-    each = each.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    near = each.groupBy("cell", "part").cogroup(blocks.groupBy("cell", "part"))
+    each = each.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("share", F.pmod(F.xxhash64("query_id"), F.lit(shares)).cast("int"))
+    copies = blocks.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    near = each.groupBy("cell", "part", "share").cogroup(copies.groupBy("cell", "part", "share"))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         found = [_nearest(a.slice(i, ASKED), b, k, schema) for i in range(0, len(a), ASKED)] if len(b) else []
@@ -123,12 +128,13 @@ def nearest(queries: DataFrame, records: DataFrame, k: int = fixed.CANDIDATES) -
     """(query_id, record_id, similarity, rank): the k records with the greatest dot product, as `retrieve.vector` gives them, cells that cannot matter left out."""
     queries, records = queries.where("query_id IS NOT NULL"), records.where("record_id IS NOT NULL")
     centroids = fitted(records)
+    shares = max(1, -(-queries.count() // MEET))
     held = staged(assigned(records, centroids), "cells")
     per = held.groupBy("cell").agg(F.max("dist").alias("radius"), F.count(F.lit(1)).alias("n"))
     cells = [tuple(r) for r in per.collect()]  # CELLS + 1 rows at most
     sizes = per.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
     blocks = held.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("record_id"), F.col("parts")).cast("int")).select("cell", "part", "record_id", "r_vec")
-    first = staged(_searched(_chosen(queries, centroids, cells, k, False), blocks, sizes, k), "near")
+    first = staged(_searched(_chosen(queries, centroids, cells, k, False), blocks, sizes, k, shares), "near")
     kth = top(first, ["query_id"], [F.desc("similarity"), F.col("record_id")], k).groupBy("query_id").agg(F.when(F.count("similarity") == k, F.min("similarity")).alias("least"))
-    more = _searched(_chosen(queries.join(kth, "query_id", "left"), centroids, cells, k, True), blocks, sizes, k)
+    more = _searched(_chosen(queries.join(kth, "query_id", "left"), centroids, cells, k, True), blocks, sizes, k, shares)
     return top(first.unionByName(more), ["query_id"], [F.desc("similarity"), F.col("record_id")], k)

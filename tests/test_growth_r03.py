@@ -117,3 +117,14 @@ def test_f19_found_is_searched_once(spark, monkeypatch):
     monkeypatch.setattr(evaluation, "staged", lambda df, tag: tags.append(tag) or plain(df, tag))
     df = QUERIES["a14_complete_at_k"](spark, "/root/testdata/sf0.001")
     assert tags == ["found"] and "documents" not in plan(df, "executedPlan")
+
+
+def test_f20_queries_of_a_cell_are_dealt_in_shares(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(90, 6))
+    e = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(90)] + [(90, None)], "id long, v array<double>")
+    monkeypatch.setattr(nearest, "MEET", 7)
+    q, rec = e.where("id % 3 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q_vec")), e.select(F.col("id").alias("record_id"), F.col("v").alias("r_vec"))
+    row = lambda df: sorted((z.query_id, z["rank"], z.record_id) for z in df.collect())
+    got = nearest.nearest(q, rec, 4)
+    assert row(got) == row(retrieve.vector(q, rec, 4)) and "share" in plan(got)
