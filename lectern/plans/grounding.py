@@ -32,13 +32,15 @@ def needs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each need with the passages that its item retrieves."""
     p = passages(spark, sf_dir)
-    found = retrieve.lexical(items(spark, sf_dir), p).select(F.col("query_id").alias("request_id"), "passage_id", "rank")
+    found = staged(retrieve.lexical(items(spark, sf_dir), p).select(F.col("query_id").alias("request_id"), "passage_id", "rank"), "found")
     return needs(spark, sf_dir).join(found, "request_id").join(p, "passage_id")
 
 
 def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Needs with their passages, level and relatedness, written down: what follows reads them more than once, and the search is run once."""
     args = [F.col(c) for c in ("anchor", "description", "concepts", "body")]
-    return pairs(spark, sf_dir).withColumn("level", ground.rule_level(F.col("need_type"), *args)).withColumn("related", ground.related(*args))
+    rows = pairs(spark, sf_dir).withColumn("level", ground.rule_level(F.col("need_type"), *args)).withColumn("related", ground.related(*args))
+    return staged(rows, "checks")
 
 
 _MARKED = "CASE need_type " + " ".join(f"WHEN '{k}' THEN regexp_matches(body, '{p}')" for k, p in fixed.MARKERS.items()) + " ELSE false END"
@@ -66,8 +68,7 @@ def e10_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ground.coverage(checks(spark, sf_dir)).select("request_id", "level", F.array_join("passage_ids", " ").alias("ids"))
 
 
-def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = checks(spark, sf_dir)
+def _status(c: DataFrame) -> DataFrame:
     return ground.statuses(ground.coverage(c), c.groupBy("request_id").agg(F.bool_or("related").alias("any_related")))
 
 
@@ -76,7 +77,7 @@ _STATUS = "st AS (SELECT request_id, CASE WHEN NOT any_related THEN 'no_support_
 
 @query(f"WITH {_CHECKS}, {_STATUS} SELECT request_id, status FROM st")
 def e12_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _status(spark, sf_dir)
+    return _status(checks(spark, sf_dir))
 
 
 @query("SELECT doc_id, concat_ws(' ', CASE WHEN doc_id % 4 = 0 THEN 'unverified_source' END, CASE WHEN doc_id % 5 = 0 THEN 'location_unavailable' END, CASE WHEN toxic = 1 THEN 'source_quality_warning' END, CASE WHEN quality = 0 THEN 'sufficiency_uncertain' END, CASE WHEN doc_id % 6 = 0 THEN 'semantic_channel_unavailable' END, CASE WHEN n_chars > 12000 THEN 'budget_truncated' END) AS codes FROM documents JOIN labels USING (doc_id)")
@@ -98,14 +99,14 @@ def e14_judge_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_CHECKS}, {_STATUS} SELECT request_id, 'supported with an open need' AS problem FROM st JOIN cover USING (request_id) WHERE status = 'supported' AND level <> 'covered'")
 def e16_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = checks(spark, sf_dir)
-    return ground.violations(_status(spark, sf_dir), c.select("request_id", "passage_id", "rank"), ground.coverage(c))
+    return ground.violations(_status(c), c.select("request_id", "passage_id", "rank"), ground.coverage(c))
 
 
 @query(f"""WITH {_CHECKS}, {_STATUS}, own AS (SELECT request_id AS turn_id, passage_id, status, ch.level FROM ch JOIN st USING (request_id)), lb AS (SELECT request_id AS turn_id, passage_id + (request_id % 2) AS passage_id FROM ch)
 SELECT turn_id, passage_id, CASE WHEN status IS NULL OR status NOT IN ('supported', 'partial') THEN 'citation_not_from_turn_bundle' WHEN level = 'covered' THEN 'accepted' WHEN level = 'partially_covered' THEN 'accepted_with_warning' ELSE 'citation_need_not_covered' END AS verdict FROM lb LEFT JOIN own USING (turn_id, passage_id)""")
 def e17_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = checks(spark, sf_dir)
-    owners = c.join(_status(spark, sf_dir), "request_id").select(F.col("request_id").alias("turn_id"), "passage_id", "status", "level", F.lit(0).alias("ordinal"))
+    owners = c.join(_status(c), "request_id").select(F.col("request_id").alias("turn_id"), "passage_id", "status", "level", F.lit(0).alias("ordinal"))
     cited = c.select(F.col("request_id").alias("turn_id"), (F.col("passage_id") + F.col("request_id") % 2).alias("passage_id"))
     return ground.citations(cited, owners)
 

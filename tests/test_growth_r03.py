@@ -128,3 +128,9 @@ def test_f20_queries_of_a_cell_are_dealt_in_shares(spark, monkeypatch):
     row = lambda df: sorted((z.query_id, z["rank"], z.record_id) for z in df.collect())
     got = nearest.nearest(q, rec, 4)
     assert row(got) == row(retrieve.vector(q, rec, 4)) and "share" in plan(got)
+
+
+def test_f21_checks_are_searched_once(spark, monkeypatch):
+    cuts = cuts_of(monkeypatch)
+    df = QUERIES["e17_citations"](spark, "/root/testdata/sf0.001")
+    assert cuts() == 1 and "documents" not in plan(df, "executedPlan") and grounding.staged
