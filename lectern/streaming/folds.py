@@ -4,12 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+#: What folds read of an event.
+_FOLDED = ("user_id", "event_id", "event_type", "ts")
+_LAST = np.iinfo(np.int64).max
+
+
+def _ordered(pdfs: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, str]]:
+    """(event_id, event_type, microseconds) of a user's events of a batch in the order of time, then id.
+
+    A batch has few events of each user, so what a table costs counts more than its rows: the columns become arrays and nothing else of the table is touched.
+    """
+    held = list(pdfs)
+    ts, ids, kinds = (np.concatenate([p[c].to_numpy() for p in held]) for c in ("ts", "event_id", "event_type"))
+    none, ts = np.isnat(ts), ts.astype("datetime64[us]").astype(np.int64)
+    order = np.lexsort((ids, np.where(none, _LAST, ts)))
+    return zip(ids[order].tolist(), kinds[order].tolist(), ts[order].tolist(), strict=True)
+
+
 def windowed_counts(events: DataFrame, length: str = "1 day", late: str = "2 hours") -> DataFrame:
     """Events and value by window and type; rows later than the watermark are dropped."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", length), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
@@ -26,15 +44,15 @@ def running_state(events: DataFrame) -> DataFrame:
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, stall, level = state.get if state.exists else (0, 0, 0)
         out = []
-        for row in pd.concat(list(pdfs)).sort_values(["ts", "event_id"]).itertuples():
+        for event_id, kind, _ in _ordered(pdfs):
             seen += 1
-            stall = stall + 1 if row.event_type == "error" else 0
+            stall = stall + 1 if kind == "error" else 0
             level = min(3, level + 1) if stall >= 2 else level
-            out.append((key[0], row.event_id, seen, stall, level))
+            out.append((key[0], event_id, seen, stall, level))
         state.update((seen, stall, level))
         yield pd.DataFrame(out, columns=["user_id", "event_id", "seen", "stall", "help_level"])
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, seen long, stall long, help_level long", "seen long, stall long, help_level long", "append", GroupStateTimeout.NoTimeout)
+    return events.select(*_FOLDED).groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, seen long, stall long, help_level long", "seen long, stall long, help_level long", "append", GroupStateTimeout.NoTimeout)
 
 
 def commits(actions: DataFrame, deliveries: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -65,11 +83,11 @@ def confirmed_once(events: DataFrame) -> DataFrame:
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         opened = state.get[0] if state.exists else None
         out = []
-        for row in pd.concat(list(pdfs)).sort_values(["ts", "event_id"]).itertuples():
-            if row.event_type == "view":
-                opened = row.event_id
-            elif row.event_type == "purchase":
-                out.append((key[0], row.event_id, opened, "rejected" if opened is None else "confirmed"))
+        for event_id, kind, _ in _ordered(pdfs):
+            if kind == "view":
+                opened = event_id
+            elif kind == "purchase":
+                out.append((key[0], event_id, opened, "rejected" if opened is None else "confirmed"))
                 opened = None
         if opened is not None:
             state.update((opened,))
@@ -77,7 +95,7 @@ def confirmed_once(events: DataFrame) -> DataFrame:
             state.remove()
         yield pd.DataFrame(out, columns=["user_id", "event_id", "review_id", "status"]).astype({"review_id": "Int64"})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, review_id long, status string", "review_id long", "append", GroupStateTimeout.NoTimeout)
+    return events.select(*_FOLDED).groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, review_id long, status string", "review_id long", "append", GroupStateTimeout.NoTimeout)
 
 
 def expiring(events: DataFrame, ttl_seconds: int = 86_400, late: str = "1 hour") -> DataFrame:
@@ -91,16 +109,16 @@ def expiring(events: DataFrame, ttl_seconds: int = 86_400, late: str = "1 hour")
             out.append((key[0], opened, "expired"))
             state.remove()
         else:
-            for row in pd.concat(list(pdfs)).sort_values(["ts", "event_id"]).itertuples():
-                at = int(row.ts.timestamp() * 1000)
+            for event_id, kind, micros in _ordered(pdfs):
+                at = micros // 1000
                 if opened is not None and at >= since + ttl_seconds * 1000:
                     out.append((key[0], opened, "expired"))
                     opened = None
-                if row.event_type == "view":
+                if kind == "view":
                     if opened is not None:
                         out.append((key[0], opened, "superseded"))
-                    opened, since = row.event_id, at
-                elif row.event_type == "click" and opened is not None:
+                    opened, since = event_id, at
+                elif kind == "click" and opened is not None:
                     out.append((key[0], opened, "applied"))
                     opened = None
             if opened is None:
@@ -111,4 +129,4 @@ def expiring(events: DataFrame, ttl_seconds: int = 86_400, late: str = "1 hour")
                 state.setTimeoutTimestamp(max(since + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["user_id", "event_id", "status"])
 
-    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, status string", "opened long, since long", "append", GroupStateTimeout.EventTimeTimeout)
+    return events.select(*_FOLDED).withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, status string", "opened long, since long", "append", GroupStateTimeout.EventTimeTimeout)

@@ -134,3 +134,13 @@ def test_f21_checks_are_searched_once(spark, monkeypatch):
     cuts = cuts_of(monkeypatch)
     df = QUERIES["e17_citations"](spark, "/root/testdata/sf0.001")
     assert cuts() == 1 and "documents" not in plan(df, "executedPlan") and grounding.staged
+
+
+def test_f22_folds_read_four_columns_in_the_order_of_time(spark, tmp_path):
+    stream = spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string, value double, props string").parquet(str(tmp_path))
+    for fold in (folds.expiring, folds.running_state, folds.confirmed_once):
+        assert any("Project [user_id#" in x and "props" not in x for x in plan(fold(stream), "analyzed").split("\n"))
+    at = lambda micros, days=0: datetime.datetime(2024, 2, 28) + datetime.timedelta(days=days, microseconds=micros)
+    rows = [(4, 5, "click", at(999, 1)), (1, 5, "view", at(1000)), (3, 6, "click", at(1000, 1)), (2, 6, "view", at(1999)), (9, 7, "view", at(5)), (8, 7, "view", at(5)), (7, 7, "error", at(0, 3))]
+    got, want = against_sql(spark, "x03_expiring", tmp_path, events=(rows, "event_id long, user_id long, event_type string, ts timestamp_ntz"))
+    assert got == want == [(5, 1, "applied"), (6, 2, "expired"), (7, 8, "superseded"), (7, 9, "expired")]
