@@ -84,10 +84,20 @@ def sections(rows: DataFrame) -> DataFrame:
 
 def topics(rows: DataFrame, by: str, words: int = 15) -> DataFrame:
     """The most frequent longer words of every course, ties in the order of first use."""
-    tokens = rows.select(by, "passage_id", F.posexplode(F.regexp_extract_all(F.lower("body"), F.lit("[a-z][a-z-]{4,}"), F.lit(0))).alias("pos", "word")).where(~F.col("word").isin(list(fixed.TOPIC_STOP)))
-    counts = tokens.groupBy(by, "word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("passage_id", "pos")).alias("first"))
-    order = Window.partitionBy(by).orderBy(F.desc("n"), "first")
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= words).select(by, "word", "n", "rank")
+    cut = F.regexp_extract_all(F.lower("body"), F.lit("[a-z][a-z-]{4,}"), F.lit(0)).alias("w")
+    # outer: a plain explode would have its size tested first, which cuts every text up twice
+    tokens = rows.select(by, "passage_id", cut).select(by, "passage_id", F.explode_outer("w").alias("word")).where(~F.col("word").isin(list(fixed.TOPIC_STOP)))
+    # counts and least passages are numbers, which a hash table holds for each word; a struct with the place would have every token sorted
+    first = F.when(F.count(F.lit(1)) == F.count("passage_id"), F.min("passage_id"))
+    counts = tokens.groupBy(by, "word").agg(F.count(F.lit(1)).alias("n"), first.alias("at"))
+    near = counts.withColumn("rank", F.rank().over(Window.partitionBy(by).orderBy(F.desc("n"), "at"))).where(F.col("rank") <= words)
+    near = staged(near.select(F.col(by).alias("_by"), "word", "n", "at"), "topics")
+    # only words of one count and one first passage are told apart by their places in it
+    there = near.select("_by", "at").distinct()
+    places = rows.join(there, F.col(by).eqNullSafe(F.col("_by")) & F.col("passage_id").eqNullSafe(F.col("at"))).select("_by", "at", cut).select("_by", "at", F.posexplode_outer("w").alias("pos", "word"))
+    held = near.alias("a").join(places.alias("b"), F.expr("a._by <=> b._by AND a.at <=> b.at AND a.word = b.word")).groupBy("a._by", "a.word", "n", "a.at").agg(F.min("pos").alias("pos"))
+    order = Window.partitionBy("_by").orderBy(F.desc("n"), "at", "pos")
+    return held.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= words).select(F.col("_by").alias(by), "word", "n", "rank")
 
 
 def tagged(rows: DataFrame, concepts: list[tuple[str, str]]) -> DataFrame:

@@ -144,3 +144,12 @@ def test_f22_folds_read_four_columns_in_the_order_of_time(spark, tmp_path):
     rows = [(4, 5, "click", at(999, 1)), (1, 5, "view", at(1000)), (3, 6, "click", at(1000, 1)), (2, 6, "view", at(1999)), (9, 7, "view", at(5)), (8, 7, "view", at(5)), (7, 7, "error", at(0, 3))]
     got, want = against_sql(spark, "x03_expiring", tmp_path, events=(rows, "event_id long, user_id long, event_type string, ts timestamp_ntz"))
     assert got == want == [(5, 1, "applied"), (6, 2, "expired"), (7, 8, "superseded"), (7, 9, "expired")]
+
+
+def test_f23_no_token_is_sorted(spark, monkeypatch):
+    seen, plain = {}, segment.staged
+    monkeypatch.setattr(segment, "staged", lambda df, tag: seen.setdefault(tag, df) and plain(df, tag))
+    docs = [("a", 2, "words again words order"), ("a", 1, "order lesser again"), ("a", 1, "third other"), (None, 3, "apple-tree apple-tree berry"), ("b", None, "zebra mango"), ("b", 4, "mango"), ("c", 5, None)]
+    got = segment.topics(spark.createDataFrame(docs, "course string, passage_id long, body string"), "course", 3)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [("a", "order", 2, 1), ("a", "again", 2, 2), ("a", "words", 2, 3), (None, "apple-tree", 2, 1), (None, "berry", 1, 2), ("b", "mango", 2, 1), ("b", "zebra", 1, 2)]))
+    assert "SortAggregate" not in plan(seen["topics"], "executedPlan")
