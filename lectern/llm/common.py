@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..staging import shared_dir, staged
 
-__all__ = ["HashedWords", "components", "dropped", "exact_rank", "fresh", "keyed", "mix64", "numbered", "octets", "released", "shared_dir", "staged"]
+__all__ = ["HashedWords", "components", "dropped", "exact_rank", "fresh", "keyed", "merged", "mix64", "numbered", "octets", "released", "shared_dir", "staged"]
 
 
 def dropped(*dfs: DataFrame) -> None:
@@ -146,37 +146,54 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def _starred(edges: DataFrame, keep: Column) -> DataFrame:
-    """Edges (u, v) of every node u joined to m, the least of u and its neighbours; `keep` are the pairs that take its place."""
-    least = staged(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-    return edges.join(least, "u").select(F.explode(keep).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+def _between(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges (u, v), u > v, between the components of the ends of edges (a, b), where these differ; an end without a label is its own component."""
+    for end in ("a", "b"):
+        edges = edges.join(labels.select(F.col("id").alias(end), F.col("component").alias("_to")), end, "left").select(*[F.coalesce("_to", c).alias(c) if c == end else c for c in ("a", "b")])
+    return edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
 
-def _state(edges: DataFrame) -> tuple[int, str]:
-    """Count and order-free digest of a set of edges."""
-    h = F.xxhash64("u", "v").cast("decimal(38,0)")
-    n, digest = edges.agg(F.count(F.lit(1)), F.sum(h)).first()
-    return n, str(digest)
+def _rooted(up: DataFrame) -> DataFrame:
+    """The root of every id of a forest (id, component), whose pointers lead to smaller ids: pointers double their reach until none moves."""
+    while True:
+        above = up.select(F.col("id").alias("component"), F.col("component").alias("above"))
+        new = staged(up.join(above, "component", "left").select("id", F.coalesce("above", "component").alias("component"), F.isnotnull("above").alias("moved")), "least")
+        dropped(up)
+        up = new.drop("moved")
+        if not new.where("moved").limit(1).count():
+            return up
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id reachable, for every id in `edges` (a, b).
+def merged(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(id, component): the smallest id reachable, for every id in `edges` (a, b) that is not itself the smallest.
 
-    Alternating stars: the large star ties every larger neighbour of a node to the node's least neighbour, the small star does so
-    with a node and its smaller ones. Both keep the components; edges end as stars round the least ids. It runs until nothing
-    changes, which takes about log n rounds also on long chains. Minima are combined before the shuffle; each round is
-    written to the shared folder, and the least neighbours are too, so that Spark may split the join at a hub with very many.
+    `known` is the result for earlier edges, to which these are added; the earlier ones are not read again. Every node points at its least
+    neighbour if that is smaller than itself, pointers lead on to their roots, and edges between different roots are left for the next round. A node that
+    neither points nor is pointed at has only neighbours with smaller roots then, and points next time: so two rounds at least halve
+    the nodes that have edges, and a forest takes one. Minima are combined before the shuffle; all tables that are joined are written to
+    the shared folder, so that Spark may split the join at a hub with very many.
     """
-    pair = lambda u, v: F.struct(u.alias("u"), v.alias("v"))
-    u, v, m = F.col("u"), F.col("v"), F.col("m")
-    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = _state(now)
-    while state[0]:
-        both = now.unionByName(now.select(v.alias("u"), u.alias("v")))
-        large = staged(_starred(both, F.when(v > u, F.array(pair(v, m))).otherwise(F.array().cast("array<struct<u:bigint,v:bigint>>"))), "edges")
-        new = staged(_starred(large, F.array(pair(u, m), pair(v, m))), "edges")
-        dropped(now, large)
-        now, before, state = new, state, _state(new)
-        if state == before:
-            break
-    return now.select(u.alias("id"), v.alias("component")).unionByName(now.select(v.alias("id"), v.alias("component")).distinct())
+    edges = edges.select("a", "b")
+    now = staged(_between(edges, known) if known is not None else edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    while n := now.count():
+        up = staged(now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")), "least")
+        whole = up.count() == n  # an edge for each node: all of them are pointers
+        up = _rooted(up)
+        if known is None:
+            known = up
+        else:
+            moved = known.join(up.select(F.col("id").alias("component"), F.col("component").alias("_to")), "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
+            known = staged(moved.unionByName(up), "components")
+        if whole:
+            dropped(now)
+            return known
+        new = staged(_between(now.select(F.col("u").alias("a"), F.col("v").alias("b")), up), "edges")
+        dropped(now)
+        now = new
+    return known if known is not None else now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest id reachable, for every id in `edges` (a, b)."""
+    by = merged(edges)
+    return by.unionByName(by.select(F.col("component").alias("id"), "component").distinct())

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashedWords, components, dropped, mix64, octets, released, staged
+from .common import HashedWords, dropped, merged, mix64, octets, released, staged
 
 BANDS, ROWS, MANTISSA = 32, 5, 10
 REGISTERS = BANDS * ROWS
@@ -152,7 +152,7 @@ def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) with 100 * intersection >= percent * union on their full sets."""
+    """Those of pairs (a, b) with 100 * intersection >= percent * union on their full sets; again for other texts that have their ids."""
     texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
@@ -172,7 +172,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1)], ["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(released(run), "a long, b long").distinct()
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(released(run), "a long, b long")
 
 
 def mixed_members(shared: DataFrame, by: DataFrame) -> DataFrame:
@@ -294,28 +294,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     starts = shared.where("id <> least").groupBy("id", "least").agg(F.count(F.lit(1)).alias("n"))
     starts = starts.groupBy("id").agg(F.max(F.struct(F.col("n"), (-F.col("least")).alias("b"))).alias("m")).select(F.col("id").alias("a"), (-F.col("m.b")).alias("b"))
     tested = staged(starts, "tested")
-    links = staged(verified(likely(tested, classes, percent / 100), texts, k, percent), "links")
-    by = components(links)
+    by = merged(staged(verified(likely(tested, classes, percent / 100), texts, k, percent), "links"))
+    # bands of one component stay so: each round reads only what the one before it left
+    open_ = staged(mixed_members(shared, by), "open")
+    dropped(shared)
     # rounds: members of a band against one of its members, drawn anew, where their components differ
     for turn in range(ROUNDS):
-        named = mixed_members(shared, by)
-        drawn = named.groupBy("band").agg(F.min_by(F.struct(F.col("id").alias("b"), F.col("c").alias("cb")), F.xxhash64("id", F.lit(turn))).alias("d"))
-        pairs = named.join(drawn, "band").where("c <> d.cb").select(F.col("id").alias("a"), F.col("d.b").alias("b")).distinct()
-        pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+        drawn = open_.groupBy("band").agg(F.min_by(F.struct(F.col("id").alias("b"), F.col("c").alias("cb")), F.xxhash64("id", F.lit(turn))).alias("d"))
+        pairs = open_.join(drawn, "band").where("c <> d.cb").select(F.col("id").alias("a"), F.col("d.b").alias("b")).distinct()
+        ends = [F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")]
+        pairs = pairs.select("a", "b", *ends).join(tested.select(*ends), ["low", "high"], "left_anti").select("a", "b")
         hopes = likely(pairs, classes, percent / 100).groupBy("a").agg(F.max(F.struct("share", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
         hopes = staged(hopes, "tested")
         if not hopes.limit(1).count():
             break
-        new = staged(verified(hopes, texts, k, percent), "links")
-        tested, links = tested.unionByName(hopes), links.unionByName(new)
-        by = components(links)
+        by = merged(staged(verified(hopes, texts, k, percent), "links"), by)
+        tested, last = tested.unionByName(hopes), open_
+        open_ = staged(mixed_members(last.select("band", "id"), by), "open")
+        dropped(last)
     # what is left is compared whole: members of one band in different components
-    open_ = staged(mixed_members(shared, by), "open")
     hopes = staged(across(open_, classes, lowest(texts, open_.select("id").distinct(), k), percent / 100), "tested")
-    more = staged(verified(hopes, texts, k, percent), "links")
-    if more.limit(1).count():
-        by = components(links.unionByName(more))
-    dropped(shared, open_, texts)
+    by = merged(staged(verified(hopes, texts, k, percent), "links"), by)
+    dropped(open_, texts)
     of_class = classes.select("digest", F.col("id").alias("_id")).join(by, F.col("_id") == by.id, "left").select("digest", F.coalesce("component", "_id").alias("component_id"))
     out = sketches.drop("regs").join(of_class, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
